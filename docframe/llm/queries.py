@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from .secret_scan import OP6_SQL, op6_secret_scan
+from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
 }
 
 ORACLE_SQL = {
+    "op5_url_filter": OP5_SQL,
     "op6_secret_scan": OP6_SQL,
 }
