@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .packing import op8_best_fit_packing
 from .secret_scan import OP6_SQL, op6_secret_scan
 from .simhash import op4_simhash_dedup
 from .url_filter import OP5_SQL, op5_url_filter
@@ -10,6 +11,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL = {
