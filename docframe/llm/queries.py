@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .language_id import op1_language_id
 from .packing import op8_best_fit_packing
 from .quality import op3_pu_quality
 from .secret_scan import OP6_SQL, op6_secret_scan
@@ -9,6 +10,7 @@ from .simhash import op4_simhash_dedup
 from .url_filter import OP5_SQL, op5_url_filter
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
     "op3_pu_quality": op3_pu_quality,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_url_filter": op5_url_filter,
