@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import op9_decontaminate
 from .language_id import op1_language_id
 from .packing import op8_best_fit_packing
 from .quality import op3_pu_quality
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE_SQL = {
