@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op9_decontaminate
 from .language_id import op1_language_id
+from .lm_score import op10_lm_score
 from .packing import op8_best_fit_packing
 from .quality import op3_pu_quality
 from .secret_scan import OP6_SQL, op6_secret_scan
@@ -18,6 +19,7 @@ QUERIES = {
     "op6_secret_scan": op6_secret_scan,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontaminate": op9_decontaminate,
+    "op10_lm_score": op10_lm_score,
 }
 
 ORACLE_SQL = {
