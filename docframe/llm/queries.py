@@ -10,9 +10,11 @@ from .quality import op3_pu_quality
 from .secret_scan import OP6_SQL, op6_secret_scan
 from .simhash import op4_simhash_dedup
 from .url_filter import OP5_SQL, op5_url_filter
+from .vptree import OP2_SQL, op2_vp_tree_ann
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_vp_tree_ann": op2_vp_tree_ann,
     "op3_pu_quality": op3_pu_quality,
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_url_filter": op5_url_filter,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op2_vp_tree_ann": OP2_SQL,
     "op5_url_filter": OP5_SQL,
     "op6_secret_scan": OP6_SQL,
 }
