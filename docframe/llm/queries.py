@@ -9,6 +9,7 @@ from .packing import op8_best_fit_packing
 from .quality import op3_pu_quality
 from .secret_scan import OP6_SQL, op6_secret_scan
 from .simhash import op4_simhash_dedup
+from .token_counts import op7_token_counts
 from .url_filter import OP5_SQL, op5_url_filter
 from .vptree import OP2_SQL, op2_vp_tree_ann
 
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_simhash_dedup": op4_simhash_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op7_token_counts": op7_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_decontaminate": op9_decontaminate,
     "op10_lm_score": op10_lm_score,
