@@ -70,3 +70,13 @@ def utf8(array) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.frombuffer(offsets, np.int64)[array.offset : array.offset + len(array) + 1]
     data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def text_chunks(array, most: int = 4 << 20):
+    """(first row, texts as bytes) of an Arrow string array, about `most` bytes at once, so a large batch is never copied whole."""
+    data, at = utf8(array)
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1)
+        yield i, [data[a:b].tobytes() for a, b in zip(at[i:j], at[i + 1 : j + 1], strict=True)]
+        i = j

@@ -36,7 +36,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, utf8
+from .common import table, text_chunks
 
 WALKS, SPAN, SAMPLED, SIMILARITY = 4, 48, 16, 0.8
 #: Bytes that an item must have from a word on for a walk.
@@ -202,52 +202,64 @@ def leaks_in(texts: list[bytes], items: Items, similarity: float = SIMILARITY) -
     return [(t, k, d) for (t, k), d in sorted(found.items())]
 
 
-def _in_chunks(texts: list[bytes], most: int = 8 << 20):
-    i = 0
-    while i < len(texts):
-        j, n = i, 0
-        while j < len(texts) and (j == i or n + len(texts[j]) <= most):
-            n += len(texts[j])
-            j += 1
-        yield i, texts[i:j]
-        i = j
+def _blocks(benchmark: DataFrame, item_col: str, item_text: str, block_bytes: int):
+    """The items, as lists of about block_bytes of text."""
+    asked = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("length(text) > 0")
+    blocks = max(1, -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
+    for block in range(blocks):
+        yield [(r[0], r[1].encode()) for r in asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()]
+
+
+def _leaks_of(column, items: Items, similarity: float) -> np.ndarray:
+    """Rows (row, item, distance) of an Arrow column of texts."""
+    rows = [(i + t, k, d) for i, texts in text_chunks(column) for t, k, d in leaks_in(texts, items, similarity)]
+    return np.array(rows, np.int64).reshape(-1, 3)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
                similarity: float = SIMILARITY, block_bytes: int = 8 << 20) -> DataFrame:
     """(id, item, distance, similarity) of each pair of a document and an item that it holds."""
+    from pyspark.sql.pandas.types import to_arrow_type
+
     kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
-    asked = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("length(text) > 0")
-    blocks = max(1, -(-(asked.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes))
-    out = None
-    for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block).collect()  # about block_bytes
-        shipped = [(r[0], r[1].encode()) for r in part]
+    ids_as, out = to_arrow_type(benchmark.schema[item_col].dataType), None
+    for shipped in _blocks(benchmark, item_col, item_text, block_bytes):
 
         def run(batches, shipped=shipped):
             import pyarrow as pa
 
             items = Items(shipped)
+            size = np.array([len(t) for t in items.texts] + [1])
             for b in batches:
-                data, at = utf8(b.column(1))
-                raw = data.tobytes()
-                rows = []
-                for i, texts in _in_chunks([raw[x:y] for x, y in zip(at[:-1], at[1:], strict=True)]):
-                    rows += [(i + t, k, d) for t, k, d in leaks_in(texts, items, similarity)]
-                cols = np.array(rows, np.int64).reshape(-1, 3)
-                size = np.array([len(t) for t in items.texts] + [1])
+                cols = _leaks_of(b.column(1), items, similarity)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).take(pa.array(cols[:, 0])), pa.array([items.ids[k] for k in cols[:, 1]]).cast(ids_as), pa.array(cols[:, 2].astype(np.int32)), pa.array(1 - cols[:, 2] / size[cols[:, 1]])],
+                    [b.column(0).take(pa.array(cols[:, 0])), pa.array([items.ids[k] for k in cols[:, 1]], ids_as), pa.array(cols[:, 2].astype(np.int32)), pa.array(1 - cols[:, 2] / size[cols[:, 1]])],
                     names=["id", "item", "distance", "similarity"],
                 )
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        ids_as = to_arrow_type(benchmark.schema[item_col].dataType)
         found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, item {item_kind}, distance int, similarity double")
         out = found if out is None else out.union(found)
     return out
 
 
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
+               similarity: float = SIMILARITY, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs whose text holds no item; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+    for shipped in _blocks(benchmark, item_col, item_text, block_bytes):
+
+        def run(batches, shipped=shipped):
+            import pyarrow as pa
+
+            items = Items(shipped)
+            for b in batches:
+                clean = np.ones(b.num_rows, bool)
+                clean[_leaks_of(b.column(at), items, similarity)[:, 0]] = False
+                yield b.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
+
+
 def op9_decontaminate(spark, sf_dir):
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "distance", "similarity")

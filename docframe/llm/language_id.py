@@ -20,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import fold, table, utf8
 
@@ -188,32 +189,34 @@ def fit(docs: DataFrame, train_rows, per_lang: int = 1200) -> ByteConv | None:
     return net
 
 
-def predict(docs: DataFrame, net: ByteConv | None) -> DataFrame:
-    """docs(id, text) to (id, lang_pred, score)."""
-    kind = dict(docs.dtypes)["id"]
+def predict(df: DataFrame, net: ByteConv | None, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The kept columns of every row, and ``_lang`` and ``_score``."""
 
     def run(batches):
         import pyarrow as pa
 
         scorer = None if net is None else Scorer(net)
         for b in batches:
-            letters = b.column(2).to_numpy(zero_copy_only=False)
+            letters = b.column(1).to_numpy(zero_copy_only=False).astype(bool)
             if scorer is None or not len(letters):
                 names, score = ["und"] * b.num_rows, np.zeros(b.num_rows)
             else:
-                logp = scorer.texts(*utf8(b.column(1)))
+                logp = scorer.texts(*utf8(b.column(0)))
                 p = np.exp(logp - logp.max(axis=1, keepdims=True))
                 p /= p.sum(axis=1, keepdims=True)
                 best = p.argmax(axis=1)
                 names = [net.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
-                score = np.where(letters.astype(bool), p[np.arange(len(p)), best], 0.0)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["id", "lang_pred", "score"])
+                score = np.where(letters, p[np.arange(len(p)), best], 0.0)
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], pa.array(names, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[2:], "_lang", "_score"])
 
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letter")
-    return docs.select("id", "text", letter).mapInArrow(run, f"id {kind}, lang_pred string, score double")
+    letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
+    fields = [T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
+    schema = T.StructType([*fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
+    found = df.select(F.col(text_col).alias("_text"), letter.alias("_letter"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
+    return found.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_lang", "_score")
 
 
 def op1_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
     net = fit(docs, fold("id", 5) != 0)
-    return predict(docs, net).select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), "lang_pred", "score")
+    return predict(docs, net, ["id"]).select(F.col("id").alias("doc_id"), (fold("id", 5) == 0).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))

@@ -31,8 +31,9 @@ import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import materialize, table, utf8
+from .common import materialize, table, text_chunks
 from .components import components
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -70,20 +71,19 @@ def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id, fp BIGINT) of every row."""
+def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", words: int = 3) -> DataFrame:
+    """The kept columns of every row, and ``_fp``, the fingerprint as a BIGINT."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            data, at = utf8(b.column(1))
-            raw = data.tobytes()
-            fps = np.array([simhash(raw[i:j], words) for i, j in zip(at[:-1], at[1:], strict=True)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["id", "fp"])
+            fps = np.array([simhash(t, words) for _, texts in text_chunks(b.column(0)) for t in texts], np.uint64)
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names=[*b.schema.names[1:], "_fp"])
 
-    kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint")
+    fields = [T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
+    found = df.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(run, T.StructType([*fields, T.StructField("_fp", T.LongType())]))
+    return found.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_fp")
 
 
 def _long(x: int) -> Column:
@@ -192,10 +192,22 @@ def near_components(prints: DataFrame, distance: int = 3, cell_rows: int = 20_00
 
 def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3) -> DataFrame:
     """(id, fp, component) of every row."""
-    prints = materialize(fingerprints(df, id_col, text_col, words))
+    prints = materialize(fingerprints(df, [id_col], text_col, words).select(F.col(id_col).alias("id"), F.col("_fp").alias("fp")))
     return prints.join(near_components(prints, distance), "fp").select("id", "fp", "component")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 3) -> DataFrame:
+    """One row of each group of near-duplicates, the one with the smallest id.
+
+    Rows are told apart by a number of their own, so repeated ids are no matter.
+    """
+    held = materialize(fingerprints(docs, docs.columns, text_col, words).withColumn("_row", F.monotonically_increasing_id()))
+    prints = held.select(F.col("_row").alias("id"), F.col("_fp").alias("fp"))
+    groups = held.select("_row", "_fp", F.col(id_col).alias("_id")).join(near_components(prints, distance), F.col("_fp") == F.col("fp"))
+    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    return held.join(kept, "_row", "left_semi").select(*docs.columns)
+
+
 def op4_simhash_dedup(spark, sf_dir):
     found = simhash_groups(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
