@@ -2,5 +2,545 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from docframe.functions import numbers, sniff, text, urls
+from docframe.operators import dom, relations
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, sf_dir, name, *cols):
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.select(*cols) if cols else df
+
+
+def _q(s: str) -> str:
+    return s.replace("'", "''")
+
+
+# -- what a document is -------------------------------------------------------------------------
+
+_HEAD = "left(html, 1024)"
+
+
+@query(
+    f"""SELECT page_id, 'book' AS kind, CASE WHEN regexp_matches({_HEAD}, '{_q(sniff.READS_AS_MARKUP)}') THEN 'html' ELSE 'text' END AS container
+        FROM pages WHERE NOT contains({_HEAD}, '%PDF-')"""
+)
+def detect_kind(spark, sf_dir):
+    content = F.col("html").cast("binary")
+    return read(spark, sf_dir, "pages").select("page_id", sniff.kind_of(content).alias("kind"), sniff.container_kind(content).alias("container"))
+
+
+@query(
+    f"""SELECT page_id, trim(replace(replace(replace(regexp_extract(left(html, 65536), '{_q(sniff.TITLE)}', 1), '&quot;', '"'), '&lt;', '<'), '&amp;', '&')) AS title,
+               regexp_extract(html, '{_q(sniff.LANG)}', 1) AS lang FROM pages"""
+)
+def markup_title(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", sniff.markup_title(F.col("html")).alias("title"), sniff.html_lang(F.col("html")).alias("lang"))
+
+
+@query(f"SELECT regexp_extract(html, '{_q(sniff.LANG)}', 1) AS lang, count(*) AS n FROM pages GROUP BY 1")
+def html_lang(spark, sf_dir):
+    return read(spark, sf_dir, "pages", "html").groupBy(sniff.html_lang(F.col("html")).alias("lang")).agg(F.count("*").alias("n"))
+
+
+# -- text ---------------------------------------------------------------------------------------
+
+_TEXT = text.chain_sql("html", text.node_text_steps())
+
+
+@query(f"SELECT page_id, {_TEXT} AS text FROM pages")
+def page_text(spark, sf_dir):
+    return read(spark, sf_dir, "pages", "page_id", "html").select("page_id", text.node_text(F.col("html")).alias("text"))
+
+
+@query(f"SELECT page_id, {_TEXT} AS text FROM pages")
+def page_text_kernel(spark, sf_dir):
+    """The general kernel; on this corpus it must agree with the native chain."""
+    return dom.text_of(read(spark, sf_dir, "pages"))
+
+
+@query(
+    f"""SELECT page_id, (i - 1)::INT AS line, lines[i] AS text FROM (SELECT page_id, string_split({_TEXT}, chr(10)) AS lines FROM pages), unnest(generate_series(1, len(lines))) AS t(i)"""
+)
+def page_text_lines(spark, sf_dir):
+    lines = F.split(text.node_text(F.col("html")), "\n")
+    return read(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.posexplode(lines).alias("line", "text"))
+
+
+@query(
+    f"""SELECT lang, count(*) AS pages, sum(length(t))::BIGINT AS chars, sum(len(regexp_extract_all(t, '[^ \\n]+')))::BIGINT AS words, sum(len(string_split(t, chr(10))))::BIGINT AS lines
+        FROM (SELECT regexp_extract(html, '{_q(sniff.LANG)}', 1) AS lang, {_TEXT} AS t FROM pages) GROUP BY lang"""
+)
+def text_stats_by_lang(spark, sf_dir):
+    t = F.col("t")
+    pages = read(spark, sf_dir, "pages", "html").select(sniff.html_lang(F.col("html")).alias("lang"), text.node_text(F.col("html")).alias("t"))
+    return pages.groupBy("lang").agg(
+        F.count("*").alias("pages"),
+        F.sum(F.length(t)).alias("chars"),
+        F.sum(F.size(F.regexp_extract_all(t, F.lit("[^ \\n]+"), F.lit(0)))).alias("words"),
+        F.sum(F.size(F.split(t, "\n"))).alias("lines"),
+    )
+
+
+@query("SELECT doc_id, trim(regexp_replace(text, '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS text FROM documents")
+def squash(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.squash(F.col("text")).alias("text"))
+
+
+@query("""SELECT doc_id, replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS text FROM documents""")
+def html_escape(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.html_escape(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {text.md_sql('text', text.MD_ESCAPE)} AS text FROM documents")
+def md_escape(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.md_escape(F.col("text")).alias("text"))
+
+
+@query(f"SELECT doc_id, {text.md_sql('text', text.MD_LEAD)} AS text FROM documents")
+def md_lead(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", text.md_lead(F.col("text")).alias("text"))
+
+
+@query(
+    f"""SELECT script, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (
+        SELECT doc_id, {text.script_sql('unicode(c)')} AS script FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents)) GROUP BY script"""
+)
+def script_of(spark, sf_dir):
+    """Characters by writing system. Counted by distinct character within a document first."""
+    chars = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "")).alias("c"))
+    per = chars.where("c <> ''").groupBy("doc_id", "c").agg(F.count("*").alias("n"))
+    return per.select("doc_id", "n", text.script_of(F.ascii("c")).alias("script")).groupBy("script").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+# -- links --------------------------------------------------------------------------------------
+
+LINK = r'(?is)<a\b[^>]*\bhref="([^"]+)"[^>]*>(.*?)</a\s*>'
+
+
+def _links(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages", "page_id", "html")
+    return relations.matches(pages, ["page_id"], F.col("html"), LINK, {"href": 1, "label": 2})
+
+
+_LINKS = f"""(SELECT page_id, (i - 1)::INT AS ord, hrefs[i] AS href, labels[i] AS label FROM (
+    SELECT page_id, regexp_extract_all(html, '{_q(LINK)}', 1) AS hrefs, regexp_extract_all(html, '{_q(LINK)}', 2) AS labels FROM pages), unnest(generate_series(1, len(hrefs))) AS t(i))"""
+
+
+@query(f"SELECT page_id, ord, href, label FROM {_LINKS}")
+def page_links(spark, sf_dir):
+    return _links(spark, sf_dir)
+
+
+@query(f"SELECT page_id, ord, href, strpos(href, '://') > 1 OR regexp_matches(href, '^(mailto:|tel:|data:)') AS external FROM {_LINKS}")
+def link_external_flag(spark, sf_dir):
+    return _links(spark, sf_dir).select("page_id", "ord", "href", urls.is_external(F.col("href")).alias("external"))
+
+
+@query(
+    f"""SELECT page_id, ord, CASE WHEN cut = '' THEN 'index.html' WHEN starts_with(cut, '/') THEN CASE WHEN cut = '/' THEN '.' ELSE cut[2:] END ELSE cut END AS path,
+               CASE WHEN strpos(href, '#') > 0 THEN regexp_extract(href, '(?s)#(.*)$', 1) ELSE '' END AS fragment
+        FROM (SELECT *, regexp_extract(href, '(?s)^([^#?]*)', 1) AS cut FROM {_LINKS})"""
+)
+def link_resolved(spark, sf_dir):
+    href = F.col("href")
+    return _links(spark, sf_dir).select("page_id", "ord", urls.resolve(F.lit("index.html"), href).alias("path"), urls.fragment_of(href).alias("fragment"))
+
+
+@query(
+    f"""SELECT regexp_extract(url, '://([^/?#]*)', 1) AS host, count(DISTINCT page_id) AS pages, count(href) AS links FROM pages LEFT JOIN {_LINKS} USING (page_id) GROUP BY 1"""
+)
+def links_per_host(spark, sf_dir):
+    n = F.size(F.regexp_extract_all(F.col("html"), F.lit(LINK), F.lit(1)))
+    pages = read(spark, sf_dir, "pages")
+    return pages.groupBy(F.regexp_extract("url", "://([^/?#]*)", 1).alias("host")).agg(F.count("*").alias("pages"), F.sum(n).alias("links"))
+
+
+# -- outline ------------------------------------------------------------------------------------
+
+HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]\s*>"
+_LABEL = "trim(regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""SELECT page_id, ord, level, {_LABEL.replace('title', 'raw')} AS title FROM (
+        SELECT page_id, (i - 1)::INT AS ord, levels[i]::INT AS level, titles[i] AS raw FROM (
+        SELECT page_id, regexp_extract_all(html, '{HEADING}', 1) AS levels, regexp_extract_all(html, '{HEADING}', 2) AS titles FROM pages), unnest(generate_series(1, len(levels))) AS t(i))"""
+)
+def heading_outline(spark, sf_dir):
+    found = relations.matches(read(spark, sf_dir, "pages", "page_id", "html"), ["page_id"], F.col("html"), HEADING, {"level": 1, "title": 2})
+    title = F.trim(F.regexp_replace(F.regexp_replace("title", "<[^>]*>", ""), r"\s+", " "))
+    return found.select("page_id", "ord", F.col("level").cast("int").alias("level"), title.alias("title"))
+
+
+@query(
+    """SELECT a.o_custkey, a.o_orderkey, a.lev AS level, max(b.o_orderkey) AS parent
+       FROM (SELECT *, (1 + (o_orderkey * 7 + o_custkey) % 5 % 4)::INT AS lev FROM orders) a
+       LEFT JOIN (SELECT *, (1 + (o_orderkey * 7 + o_custkey) % 5 % 4)::INT AS lev FROM orders) b ON a.o_custkey = b.o_custkey AND b.o_orderkey < a.o_orderkey AND b.lev < a.lev
+       GROUP BY 1, 2, 3"""
+)
+def outline_nesting(spark, sf_dir):
+    """Each row's parent in an outline of synthetic levels: a customer's orders in order."""
+    level = (1 + (F.col("o_orderkey") * 7 + F.col("o_custkey")) % 5 % 4).cast("int")
+    rows = read(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", level.alias("level"))
+    return relations.nest(rows, "o_custkey", "o_orderkey", "level", 5)
+
+
+# -- elements -----------------------------------------------------------------------------------
+
+_PLAIN = [(r"(?s)<!--.*?-->", ""), (r"(?is)<script\b.*?</script\s*>", "<script>"), (r"(?is)<style\b.*?</style\s*>", "<style>")]
+TAG = r"<([a-zA-Z][a-zA-Z0-9]*)"
+ATTR = r'\s([a-zA-Z-]+)="([^"<>]*)"'
+_TAGS = f"(SELECT page_id, regexp_extract(html, '{_q(sniff.LANG)}', 1) AS lang, lower(unnest(regexp_extract_all({text.chain_sql('html', _PLAIN)}, '{TAG}', 1))) AS tag FROM pages)"
+
+
+def _tags(spark, sf_dir):
+    plain = text.chain(F.col("html"), _PLAIN)
+    return read(spark, sf_dir, "pages", "page_id", "html").select(
+        "page_id", sniff.html_lang(F.col("html")).alias("lang"), F.explode(F.regexp_extract_all(plain, F.lit(TAG), F.lit(1))).alias("tag")
+    ).withColumn("tag", F.lower("tag"))
+
+
+@query(f"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM {_TAGS} GROUP BY tag")
+def element_histogram(spark, sf_dir):
+    per = _tags(spark, sf_dir).groupBy("page_id", "tag").agg(F.count("*").alias("n"))
+    return per.groupBy("tag").agg(F.sum("n").alias("n"), F.count("*").alias("pages"))
+
+
+@query(f"SELECT lang, tag, count(*) AS n FROM {_TAGS} GROUP BY CUBE (lang, tag)")
+def element_cube(spark, sf_dir):
+    return _tags(spark, sf_dir).cube("lang", "tag").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT lang, count(*) FILTER (tag = 'p') AS p, count(*) FILTER (tag = 'a') AS a, count(*) FILTER (tag = 'li') AS li, count(*) FILTER (tag = 'br') AS br FROM {_TAGS} GROUP BY lang")
+def element_pivot(spark, sf_dir):
+    return _tags(spark, sf_dir).groupBy("lang").pivot("tag", ["p", "a", "li", "br"]).count().na.fill(0)
+
+
+@query(f"SELECT lang, tag, count(*) AS n FROM {_TAGS} GROUP BY ROLLUP (lang, tag)")
+def element_rollup(spark, sf_dir):
+    return _tags(spark, sf_dir).rollup("lang", "tag").agg(F.count("*").alias("n"))
+
+
+_ATTRS = f"regexp_extract_all({text.chain_sql('html', _PLAIN)}, '{ATTR}'"
+
+
+@query(f"SELECT name, value, count(*) AS n FROM (SELECT unnest({_ATTRS}, 1)) AS name, unnest({_ATTRS}, 2)) AS value FROM pages) GROUP BY ALL")
+def attr_index(spark, sf_dir):
+    pages = read(spark, sf_dir, "pages", "page_id", "html")
+    found = relations.matches(pages, ["page_id"], text.chain(F.col("html"), _PLAIN), ATTR, {"name": 1, "value": 2})
+    return found.groupBy("name", "value").agg(F.count("*").alias("n"))
+
+
+# -- selectors ----------------------------------------------------------------------------------
+
+
+def _nodes(spark, sf_dir):
+    return dom.nodes(read(spark, sf_dir, "pages", "page_id", "html"))
+
+
+@query(None)
+def dom_nodes(spark, sf_dir):
+    n = _nodes(spark, sf_dir)
+    return n.select("page_id", "pre", "post", "parent", "ord", "depth", "type", "tag", "text")
+
+
+@query(
+    f"""SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)<nav\\b.*?</nav>', 0), '<a href="([^"]+)"', 1)) AS href FROM pages)"""
+)
+def select_nav_links(spark, sf_dir):
+    """nav a[href], by interval join over the nodes."""
+    chosen = dom.select(_nodes(spark, sf_dir), "page_id", (" ", "tag = 'nav'"), (" ", "tag = 'a' AND attrs['href'] <> ''"))
+    return chosen.select("page_id", F.col("attrs")["href"].alias("href"))
+
+
+@query(
+    r"""SELECT page_id, trim(regexp_replace(replace(replace(regexp_extract(html, '(?is)<div class="ad">(.*?)</div>', 1), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g')) AS text
+        FROM pages WHERE regexp_matches(html, '(?is)<div class="ad">.*?</div>')"""
+)
+def select_ad_div(spark, sf_dir):
+    """div.ad with its text."""
+    found = _nodes(spark, sf_dir)
+    chosen = dom.select(found, "page_id", (" ", "tag = 'div' AND array_contains(split(attrs['class'], '\\\\s+'), 'ad')"))
+    return dom.inner_text(found, chosen, "page_id").select("page_id", "text")
+
+
+@query(r"""SELECT page_id, regexp_extract(html, '(?is)<ul>\s*(?:<li>.*?</li>\s*){1}<li><a href="([^"]*)"', 1) AS href FROM pages WHERE regexp_matches(html, '(?is)<ul>\s*(?:<li>.*?</li>\s*){1}<li><a href="')""")
+def nth_li(spark, sf_dir):
+    """ul > li:nth-child(2) > a."""
+    chosen = dom.select(_nodes(spark, sf_dir), "page_id", (" ", "tag = 'ul'"), (">", "tag = 'li' AND sib = 2"), (">", "tag = 'a'"))
+    return chosen.select("page_id", F.col("attrs")["href"].alias("href"))
+
+
+@query(f"SELECT page_id, count(*) AS paragraphs FROM {_TAGS} WHERE tag = 'p' GROUP BY page_id")
+def select_paragraphs(spark, sf_dir):
+    """article p: every paragraph of these pages stands in the article."""
+    chosen = dom.select(_nodes(spark, sf_dir), "page_id", (" ", "tag = 'article'"), (" ", "tag = 'p'"))
+    return chosen.groupBy("page_id").agg(F.count("*").alias("paragraphs"))
+
+
+@query(
+    r"""SELECT page_id, trim(s) AS selector, trim(d[1]) AS property, trim(d[2]) AS value FROM (
+        SELECT page_id, regexp_extract(css, '^([^{]*)\{', 1) AS s, string_split(unnest(list_filter(string_split(regexp_extract(css, '\{([^}]*)\}', 1), ';'), lambda x: trim(x) <> '')), ':') AS d
+        FROM (SELECT page_id, regexp_extract(html, '(?is)<style[^>]*>(.*?)</style', 1) AS css FROM pages))"""
+)
+def css_decls(spark, sf_dir):
+    """Declarations of the pages' style elements."""
+    css = F.regexp_extract("html", r"(?is)<style[^>]*>(.*?)</style", 1)
+    rules = relations.matches(read(spark, sf_dir, "pages", "page_id", "html"), ["page_id"], css, r"([^{}]*)\{([^}]*)\}", {"selector": 1, "body": 2})
+    decl = rules.select("page_id", F.trim("selector").alias("selector"), F.explode(F.filter(F.split("body", ";"), lambda d: F.trim(d) != "")).alias("d"))
+    return decl.select("page_id", "selector", F.trim(F.substring_index("d", ":", 1)).alias("property"), F.trim(F.substring_index("d", ":", -1)).alias("value"))
+
+
+#: Ranks of origins, and a synthetic sheet: (order, origin rank, specificity, property).
+@query(
+    """SELECT l_partkey % 500 AS element, l_returnflag AS property, arg_max(l_orderkey * 10 + l_linenumber, (CASE l_linestatus WHEN 'F' THEN 2 ELSE 3 END) * 1000000000000000 + (l_suppkey % 7) * 1000000000000 + l_orderkey * 10 + l_linenumber)::BIGINT AS winner
+       FROM lineitem GROUP BY 1, 2"""
+)
+def cascade_winner(spark, sf_dir):
+    """Of the declarations of one element and property the heaviest: origin, then specificity, then order."""
+    order = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    weight = F.struct(F.when(F.col("l_linestatus") == "F", 2).otherwise(3).alias("rank"), (F.col("l_suppkey") % 7).alias("spec"), order.alias("order"))
+    return read(spark, sf_dir, "lineitem").groupBy((F.col("l_partkey") % 500).alias("element"), F.col("l_returnflag").alias("property")).agg(F.max_by(order, weight).alias("winner"))
+
+
+# -- numbers ------------------------------------------------------------------------------------
+
+_FIXED2 = "printf('%.2f', round(l_extendedprice::DECIMAL(30,10), 2))"
+
+
+@query("SELECT l_orderkey, l_linenumber, '$' || format('{:,.2f}', round(l_extendedprice::DECIMAL(30,10), 2)::DOUBLE) AS price, format('{:.0f}', l_quantity) AS quantity FROM lineitem")
+def xlsx_number(spark, sf_dir):
+    """Codes $#,##0.00 and 0."""
+    return read(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", numbers.fixed(F.col("l_extendedprice"), 2, group=True, prefix="$").alias("price"), numbers.fixed(F.col("l_quantity"), 0).alias("quantity")
+    )
+
+
+@query("SELECT l_orderkey, l_linenumber, format('{:.0f}', round((l_discount * 100)::DECIMAL(30,10), 0)::DOUBLE) || '%' AS discount FROM lineitem")
+def xlsx_percent(spark, sf_dir):
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", numbers.fixed(F.col("l_discount"), 0, percent=True).alias("discount"))
+
+
+@query("SELECT l_orderkey, l_linenumber, strftime(TIMESTAMP '1899-12-30' + to_days((l_partkey % 40000)::INT) + to_hours((l_suppkey % 24)::INT), '%Y-%m-%d %H:%M:%S') AS day FROM lineitem")
+def xlsx_date(spark, sf_dir):
+    serial = (F.col("l_partkey") % 40000) + (F.col("l_suppkey") % 24 + 0.001) / 24
+    day = numbers.date_serial(serial, "yyyy-MM-dd HH")
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(day, F.lit(":00:00")).alias("day"))
+
+
+_COL = "(CASE WHEN c > 702 THEN chr((65 + (c - 703) // 676)::INT) ELSE '' END || CASE WHEN c > 26 THEN chr((65 + ((c - 27) // 26) % 26)::INT) ELSE '' END || chr((65 + (c - 1) % 26)::INT))"
+
+
+@query(f"SELECT l_orderkey, l_linenumber, {_COL} || l_linenumber AS ref, c AS col FROM (SELECT *, 1 + l_partkey % 18278 AS c FROM lineitem)")
+def xlsx_cellref(spark, sf_dir):
+    ref = numbers.cell_ref(F.col("l_linenumber"), 1 + F.col("l_partkey") % 18278)
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ref.alias("ref")).withColumn("col", numbers.cell_col(F.col("ref")))
+
+
+@query(
+    "SELECT p_partkey, " + " || ".join(
+        f"repeat('{s}', ((n {''.join(f'% {v} ' for v, _ in numbers.ROMAN[:k])}) // {value})::INT)" for k, (value, s) in enumerate(numbers.ROMAN)
+    ) + " AS roman, repeat(chr((65 + (n - 1) % 26)::INT), ((n - 1) // 26 + 1)::INT) AS letters FROM (SELECT p_partkey, 1 + p_partkey % 3999 AS n FROM part)"
+)
+def roman(spark, sf_dir):
+    n = 1 + F.col("p_partkey") % 3999
+    return read(spark, sf_dir, "part").select("p_partkey", numbers.roman(n).alias("roman"), numbers.letters_repeat(n).alias("letters"))
+
+
+@query(
+    """SELECT o_orderkey, o_custkey, o_orderkey - start + 1 AS n, prefix FROM (
+         SELECT o.o_orderkey, o.o_custkey, max(m.o_orderkey) AS start FROM orders o JOIN (SELECT * FROM orders WHERE o_orderpriority LIKE '1%') m ON m.o_custkey = o.o_custkey AND m.o_orderkey <= o.o_orderkey GROUP BY 1, 2)
+       JOIN (SELECT o_orderkey AS start, substr(o_orderstatus, 1, 1) AS prefix FROM orders) USING (start)"""
+)
+def page_label_asof(spark, sf_dir):
+    """Each order labelled by the customer's last urgent order at or before it: the as-of form of page labels."""
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus")
+    marks = orders.where("o_orderpriority LIKE '1%'").select("o_custkey", F.col("o_orderkey").alias("start"), F.substring("o_orderstatus", 1, 1).alias("prefix"))
+    found = relations.as_of(orders.select("o_orderkey", "o_custkey"), "o_orderkey", marks, "start", ["start", "prefix"], ["o_custkey"])
+    return found.where("start IS NOT NULL").select("o_orderkey", "o_custkey", (F.col("o_orderkey") - F.col("start") + 1).alias("n"), "prefix")
+
+
+# -- ranges -------------------------------------------------------------------------------------
+
+_RANGES = "(SELECT s_suppkey AS rid, (s_suppkey * 37 % 1500)::BIGINT AS low, (s_suppkey * 37 % 1500 + 5 + s_suppkey % 40)::BIGINT AS high FROM supplier)"
+
+
+def _ranges(spark, sf_dir):
+    low = F.col("s_suppkey") * 37 % 1500
+    return read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("rid"), low.alias("low"), (low + 5 + F.col("s_suppkey") % 40).alias("high"))
+
+
+@query(f"SELECT p_partkey, rid FROM part JOIN {_RANGES} ON p_partkey BETWEEN low AND high")
+def range_lookup(spark, sf_dir):
+    return relations.range_join(read(spark, sf_dir, "part", "p_partkey"), "p_partkey", _ranges(spark, sf_dir), "low", "high", 32).select("p_partkey", "rid")
+
+
+@query(f"SELECT p_partkey, min(rid) AS rid FROM part LEFT JOIN {_RANGES} ON p_partkey BETWEEN low AND high GROUP BY 1")
+def range_lookup_firstwins(spark, sf_dir):
+    part = read(spark, sf_dir, "part", "p_partkey")
+    found = relations.range_join(part, "p_partkey", _ranges(spark, sf_dir), "low", "high", 32).groupBy("p_partkey").agg(F.min("rid").alias("rid"))
+    return part.join(found, "p_partkey", "left")
+
+
+@query(f"SELECT p_partkey FROM part WHERE NOT EXISTS (SELECT 1 FROM {_RANGES} WHERE p_partkey BETWEEN low AND high)")
+def interval_anti(spark, sf_dir):
+    part = read(spark, sf_dir, "part", "p_partkey")
+    inside = relations.range_join(part, "p_partkey", _ranges(spark, sf_dir), "low", "high", 32).select("p_partkey").distinct()
+    return part.join(inside, "p_partkey", "left_anti")
+
+
+# -- sequences ----------------------------------------------------------------------------------
+
+_BY_USER = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+def _events(spark, sf_dir):
+    return read(spark, sf_dir, "events", "event_id", "user_id", "ts", "event_type", "value")
+
+
+@query(
+    f"""SELECT event_id, user_id, sum(b) {_BY_USER} AS line FROM (
+        SELECT event_id, user_id, ts, CASE WHEN lag(ts) {_BY_USER} IS NULL OR epoch_us(ts) - epoch_us(lag(ts) {_BY_USER}) > 3600000000 THEN 1 ELSE 0 END AS b FROM events)"""
+)
+def segment_lines(spark, sf_dir):
+    """Runs of a user's events without a gap of over an hour: how characters become lines."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.timestamp_diff("MICROSECOND", F.lag("ts").over(w), F.col("ts")) > 3_600_000_000
+    return relations.islands(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], gap, "line").select("event_id", "user_id", "line")
+
+
+@query(
+    f"""SELECT user_id, line, min(event_type) AS kind, count(*) AS n, min(ts) AS first, max(ts) AS last FROM (
+          SELECT *, sum(b) {_BY_USER} AS line FROM (SELECT *, CASE WHEN lag(event_type) {_BY_USER} = event_type THEN 0 ELSE 1 END AS b FROM events)) GROUP BY 1, 2"""
+)
+def segment_blocks(spark, sf_dir):
+    """Runs of a user's events of one kind."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    runs = relations.islands(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], F.lag("event_type").over(w) != F.col("event_type"), "line")
+    return runs.groupBy("user_id", "line").agg(F.min("event_type").alias("kind"), F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query(f"SELECT event_id FROM (SELECT event_id, event_type, lag(event_type) {_BY_USER} AS p FROM events) WHERE p IS NULL OR p <> event_type")
+def dup_drop(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    seen = _events(spark, sf_dir).withColumn("p", F.lag("event_type").over(w))
+    return seen.where("p IS NULL OR p <> event_type").select("event_id")
+
+
+@query(
+    """SELECT l_suppkey, island, min(s) AS start, max(e) AS stop, count(*) AS n FROM (
+         SELECT *, sum(b) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber) AS island FROM (
+           SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY l_suppkey ORDER BY s, e, l_orderkey, l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS b
+           FROM (SELECT l_suppkey, l_orderkey, l_linenumber, l_partkey AS s, l_partkey + 3 AS e FROM lineitem))) GROUP BY 1, 2"""
+)
+def island_merge(spark, sf_dir):
+    """Overlapping intervals of a supplier merged: how neighbouring link rectangles become one."""
+    order = ["s", "e", "l_orderkey", "l_linenumber"]
+    rows = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", F.col("l_partkey").alias("s"), (F.col("l_partkey") + 3).alias("e"))
+    before = F.max("e").over(Window.partitionBy("l_suppkey").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return relations.islands(rows, ["l_suppkey"], order, F.col("s") > before).groupBy("l_suppkey", "island").agg(F.min("s").alias("start"), F.max("e").alias("stop"), F.count("*").alias("n"))
+
+
+_W9 = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)"
+
+
+@query(f"SELECT event_id, min(value) {_W9} AS low, max(value) {_W9} AS high FROM events")
+def sliding_minmax(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 4)
+    return _events(spark, sf_dir).select("event_id", F.min("value").over(w).alias("low"), F.max("value").over(w).alias("high"))
+
+
+@query(f"SELECT event_id, ((sum(floor(value * 100)::BIGINT) {_W9})::BIGINT * 100 // count(*) {_W9})::BIGINT AS mean_e4 FROM events")
+def box_blur(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(-4, 4)
+    cents = _events(spark, sf_dir).select("event_id", F.sum(F.floor(F.col("value") * 100)).over(w).alias("total"), F.count("*").over(w).alias("n"))
+    return cents.select("event_id", F.expr("total * 100 div n").alias("mean_e4"))
+
+
+@query("SELECT user_id, event_type, event_id, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events) WHERE r = 1")
+def dedup_first_wins(spark, sf_dir):
+    return relations.first_wins(_events(spark, sf_dir).select("user_id", "event_type", "event_id", "ts"), ["user_id", "event_type"], ["ts", "event_id"])
+
+
+@query("SELECT l_orderkey, string_agg(l_partkey::VARCHAR, ' ' ORDER BY l_linenumber, l_partkey) AS spine, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
+def spine_join(spark, sf_dir):
+    """A spine joined to its manifest and listed in order."""
+    items = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey")
+    orders = read(spark, sf_dir, "orders", "o_orderkey", "o_orderstatus").where("o_orderstatus = 'F'")
+    parts = items.join(orders, items.l_orderkey == orders.o_orderkey).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey"))).alias("p"), F.count("*").alias("n"))
+    return parts.select("l_orderkey", F.array_join(F.transform("p", lambda x: x["l_partkey"].cast("string")), " ").alias("spine"), "n")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS text, count(*) AS turns FROM conversations GROUP BY conv_id")
+def document_text(spark, sf_dir):
+    """Parts of a document joined in reading order, by line ends."""
+    turns = read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.concat_ws(": ", "role", "text").alias("t")))).alias("p"))
+    return turns.select("conv_id", F.array_join(F.transform("p", lambda x: x["t"]), "\n").alias("text"), F.size("p").cast("bigint").alias("turns"))
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT doc_id, (i - 1)::BIGINT AS line, 18.0 + 18.0 * (length(ls[i]) // 80) AS h FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS t(i)),
+       r AS (SELECT doc_id, line, h, 0 AS page, h AS used FROM l WHERE line = 0
+             UNION ALL SELECT l.doc_id, l.line, l.h, CASE WHEN used > 0 AND used + l.h > 1152 THEN page + 1 ELSE page END, CASE WHEN used > 0 AND used + l.h > 1152 THEN l.h ELSE used + l.h END
+             FROM r JOIN l ON l.doc_id = r.doc_id AND l.line = r.line + 1)
+       SELECT doc_id, line, h::DOUBLE AS h, page::INT AS page FROM r"""
+)
+def paginate(spark, sf_dir):
+    """Lines of a document on pages of 1152 px: 18 px a row of 80 characters."""
+    lines = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return relations.paginate(lines.select("doc_id", "line", (18.0 + 18.0 * F.floor(F.length("t") / 80)).alias("h")), "doc_id", "line", "h", 1152.0)
+
+
+# -- boxes --------------------------------------------------------------------------------------
+
+
+@query("SELECT l_orderkey, min(l_partkey) AS x0, min(l_suppkey) AS y0, max(l_partkey + l_quantity) AS x1, max(l_suppkey + l_quantity) AS y1 FROM lineitem GROUP BY 1")
+def bbox_union(spark, sf_dir):
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), (F.col("l_partkey") + F.col("l_quantity")).alias("c"), (F.col("l_suppkey") + F.col("l_quantity")).alias("d"))
+    return rows.groupBy("l_orderkey").agg(*relations.union_box("a", "b", "c", "d"))
+
+
+@query(
+    """SELECT a.l_orderkey, a.l_linenumber AS one, b.l_linenumber AS two FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
+       AND a.l_partkey < b.l_partkey + b.l_quantity * 10 AND b.l_partkey < a.l_partkey + a.l_quantity * 10 AND a.l_suppkey < b.l_suppkey + b.l_quantity AND b.l_suppkey < a.l_suppkey + a.l_quantity"""
+)
+def bbox_overlap(spark, sf_dir):
+    """Pairs of boxes of one page (order) that overlap."""
+    t = read(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    a, b = t.alias("a"), t.alias("b")
+    return a.join(
+        b,
+        F.expr("""a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_partkey < b.l_partkey + b.l_quantity * 10 AND b.l_partkey < a.l_partkey + a.l_quantity * 10
+                  AND a.l_suppkey < b.l_suppkey + b.l_quantity AND b.l_suppkey < a.l_suppkey + a.l_quantity"""),
+    ).select("a.l_orderkey", F.col("a.l_linenumber").alias("one"), F.col("b.l_linenumber").alias("two"))
+
+
+@query("SELECT l_orderkey, l_linenumber, 0.75::DOUBLE * l_partkey + 0.25::DOUBLE * l_suppkey + 10 AS x, -0.25::DOUBLE * l_partkey + 0.75::DOUBLE * l_suppkey + 20 AS y FROM lineitem")
+def transform_points(spark, sf_dir):
+    x, y = relations.transformed((0.75, -0.25, 0.25, 0.75, 10.0, 20.0), F.col("l_partkey"), F.col("l_suppkey"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", x.alias("x"), y.alias("y"))
+
+
+@query(
+    """SELECT p_brand, p_partkey FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY 1000 - abs(p_size * 18 - 400) + CASE WHEN p_type LIKE '%STEEL%' THEN 500 ELSE 0 END DESC, p_partkey) AS r FROM part) WHERE r = 1"""
+)
+def best_face_argmax(spark, sf_dir):
+    """The best-scoring face of each family: nearness of weight, a bonus for slant, the smaller key on a tie."""
+    score = 1000 - F.abs(F.col("p_size") * 18 - 400) + F.when(F.col("p_type").contains("STEEL"), 500).otherwise(0)
+    return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct(score.alias("s"), -F.col("p_partkey"))).alias("p_partkey"))
