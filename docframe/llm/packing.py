@@ -28,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, utf8
+from .common import materialize, table, text_chunks
+from .word_bpe import WordBpe
 
 SEQ_LEN, END = 4096, 1
 #: Words kept in a worker's memo of encodings before it starts anew.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 300_000
 _ENDS_IN_PUNCTUATION = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
@@ -47,41 +48,49 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encoder, self.memo = Tokenizer.from_file(path), {}
+        self.encoder, self.words, self.memo = Tokenizer.from_file(path), WordBpe(path), {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        memo = self.memo
-        split = {w: m.groups() for w in words if (m := _ENDS_IN_PUNCTUATION.fullmatch(w))}
-        parts = {p for pair in split.values() for p in pair}
-        new = [w for w in (words - split.keys()) | parts if w not in memo]
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            memo.update(zip(part, self.ids([w.decode() for w in part]), strict=True))
+        memo, fast = self.memo, self.words
+        split = {w: m.groups() for w in words if not 97 <= w[-1] <= 122 and (m := _ENDS_IN_PUNCTUATION.fullmatch(w))}
+        new = {w for w in (words - split.keys()) | {p for pair in split.values() for p in pair} if w not in memo}
+        plain = [w for w in new if fast.takes(w)] if fast.fits else []
+        memo.update(zip(plain, fast.encode(plain), strict=True))
+        rest = list(new.difference(plain))
+        memo.update(zip(rest, self.ids([w.decode() for w in rest]), strict=True))
         for w, (stem, end) in split.items():
             memo[w] = memo[stem] + memo[end]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
-        for i in range(0, len(texts), 256):
+        for i in range(0, len(texts), 512):
+            part = texts[i : i + 512]
             # special tokens are matched in the text as it stands, before case is folded
-            split = [None if b"<|" in t else t.lower().split() for t in texts[i : i + 256]]
+            split = [None if b"<|" in t else t.lower().split() for t in part]
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
-            known = self.memo.keys()
-            self.learn({w for ws in split if ws is not None for w in ws} - known)
-            get = self.memo.__getitem__
-            out += [self.ids([t.decode()])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(texts[i : i + 256], split, strict=True)]
+            get = self.memo.get
+            found = [None if ws is None else list(map(get, ws)) for ws in split]
+            self.learn({w for ws, ids in zip(split, found, strict=True) if ids is not None and None in ids for w, x in zip(ws, ids, strict=True) if x is None})
+            for t, ws, ids in zip(part, split, found, strict=True):
+                if ids is None:
+                    out.append(self.ids([t.decode()])[0])
+                else:
+                    out.append(b"".join(ids if None not in ids else [x if x is not None else get(w) for w, x in zip(ws, ids, strict=True)]))
         return out
 
 
 _encoders: dict[str, WordEncoder] = {}
 
 
-def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, end: int = END) -> DataFrame:
-    """(id, piece, start, length, crc): each document's ids and the end token, cut at seq_len."""
+def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", seq_len: int = SEQ_LEN, end: int = END, with_ids: bool = False) -> DataFrame:
+    """(id, piece, start, length, crc): each document's ids and the end token, cut at seq_len.
+
+    with_ids: also ``ids``, the piece's ids as packed little-endian 32-bit words.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -89,23 +98,23 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         coder = _encoders.get(path) or _encoders.setdefault(path, WordEncoder(path))
         last = np.array([end], "<u4").tobytes()
         for b in batches:
-            data, at = utf8(b.column(1))
-            raw = data.tobytes()
-            rows, of = [], []
-            for k, ids in enumerate(coder.encode([raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)])):
-                ids += last
-                for p, s in enumerate(range(0, len(ids), 4 * seq_len)):
-                    part = ids[s : s + 4 * seq_len]
-                    of.append(k)
-                    rows.append((p, s // 4, len(part) // 4, zlib.crc32(part)))
-            cols = np.array(rows, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0).take(pa.array(of, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, i]) for i in (1, 2, 3))],
-                names=["id", "piece", "start", "length", "crc"],
-            )
+            for first, texts in text_chunks(b.column(1)):
+                rows, of, parts = [], [], []
+                for k, ids in enumerate(coder.encode(texts), start=first):
+                    ids += last
+                    for p, s in enumerate(range(0, len(ids), 4 * seq_len)):
+                        part = ids[s : s + 4 * seq_len]
+                        of.append(k)
+                        if with_ids:
+                            parts.append(part)
+                        rows.append((p, s // 4, len(part) // 4, zlib.crc32(part)))
+                cols = np.array(rows, np.int64).reshape(-1, 4)
+                out = [b.column(0).take(pa.array(of, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, i]) for i in (1, 2, 3))]
+                names = ["id", "piece", "start", "length", "crc"]
+                yield pa.RecordBatch.from_arrays(out + [pa.array(parts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, crc bigint")
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, crc bigint" + ", ids binary" * with_ids)
 
 
 def fullest(room: int, counts: dict[int, int]) -> dict[int, int]:
