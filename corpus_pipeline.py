@@ -30,10 +30,10 @@ def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(docs, keep=tuple(docs.columns))
-    changed = F.size("spans") > 0
-    text = secret_scan.redact(F.col("text"), F.col("spans"))
-    size = F.when(changed, F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.withColumns({"text": text, "n_chars": size}).select(*docs.columns)
+    # a name of its own: `text` inside the lambdas must stay the original
+    found = found.withColumn("_clean", secret_scan.redact(F.col("text"), F.col("spans")))
+    size = F.when(F.size("spans") > 0, F.length("_clean").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return found.select(*({"text": F.col("_clean").alias("text"), "n_chars": size.alias("n_chars")}.get(c, F.col(c)) for c in docs.columns))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
