@@ -6,7 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docframe.functions import numbers, sniff, text, urls
-from docframe.operators import dom, relations
+from docframe.operators import dom, markdown, relations
+from docframe.sources import documents
+from docframe.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -174,7 +176,8 @@ def links_per_host(spark, sf_dir):
 # -- outline ------------------------------------------------------------------------------------
 
 HEADING = r"(?is)<h([1-6])\b[^>]*>(.*?)</h[1-6]\s*>"
-_LABEL = "trim(regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
+_SPACES = (r"\s+", " ")
+_LABEL = f"trim({text.chain_sql('title', [('<[^>]*>', ''), _SPACES, *text.ENTITIES, ('&amp;?', '&')])})"
 
 
 @query(
@@ -184,7 +187,7 @@ _LABEL = "trim(regexp_replace(regexp_replace(title, '<[^>]*>', '', 'g'), '\\s+',
 )
 def heading_outline(spark, sf_dir):
     found = relations.matches(read(spark, sf_dir, "pages", "page_id", "html"), ["page_id"], F.col("html"), HEADING, {"level": 1, "title": 2})
-    title = F.trim(F.regexp_replace(F.regexp_replace("title", "<[^>]*>", ""), r"\s+", " "))
+    title = F.trim(text.chain(F.col("title"), [("<[^>]*>", ""), _SPACES, *text.ENTITIES, ("&amp;?", "&")]))
     return found.select("page_id", "ord", F.col("level").cast("int").alias("level"), title.alias("title"))
 
 
@@ -544,3 +547,45 @@ def best_face_argmax(spark, sf_dir):
     """The best-scoring face of each family: nearness of weight, a bonus for slant, the smaller key on a tie."""
     score = 1000 - F.abs(F.col("p_size") * 18 - 400) + F.when(F.col("p_type").contains("STEEL"), 500).otherwise(0)
     return read(spark, sf_dir, "part").groupBy("p_brand").agg(F.max_by("p_partkey", F.struct(score.alias("s"), -F.col("p_partkey"))).alias("p_partkey"))
+
+
+# -- documents of any kind ----------------------------------------------------------------------
+
+
+@query(None)
+def page_markdown(spark, sf_dir):
+    return markdown.markdown_of(read(spark, sf_dir, "pages", "page_id", "html"))
+
+
+def _content(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("content"))
+
+
+@query(f"SELECT page_id, {_TEXT} AS text FROM pages")
+def content_text(spark, sf_dir):
+    """Text of documents of any kind, here all HTML, from their bytes."""
+    return documents.text(_content(spark, sf_dir), "page_id")
+
+
+@query(
+    f"""SELECT page_id, 'html' AS container, nullif(trim(replace(replace(replace(regexp_extract(left(html, 65536), '{_q(sniff.TITLE)}', 1), '&quot;', '"'), '&lt;', '<'), '&amp;', '&')), '') AS title, 1 AS n_parts FROM pages"""
+)
+def content_metadata(spark, sf_dir):
+    return documents.metadata(_content(spark, sf_dir), "page_id").select("page_id", "container", "title", "n_parts")
+
+
+@query(
+    f"""SELECT page_id, ord, level, title FROM (SELECT page_id, (i - 1)::INT AS ord, levels[i]::INT AS level, {_LABEL.replace('title', 'titles[i]')} AS title FROM (
+        SELECT page_id, regexp_extract_all(html, '{HEADING}', 1) AS levels, regexp_extract_all(html, '{HEADING}', 2) AS titles FROM pages), unnest(generate_series(1, len(levels))) AS t(i))"""
+)
+def content_outline(spark, sf_dir):
+    return documents.outline(_content(spark, sf_dir), "page_id").select("page_id", "ord", "level", "title")
+
+
+@query(
+    f"""SELECT user_id, min(ts) AS first, max(ts) AS last, count(*) AS n FROM (
+          SELECT *, sum(b) {_BY_USER} AS line FROM (SELECT *, CASE WHEN lag(ts) {_BY_USER} IS NULL OR epoch_us(ts) - epoch_us(lag(ts) {_BY_USER}) >= 3600000000 THEN 1 ELSE 0 END AS b FROM events)) GROUP BY user_id, line"""
+)
+def event_sessions(spark, sf_dir):
+    """Sessions by a gap of an hour: the batch form of the streaming query."""
+    return ingest.sessions(read(spark, sf_dir, "events"), "ts", ["user_id"], "1 hour").select("user_id", "first", "last", "n")
