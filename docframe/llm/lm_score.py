@@ -4,15 +4,16 @@ The model is a trie of byte contexts. A symbol seen in a context has its count
 over the context's total plus its distinct symbols; the rest is the escape,
 which goes to the context one byte shorter with the symbols already refused
 excluded. Below the empty context all symbols never seen share what is left.
-As the trained model is static, every context's whole distribution is worked
-out once, and a text costs two look-ups a byte. A text starts after three
-boundary symbols and ends with one.
+A text starts after as many boundary symbols as the order and ends with one.
+As the trained model is static, what a context's escape and exclusions come to
+is worked out once; a byte whose string was seen costs one look-up.
 
 Counts come from all training rows. Texts are dealt to blocks by hash; each
 block counts its words and byte strings, the counts are summed by word over the
 corpus, and each block gets back the totals of the words that it holds, so the
-vocabulary is never in one place. The context trie is small: the greatest order
-whose table keeps table_mb is used, and order 1 keeps any bound over 1 MB.
+vocabulary is never in one place. The byte strings are few beside the text; the
+trie has the greatest order up to ORDER whose strings fit in table_mb, and
+those of order 1 always do.
 
 Defined cases: null texts are empty, one end token; repeated rows are counted
 and scored each; without training rows every word count is 0 and every byte has
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from .common import blocks_for, fold, materialize, table, utf8
 
 #: Symbols: 256 bytes and the boundary.
-EDGE, SYMBOLS, ORDER = 256, 257, 3
+EDGE, SYMBOLS, ORDER = 256, 257, 4
+#: Memory of a string in the trie's tables, about.
+_STRING_BYTES = 48
 #: The end token's key among words, which hold no white space.
 END_WORD = b"\n"
 _SLICE = 4 << 20
@@ -53,7 +56,7 @@ def _slices(at: np.ndarray):
 
 
 def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all contexts of three with their symbol, and their counts."""
+    """Codes of all contexts of ORDER symbols with the next one, and their counts."""
     s, start = symbols(data, at)
     if len(s) <= ORDER:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -67,77 +70,107 @@ def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(code[real], return_counts=True)
 
 
+class Index:
+    """Places of integer keys, by hash tables: what collides in one goes to the next."""
+
+    def __init__(self, keys: np.ndarray):
+        self.tables, place = [], np.arange(len(keys), dtype=np.int32)
+        while len(keys):
+            bits = max(4, int(2 * len(keys)).bit_length())
+            mix = np.uint64((0x9E3779B97F4A7C15 + 0xD1342543DE82EF94 * len(self.tables)) & 0xFFFFFFFFFFFFFFFF | 1)
+            slot = ((keys.astype(np.uint64) * mix) >> np.uint64(64 - bits)).astype(np.int64)
+            _, keep = np.unique(slot, return_index=True)
+            table, places = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
+            table[slot[keep]], places[slot[keep]] = keys[keep], place[keep]
+            self.tables.append((mix, np.uint64(64 - bits), table, places))
+            left = np.ones(len(keys), bool)
+            left[keep] = False
+            keys, place = keys[left], place[left]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Places, -1 for keys that are none."""
+        out, todo = np.full(len(keys), -1, np.int32), None
+        for mix, shift, table, places in self.tables:
+            k = keys if todo is None else keys[todo]
+            slot = ((k.astype(np.uint64) * mix) >> shift).astype(np.int64)
+            there = table[slot]
+            hit, clash = np.flatnonzero(there == k), np.flatnonzero((there != k) & (there >= 0))
+            out[hit if todo is None else todo[hit]] = places[slot[hit]]
+            todo = clash if todo is None else todo[clash]
+            if not len(todo):
+                break
+        return out
+
+
 class ByteTrie:
-    """log10 P(symbol | context) of all contexts up to an order, from counts of codes."""
-
-    def __init__(self, code: np.ndarray, count: np.ndarray, table_mb: int = 64):
-        seen = np.unique(code % SYMBOLS)
-        self.column = np.full(SYMBOLS, len(seen), np.int64)  # never seen: the last column
-        self.column[seen] = np.arange(len(seen))
-        self.width = len(seen) + 1
-        # contexts also hold the boundary, which may never be a symbol that was counted
-        syms = [code // SYMBOLS**k % SYMBOLS for k in range(ORDER, -1, -1)]
-        self.context = np.zeros(SYMBOLS, np.int64)
-        used = np.unique(np.concatenate([seen, *(np.unique(x) for x in syms[:-1])])) if len(code) else seen
-        self.context[used] = np.arange(1, len(used) + 1)  # 0: in no context
-        self.base = len(used) + 1
-        dense = [self.context[x] for x in syms[:-1]]
-        self.order = ORDER
-        while self.order > 1 and (self._contexts(dense)[0].size * self.width + self.base**self.order) * 4 > table_mb << 20:
-            self.order -= 1
-        rows, lower, ids = [], None, None
-        for k in range(self.order + 1):
-            key = self._key(dense[ORDER - k :]) if k else np.zeros(len(code), np.int64)
-            ctx, row = np.unique(key, return_inverse=True)
-            if not len(ctx):
-                ctx, row = np.zeros(1 if k == 0 else 0, np.int64), np.zeros(0, np.int64)
-            n = np.zeros((len(ctx), self.width), np.float64)
-            np.add.at(n, (row, self.column[syms[-1]]), count)
-            hit = n > 0
-            if k == 0:
-                low = np.zeros_like(n)
-                low[:, -1] = 1 / max(1, SYMBOLS - len(seen))
-                parent = None
-            else:
-                parent = np.searchsorted(before[0], ctx % self.base ** (k - 1)) if k > 1 else np.zeros(len(ctx), np.int64)
-                up = np.where(hit, 0, before[1][parent])
-                total, kinds = up.sum(axis=1, keepdims=True), (up > 0).sum(axis=1, keepdims=True)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    low = np.where(up > 0, up / (total + kinds), np.where(kinds > 0, kinds / (total + kinds), 1.0) * before[2][parent])
-                low[hit] = 0
-            total, kinds = n.sum(axis=1, keepdims=True), hit.sum(axis=1, keepdims=True)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                p = np.where(hit, n / (total + kinds), np.where(kinds > 0, kinds / (total + kinds), 1.0) * low)
-            first = sum(len(r) for r in rows)
-            new = np.zeros(self.base**k, np.int32)
-            if k:  # contexts never seen: the shorter context's row
-                new[:] = np.tile(ids, self.base)
-            new[ctx] = first + np.arange(len(ctx))
-            ids, before = new, (ctx, n, low)
-            with np.errstate(divide="ignore"):
-                rows.append(np.log10(p).astype(np.float32))
-        self.ids, self.rows = ids, np.concatenate(rows)
-
-    def _key(self, dense) -> np.ndarray:
-        key = np.zeros(len(dense[0]), np.int64)
-        for d in dense:
-            key = key * self.base + d
-        return key
-
-    def _contexts(self, dense):
-        return np.unique(self._key(dense[ORDER - self.order :])), None
+    """log10 P(symbol | context), from counts of codes of an order's contexts with their symbols.
+
+    Kept for each order: the logarithm of each string's count, and of each
+    context its own escape and, for who escaped from it, the share of one count
+    and the escape among the shorter context's symbols that it has not. A
+    string that was seen at the greatest order is one look-up.
+    """
+
+    def __init__(self, code: np.ndarray, count: np.ndarray, order: int = ORDER):
+        self.order, self.levels = order, []
+        last = None
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for k in range(order + 1):
+                strings, at = np.unique(code % SYMBOLS ** (k + 1), return_inverse=True)
+                n = np.bincount(at, weights=count, minlength=len(strings))
+                contexts, of = np.unique(strings // SYMBOLS, return_inverse=True)
+                total, kinds = np.bincount(of, weights=n, minlength=len(contexts)), np.bincount(of, minlength=len(contexts))
+                level = {"strings": Index(strings), "contexts": Index(contexts), "log_n": np.log10(n), "log_p": np.log10(n / (total + kinds)[of]), "escape": np.log10(kinds / (total + kinds))}
+                if k:
+                    up = np.searchsorted(last[0], strings % SYMBOLS**k)  # the same symbol after the shorter context
+                    parent = np.searchsorted(last[2], contexts % SYMBOLS ** (k - 1))
+                    rest = last[3][parent] - np.bincount(of, weights=last[1][up], minlength=len(contexts))
+                    new = last[4][parent] - kinds
+                    level["one"] = -np.log10(rest + new)
+                    level["further"] = np.where(new > 0, np.log10(new / (rest + new)), 0.0)
+                last = strings, n, contexts, total, kinds
+                self.levels.append(level)
+        self.novel = -np.log10(max(1, SYMBOLS - len(np.unique(code % SYMBOLS))))
+
+    def log_p(self, code: np.ndarray) -> np.ndarray:
+        """Of codes of the trie's order."""
+        top = self.levels[self.order]
+        at = top["strings"].find(code)
+        out = top["log_p"][at] if len(top["log_p"]) else np.zeros(len(code))
+        rest = np.flatnonzero(at < 0)
+        out[rest] = self._unseen(code[rest])
+        return out
+
+    def _unseen(self, code: np.ndarray) -> np.ndarray:
+        out, live = np.zeros(len(code)), np.arange(len(code))
+        above = np.full(len(code), -1, np.int64)  # the longer context that was escaped from, if any was seen
+        for k in range(self.order, -1, -1):
+            level = self.levels[k]
+            string, context = level["strings"].find(code[live] % SYMBOLS ** (k + 1)), level["contexts"].find(code[live] // SYMBOLS % SYMBOLS**k)
+            entered, seen = above[live] >= 0, string >= 0
+            begin = ~entered & (context >= 0)
+            out[live[begin & seen]] = level["log_p"][string[begin & seen]]
+            out[live[begin & ~seen]] = level["escape"][context[begin & ~seen]]
+            if k < self.order:
+                longer = self.levels[k + 1]
+                hit, miss = entered & seen, entered & ~seen
+                out[live[hit]] += level["log_n"][string[hit]] + longer["one"][above[live[hit]]]
+                out[live[miss]] += longer["further"][above[live[miss]]]
+            above[live] = context
+            live = live[~(seen & (entered | begin))]
+        out[live] += self.novel
+        return out
 
     def texts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
         out = np.zeros(len(at) - 1)
-        flat = self.rows.reshape(-1)
         for i, j in _slices(at):
             s, start = symbols(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            c = self.context[s]
-            ctx = np.zeros(len(s), np.int64)
-            for k in range(self.order, 0, -1):
-                ctx[self.order :] = ctx[self.order :] * self.base + c[self.order - k : len(s) - k]
-            logp = flat[self.ids[ctx].astype(np.int64) * self.width + self.column[s]].astype(np.float64)
+            code = np.zeros(len(s) - ORDER, np.int64)
+            for k in range(ORDER - self.order, ORDER + 1):
+                code = code * SYMBOLS + s[k : len(s) - ORDER + k]
+            logp = np.zeros(len(s))
+            logp[ORDER:] = self.log_p(code)
             for k in range(ORDER):
                 logp[start[:-1] + k] = 0
             out[i:j] = np.add.reduceat(logp, start[:-1])
@@ -151,6 +184,11 @@ def _count(batches):
     import pyarrow as pa
 
     words: dict[int, Counter] = {}
+    strings: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def merged(parts):
+        code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+        return code, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(code)).astype(np.int64)
 
     def rows(block, word, gram, n):
         k = len(n)
@@ -179,8 +217,12 @@ def _count(batches):
                 part = np.concatenate([data[at[k] : at[k + 1]] for k in mine]) if len(mine) else data[:0]
             else:
                 part = data[at[i] : at[j]]
-            code, n = grams(part, np.concatenate([[0], np.cumsum(size)]))
-            yield rows(pa.nulls(len(code), pa.int32()), None, pa.array(code), n)
+            strings.append(grams(part, np.concatenate([[0], np.cumsum(size)])))
+            if len(strings) > 8:
+                strings = [merged(strings)]
+    if strings:
+        code, n = merged(strings)
+        yield rows(pa.nulls(len(code), pa.int32()), None, pa.array(code), n)
     for block, found in words.items():
         keys, n = list(found), np.fromiter(found.values(), np.int64, len(found))
         for i in range(0, len(keys), 100_000):
@@ -188,7 +230,7 @@ def _count(batches):
             yield rows(pa.array(np.full(len(part), block, np.int32)), pa.array(part, pa.binary()), None, n[i : i + 100_000])
 
 
-def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", table_mb: int = 64, block_bytes: int = 16 << 20) -> tuple[DataFrame, int, int]:
+def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", table_mb: int = 192, block_bytes: int = 16 << 20) -> tuple[DataFrame, int, int]:
     """(id, learn, n_tokens, n_known, word_log, score) of every row, N and V.
 
     word_log is the sum of log10(c + 0.5) over the row's tokens, score the trie's
@@ -202,9 +244,12 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     counted = materialize(
         dealt.select("block", "learn", "text").repartition(blocks, "block").mapInArrow(_count, "block int, word binary, gram bigint, n bigint")
     )
-    byte_counts = counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    code = byte_counts.column("gram").to_numpy()
-    trie = ByteTrie(code, byte_counts.column("n").to_numpy(), table_mb)
+    order, byte_counts = ORDER, materialize(counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")))
+    while order > 1 and byte_counts.count() * _STRING_BYTES > table_mb << 20:
+        shorter = F.col("gram") % SYMBOLS**order
+        order, byte_counts = order - 1, materialize(byte_counts.groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n")))
+    byte_counts = byte_counts.toArrow()
+    trie = ByteTrie(byte_counts.column("gram").to_numpy(), byte_counts.column("n").to_numpy(), order)
     shared = spark.sparkContext.broadcast(trie)  # table_mb bounds it
     by_word = Window.partitionBy("word")
     totals = counted.where("word is not null").select(

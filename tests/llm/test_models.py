@@ -115,17 +115,17 @@ def test_quality_defined_cases(spark):
 # -- partial matching
 
 
-def brute_ppm(train, text):
-    counts = [{} for _ in range(4)]
+def brute_ppm(train, text, order=4):
+    counts = [{} for _ in range(5)]
     for t in train:
-        s = [256] * 3 + list(t) + [256]
-        for i in range(3, len(s)):
-            for k in range(4):
+        s = [256] * 4 + list(t) + [256]
+        for i in range(4, len(s)):
+            for k in range(5):
                 counts[k].setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
-    total, s = 0.0, [256] * 3 + list(text) + [256]
-    for i in range(3, len(s)):
+    total, s = 0.0, [256] * 4 + list(text) + [256]
+    for i in range(4, len(s)):
         p, out = 1.0, set()
-        for k in (3, 2, 1, 0):
+        for k in range(order, -1, -1):
             c = {a: n for a, n in counts[k].get(tuple(s[i - k : i]), {}).items() if a not in out}
             if not c:
                 continue
@@ -149,13 +149,20 @@ TEXTS = [b"the cat", b"", b"zebra!", b"cat mat the flat aaa", b"\xff\x00xyz", b"
 
 
 def test_trie_equals_brute_force_and_sums_to_one():
-    trie = lm_score.ByteTrie(*lm_score.grams(*as_arrow(TRAIN)))
-    assert trie.order == 3
-    assert np.allclose(trie.texts(*as_arrow(TEXTS)), [brute_ppm(TRAIN, t) for t in TEXTS], atol=1e-5)
-    p = 10.0**trie.rows
-    assert np.allclose(p[:, :-1].sum(axis=1) + p[:, -1] * (lm_score.SYMBOLS - trie.width + 1), 1, atol=1e-5)
-    assert np.allclose(lm_score.ByteTrie(np.zeros(0, np.int64), np.zeros(0, np.int64)).texts(*as_arrow([b"ab"])), -3 * math.log10(257), atol=1e-5)
-    assert lm_score.ByteTrie(*lm_score.grams(*as_arrow(TRAIN)), table_mb=0).order == 1
+    code, n = lm_score.grams(*as_arrow(TRAIN))
+    trie = lm_score.ByteTrie(code, n)
+    assert np.allclose(trie.texts(*as_arrow(TEXTS)), [brute_ppm(TRAIN, t) for t in TEXTS], atol=1e-9)
+    for order in (1, 2):
+        short, at = np.unique(code % lm_score.SYMBOLS ** (order + 1), return_inverse=True)
+        lower = lm_score.ByteTrie(short, np.bincount(at, weights=n), order)
+        assert np.allclose(lower.texts(*as_arrow(TEXTS)), [brute_ppm(TRAIN, t, order) for t in TEXTS], atol=1e-9)
+    for context in (b"a ca", b"the ", b"zzzt", b"at i", b"xq\x00\xff"):
+        base = 0
+        for c in context:
+            base = base * lm_score.SYMBOLS + c
+        assert abs((10.0 ** trie.log_p(base * lm_score.SYMBOLS + np.arange(lm_score.SYMBOLS))).sum() - 1) < 1e-9
+    nothing = lm_score.ByteTrie(np.zeros(0, np.int64), np.zeros(0, np.int64))
+    assert np.allclose(nothing.texts(*as_arrow([b"ab"])), -3 * math.log10(257))
 
 
 def test_scores_equal_brute_force(spark):
@@ -174,6 +181,14 @@ def test_scores_equal_brute_force(spark):
     assert sorted(got) == sorted(want)
 
 
+def test_a_small_bound_lowers_the_order(spark):
+    df = spark.createDataFrame([(i, t.decode("latin1")) for i, t in enumerate(TRAIN + TEXTS)], "doc_id long, text string")
+    found, _, _ = lm_score.lm_scores(df, F.col("doc_id") < len(TRAIN), table_mb=0)
+    got = {r.id: r.score for r in found.collect()}
+    train = [t.decode("latin1").encode() for t in TRAIN]
+    assert all(abs(got[i] - brute_ppm(train, t.decode("latin1").encode(), 1)) < 1e-6 for i, t in enumerate(TRAIN + TEXTS))
+
+
 def test_score_of_an_empty_table(spark):
     found, n, v = lm_score.lm_scores(spark.createDataFrame([], "doc_id long, text string"), F.lit(True))
     assert found.count() == 0 and (n, v) == (0, 0)
