@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docframe.functions import numbers, sniff, text, urls
-from docframe.operators import dom, markdown, relations
+from docframe.operators import css, dom, markdown, relations
 from docframe.sources import documents
 from docframe.streaming import ingest
 
@@ -589,3 +589,20 @@ def content_outline(spark, sf_dir):
 def event_sessions(spark, sf_dir):
     """Sessions by a gap of an hour: the batch form of the streaming query."""
     return ingest.sessions(read(spark, sf_dir, "events"), "ts", ["user_id"], "1 hour").select("user_id", "first", "last", "n")
+
+
+@query(
+    r"""SELECT page_id, trim(s) AS selector, trim(d[1]) AS property, trim(d[2]) AS value FROM (
+        SELECT page_id, regexp_extract(css, '^([^{]*)\{', 1) AS s, string_split(unnest(list_filter(string_split(regexp_extract(css, '\{([^}]*)\}', 1), ';'), lambda x: trim(x) <> '')), ':') AS d
+        FROM (SELECT page_id, regexp_extract(html, '(?is)<style[^>]*>(.*?)</style', 1) AS css FROM pages))"""
+)
+def css_rules(spark, sf_dir):
+    """The same declarations by the parser."""
+    return css.rules_of(read(spark, sf_dir, "pages", "page_id", "html")).select("page_id", "selector", "property", "value")
+
+
+@query(f"SELECT page_id, side AS property, '0' AS value, count(*) AS elements FROM {_TAGS}, (VALUES ('margin-top'), ('margin-right'), ('margin-bottom'), ('margin-left')) AS t(side) WHERE tag = 'p' GROUP BY 1, 2")
+def computed_styles(spark, sf_dir):
+    """Cascade over parsed sheets: shorthands expanded, the heaviest declaration of each element wins."""
+    won = css.winners(css.declared_of(read(spark, sf_dir, "pages", "page_id", "html")), ["page_id", "pre"])
+    return won.groupBy("page_id", "property", "value").agg(F.count("*").alias("elements"))
