@@ -19,6 +19,8 @@ empty result; other columns are not read.
 
 from __future__ import annotations
 
+from operator import eq
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,11 +32,11 @@ _CLASS = np.full(256, 14, np.uint8)
 _CLASS[ord("a") : ord("z") + 1], _CLASS[ord("A") : ord("Z") + 1], _CLASS[ord("0") : ord("9") + 1], _CLASS[128:] = 0, 1, 2, 15
 for _n, _marks in enumerate((b" \t", b"\r\n", b".", b",", b"!?", b"|", b"#$%&*", b"'\"`", b"-_", b"()[]{}", b"<>=/\\"), start=3):
     _CLASS[list(_marks)] = _n
-WIDTH = 256 + 256 + 3
+WIDTH = 256 + 256 + 6
 
 
 def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """A row a text: roots of byte and class-pair shares, the share of repeated lines, length, mean line length."""
+    """A row a text: roots of byte and class-pair shares; shares of repeated lines, of words that repeat the last one, of distinct words and word pairs; length, mean line length."""
     out = np.zeros((len(at) - 1, WIDTH), np.float32)
     for row, i, j in zip(out, at[:-1], at[1:], strict=True):
         text, n = data[i:j], j - i
@@ -43,8 +45,12 @@ def features(data: np.ndarray, at: np.ndarray) -> np.ndarray:
         row[:256] = np.sqrt(np.bincount(text, minlength=256) / n)
         kind = _CLASS[text]
         row[256:512] = np.sqrt(np.bincount((kind[:-1] << 4) | kind[1:], minlength=256) / n)
-        lines = text.tobytes().split(b"\n")
-        row[512:] = 1 - len(set(lines)) / len(lines), np.log1p(n) / 10, np.log1p(n / len(lines)) / 10
+        raw = text.tobytes()
+        lines, words = raw.split(b"\n"), raw.split()
+        k = max(1, len(words))
+        row[512:] = (
+            1 - len(set(lines)) / len(lines), sum(map(eq, words, words[1:])) / k, len(set(words)) / k, len(set(zip(words, words[1:], strict=False))) / k, np.log1p(n) / 10, np.log1p(n / len(lines)) / 10,
+        )
     return out
 
 
