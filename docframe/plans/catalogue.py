@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docframe.functions import numbers, sniff, text, urls
-from docframe.operators import css, dom, markdown, relations
+from docframe.operators import bidi, css, dom, markdown, relations
 from docframe.sources import documents
 from docframe.streaming import ingest
 
@@ -606,3 +606,16 @@ def computed_styles(spark, sf_dir):
     """Cascade over parsed sheets: shorthands expanded, the heaviest declaration of each element wins."""
     won = css.winners(css.declared_of(read(spark, sf_dir, "pages", "page_id", "html")), ["page_id", "pre"])
     return won.groupBy("page_id", "property", "value").agg(F.count("*").alias("elements"))
+
+
+@query("SELECT doc_id, (i - 1)::INT AS line, 0 AS start, length(ls[i])::INT AS \"end\", 0 AS level FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS t(i) WHERE ls[i] <> ''")
+def bidi_levels(spark, sf_dir):
+    """Runs of one bidirectional level; this corpus goes left to right throughout."""
+    return bidi.levels_of(read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("SELECT doc_id, count(*) AS lines FROM (SELECT doc_id, unnest(string_split(rtrim(text, chr(10)), chr(10))) FROM documents WHERE text <> '') GROUP BY 1")
+def line_breaks(spark, sf_dir):
+    """Places where a line must end; those where it may are in the same relation."""
+    found = bidi.breaks_of(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return found.where("must").groupBy("doc_id").agg(F.count("*").alias("lines"))
