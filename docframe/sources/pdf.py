@@ -2,7 +2,7 @@
 
 Objects are found by scanning, so a damaged cross-reference table is no matter:
 of several objects of one number the last counts. Encrypted files are reported
-as an error. A content stream is run for its text only.
+as an error unless the password (by default the empty one) opens them. A content stream is run for its text only.
 """
 
 from __future__ import annotations
@@ -249,15 +249,50 @@ def inflate(b: bytes) -> bytes:
 
 
 class File:
-    def __init__(self, b: bytes):
-        self.b, self.at, self.cache, self.errors, self.packed = b, {}, {}, [], {}
+    def __init__(self, b: bytes, password: bytes = b""):
+        self.b, self.at, self.gen, self.cache, self.errors, self.packed, self.security = b, {}, {}, {}, [], {}, None
         for m in _OBJ.finditer(b):
-            self.at[int(m[1])] = m.end()
+            self.at[int(m[1])], self.gen[int(m[1])] = m.end(), int(m[2])
         self.trailer = {}
         for m in re.finditer(rb"\btrailer\b", b):
             t = Lexer(b, m.end()).value()
             if isinstance(t, dict):
                 self.trailer |= t
+        self._streams()
+        if "Encrypt" in self.trailer:
+            self._unlock(password)
+        if "Root" not in self.trailer:
+            self.trailer["Root"] = next((Ref(n) for n in self.at if isinstance(o := self.get(Ref(n)), dict) and o.get("Type") == "Catalog"), None)
+
+    def _unlock(self, password: bytes):
+        from docframe.sources.crypt import Security
+
+        ref = self.trailer["Encrypt"]
+        d = {k: self.get(v) for k, v in self.dict(ref).items()}
+        d["CF"] = {k: {a: self.get(x) for a, x in self.dict(v).items()} for k, v in (d.get("CF") or {}).items()}
+        first = (self.list(self.trailer.get("ID")) or [b""])[0]
+        if d.get("Filter") == "Standard" and isinstance(d.get("O"), bytes) and isinstance(d.get("U"), bytes):
+            security = Security(d, first if isinstance(first, bytes) else b"", password)
+            if security.key is not None:
+                self.security, self.plain = security, ref.num if isinstance(ref, Ref) else -1
+                self.cache, self.packed = {}, {}
+                self._streams()
+
+    def _decrypted(self, num: int, o):
+        if isinstance(o, bytes):
+            return self.security.decrypt(num, self.gen.get(num, 0), o)
+        if isinstance(o, list):
+            return [self._decrypted(num, x) for x in o]
+        if isinstance(o, dict):
+            return {k: self._decrypted(num, v) for k, v in o.items()}
+        if isinstance(o, Stream):
+            if o.dict.get("Type") == "XRef":
+                return o
+            return Stream(self._decrypted(num, o.dict), self.security.decrypt(num, self.gen.get(num, 0), o.raw))
+        return o
+
+    def _streams(self):
+        """Cross-reference streams give the trailer, object streams give objects."""
         for num in list(self.at):
             o = self.get(Ref(num))
             if isinstance(o, Stream):
@@ -266,8 +301,6 @@ class File:
                     self.trailer = {k: v for k, v in o.dict.items() if k in ("Root", "Info", "Encrypt", "ID")} | self.trailer
                 elif kind == "ObjStm":
                     self._unpack(o)
-        if "Root" not in self.trailer:
-            self.trailer["Root"] = next((Ref(n) for n in self.at if isinstance(o := self.get(Ref(n)), dict) and o.get("Type") == "Catalog"), None)
 
     def _unpack(self, s: Stream):
         data, n, first = self.data(s), self.get(s.dict.get("N")) or 0, self.get(s.dict.get("First")) or 0
@@ -300,7 +333,7 @@ class File:
                         end = self.b.find(b"endstream", start)
                         end = len(self.b) if end < 0 else end
                     o = Stream(o, self.b[start:end])
-            self.cache[num] = o
+            self.cache[num] = o if self.security is None or num == self.plain else self._decrypted(num, o)
         elif num in self.packed:
             self.cache[num] = Lexer(*self.packed[num]).value()
         return self.cache[num]
@@ -663,7 +696,7 @@ def labels(f: File, n: int) -> list[str]:
 
     walk(f.dict(f.trailer.get("Root")).get("PageLabels"), 0)
     out, entries = [""] * n, [(k, d) for k, d in entries if isinstance(k, int) and 0 <= k < n]
-    for (first, d), (stop, _) in zip(entries, [*entries[1:], (n, None)], strict=True):
+    for (first, d), (stop, _) in zip(entries, [*entries[1:], (n, None)], strict=False):
         start = max(1, f.get(d.get("St")) or 1) if isinstance(f.get(d.get("St")) or 1, int) else 1
         for p in range(first, stop):
             k, style = start + p - first, f.get(d.get("S"))
@@ -676,13 +709,13 @@ def is_pdf(b: bytes) -> bool:
     return b"%PDF-" in b[:1024]
 
 
-def open_pdf(b: bytes):
-    """A Book whose parts are the pages' texts."""
+def open_pdf(b: bytes, password: str = ""):
+    """A Book whose parts are the pages' texts; the password is the user's or the owner's."""
     from docframe.sources.containers import Book, Part
 
-    f = File(b)
+    f = File(b, password.encode())
     book = Book("pdf")
-    if "Encrypt" in f.trailer:
+    if "Encrypt" in f.trailer and f.security is None:
         book.errors.append("encrypted")
         return book
     info = f.dict(f.trailer.get("Info"))

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zipfile
 import zlib
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import numbers, sniff, text, urls
 from docframe.operators import dom, markdown
-from docframe.sources import containers, documents, pdf, spreadsheet, stext, svg
+from docframe.sources import containers, crypt, documents, pdf, spreadsheet, stext, svg
 from docframe.streaming import ingest
 
 
@@ -158,6 +159,43 @@ def test_pdf_filters_and_strings():
     assert m == {1: "A", 2: "B", 3: "C", 9: "fi"} and w == {2}
 
 
+def test_ciphers():
+    assert crypt.rc4(b"Key", b"Plaintext").hex() == "bbf316e8d940af0ad3"
+    key, plain = bytes(range(16)), bytes.fromhex("00112233445566778899aabbccddeeff")
+    assert bytes(crypt._encrypt_block(plain, crypt._schedule(key))).hex() == "69c4e0d86a7b0430d8cdb78070b4c55a"
+    key = bytes(range(32))
+    assert bytes(crypt._encrypt_block(plain, crypt._schedule(key))).hex() == "8ea2b7ca516745bfeafc49904b496089"
+    assert crypt.aes_cbc(key, crypt.aes_cbc_encrypt(key, b"hello".ljust(16, b"\x0b"), bytes(16)), bytes(16)) == b"hello"
+
+
+@pytest.mark.parametrize("password", ["user", "owner"])
+def test_encrypted_pdf_opens_with_either_password(password):
+    """A file of revision 3, encrypted here by the published steps."""
+    pad = lambda p: (p + crypt.PADDING)[:32]
+    h = hashlib.md5(pad(b"owner")).digest()
+    for _ in range(50):
+        h = hashlib.md5(h).digest()
+    o = pad(b"user")
+    for k in range(20):
+        o = crypt.rc4(bytes(c ^ k for c in h), o)
+    d = {"V": 2, "R": 3, "Length": 128, "P": -4, "O": o, "U": b""}
+    s = crypt.Security.__new__(crypt.Security)
+    s.v, s.r, s.length, s.meta, s.method = 2, 3, 16, True, "rc4"
+    s.key = s._from_user(d, b"id", b"user")
+    u = crypt.rc4(s.key, hashlib.md5(crypt.PADDING + b"id").digest())
+    for k in range(1, 20):
+        u = crypt.rc4(bytes(c ^ k for c in s.key), u)
+    content, title = s.decrypt(4, 0, b"BT /F 10 Tf (secret) Tj ET"), s.decrypt(8, 0, b"T")
+    file = build_pdf([
+        "<< /Type /Catalog /Pages 2 0 R >>", "<< /Type /Pages /Kids [3 0 R] >>", "<< /Type /Page /Contents 4 0 R /Resources << /Font << /F 5 0 R >> >> >>",
+        b"<< /Length %d >>\nstream\n" % len(content) + content + b"\nendstream", "<< /Type /Font >>", "<< >>", b"<< /Filter /Standard /V 2 /R 3 /Length 128 /P -4 /O <%s> /U <%s> >>" % (o.hex().encode(), u.ljust(32, b"\0").hex().encode()),
+        b"<< /Title <%s> >>" % title.hex().encode(),
+    ], b"/Encrypt 7 0 R /ID [(id) (id)] ")
+    assert pdf.open_pdf(file).errors == ["encrypted"]
+    b = pdf.open_pdf(file, password)
+    assert b.spine()[0].data == b"secret" and b.metadata["title"] == "T"
+
+
 def test_encrypted_pdf_is_reported():
     assert pdf.open_pdf(build_pdf(["<< /Type /Catalog >>"], b"/Encrypt 3 0 R ")).errors == ["encrypted"]
 
