@@ -106,10 +106,12 @@ def cells(distance: int) -> list[tuple[int, list[int]]]:
     return [(masks[i] | masks[j] | masks[k], [masks[g] for g in range(k) if g not in (i, j)]) for i, j, k in combinations(range(distance + 3), 3)]
 
 
-def forest_of_cells(distance: int):
-    """mapInArrow function: rows (cell, block, t, fp) sorted by (cell, block) to the links of a spanning forest of each."""
+def forest_of_cells(distance: int, sketch_distance: int | None = None, sketches: int = 0):
+    """mapInArrow function: rows (mask, block, fp, node, s0..) sorted by cell and block to the links of a spanning forest of each."""
+    masks = np.array([m for m, _ in cells(distance)], np.uint64)
+    low, one = np.uint64(_LOW), np.uint64(1)
 
-    def links(key, t, fp):
+    def links(key, t, fp, sketch):
         n = len(fp)
         root = np.arange(n)
         i = np.flatnonzero((key[1:] == key[:-1]).all(axis=1))
@@ -118,6 +120,8 @@ def forest_of_cells(distance: int):
             near = i[np.bitwise_count(t[i] ^ t[i + d]) <= distance]
             near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= distance]
             near = near[root[near] != root[near + d]]
+            if sketch_distance is not None:
+                near = near[np.bitwise_count(sketch[near] ^ sketch[near + d]).sum(axis=1, dtype=np.int64) <= sketch_distance]
             for a in near:
                 x, y = a, a + d
                 while root[x] != x:
@@ -139,52 +143,56 @@ def forest_of_cells(distance: int):
         import pyarrow as pa
 
         def emit(rows):
-            key = np.stack([rows["cell"], rows["mask"], rows["block"]], axis=1)
-            at = links(key, rows["t"], rows["fp"])
-            u, v = rows["fp"].view(np.int64)[at[:, 0]], rows["fp"].view(np.int64)[at[:, 1]]
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+            at = links(rows["key"], rows["t"], rows["fp"], rows["sketch"])
+            return pa.RecordBatch.from_arrays([pa.array(rows["node"][at[:, 0]]), pa.array(rows["node"][at[:, 1]])], names=["u", "v"])
 
+        long = lambda b, c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
         held = None
         for b in batches:
-            new = {c: b.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "mask", "block", "t", "fp")}
-            new |= {c: new[c].astype(np.int64).view(np.uint64) for c in ("t", "fp")}
-            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
-            n = len(held["fp"])
-            if not n:
+            if not b.num_rows:
                 continue
-            open_ = np.flatnonzero((held["cell"] == held["cell"][-1]) & (held["mask"] == held["mask"][-1]) & (held["block"] == held["block"][-1]))[0]
+            mask, fp = long(b, "mask"), long(b, "fp").view(np.uint64)
+            high = fp >> one
+            t = ((fp | high) & low) | ((fp & high & low) << one)
+            new = {"key": np.stack([mask.view(np.uint64), t & masks[mask], long(b, "block").view(np.uint64)], axis=1), "t": t, "fp": fp, "node": long(b, "node")}
+            new["sketch"] = np.stack([long(b, f"s{k}").view(np.uint64) for k in range(sketches)], axis=1) if sketches else np.zeros((len(fp), 0), np.uint64)
+            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+            open_ = int(np.flatnonzero((held["key"] == held["key"][-1]).all(axis=1))[0])
             if open_:
                 yield emit({c: x[:open_] for c, x in held.items()})
                 held = {c: x[open_:] for c, x in held.items()}
-        if held is not None and len(held["fp"]):
+        if held is not None:
             yield emit(held)
 
     return run
 
 
-def near_links(fps: DataFrame, distance: int = 3, cell_rows: int = 20_000) -> DataFrame:
-    """Links (u, v) that connect all distinct fingerprints of fps(fp) within the distance."""
-    t = thermometer(F.col("fp"))
-    gridded = fps.select(
-        "fp", t.alias("t"),
-        F.explode(F.array(*(F.struct(F.lit(n).alias("mask"), t.bitwiseAND(_long(mask)).alias("cell")) for n, (mask, _) in enumerate(cells(distance))))).alias("g"),
-    ).select("fp", "t", "g.mask", "g.cell")
-    hot = gridded.groupBy("mask", "cell").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("mask", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks"))
+def near_links(fps: DataFrame, distance: int = 3, cell_rows: int = 20_000, sketch_distance: int | None = None) -> DataFrame:
+    """Links (u, v) that connect all distinct rows of fps(fp, node, s0..) within the distance, by node.
+
+    sketch_distance: the longer sketches s0.. may differ in so many bits together.
+    """
+    sketches = [c for c in fps.columns if c not in ("fp", "node")]
+    masks = F.array(*(_long(m) for m, _ in cells(distance)))
+    cell = thermometer(F.col("fp")).bitwiseAND(F.get(masks, F.col("mask"))).alias("cell")
+    gridded = fps.select("fp", "node", *sketches, F.explode(F.sequence(F.lit(0), F.lit(len(cells(distance)) - 1))).alias("mask"))
+    hot = gridded.groupBy("mask", cell).agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("mask", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks"))
     hot = materialize(hot)
     if hot.isEmpty():
         dealt = gridded.withColumn("block", F.lit(0).cast("bigint"))
     else:
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+        own = F.pmod(F.xxhash64("fp", "node"), F.col("blocks")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.least(own, j).cast("bigint") * F.col("blocks") + F.greatest(own, j)))
-        dealt = gridded.join(hot, ["mask", "cell"], "left").select("fp", "t", "mask", "cell", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pair)).alias("block"))
-    dealt = dealt.select("cell", "mask", "block", "t", "fp").repartition("cell", "mask", "block").sortWithinPartitions("cell", "mask", "block")
-    return dealt.mapInArrow(forest_of_cells(distance), "u bigint, v bigint")
+        dealt = gridded.withColumn("cell", cell).join(hot, ["mask", "cell"], "left").select(*gridded.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pair)).alias("block"))
+    # the cell is worked out where it is needed and not carried along
+    dealt = dealt.select("mask", "block", "fp", "node", *sketches).repartition("mask", cell, "block").sortWithinPartitions("mask", cell, "block")
+    return dealt.mapInArrow(forest_of_cells(distance, sketch_distance, len(sketches)), "u bigint, v bigint")
 
 
 def near_components(prints: DataFrame, distance: int = 3, cell_rows: int = 20_000) -> DataFrame:
     """(fp, component) for the distinct fingerprints of prints(id, fp): the smallest id reachable."""
     classes = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")))
-    roots = components(near_links(classes.select("fp"), distance, cell_rows))
+    roots = components(near_links(classes.select("fp", F.col("fp").alias("node")), distance, cell_rows))
     rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     return rooted.join(least, "root").select("fp", "component")
@@ -196,16 +204,65 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(near_components(prints, distance), "fp").select("id", "fp", "component")
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 3) -> DataFrame:
+#: Bits of each of the longer sketches' hashes are mixed by these odd factors.
+_MIXES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+
+
+def sketch(text: bytes, words: int = 5) -> tuple[int, ...]:
+    """A fingerprint of the distinct words of over three bytes, then three of the word shingles."""
+    vocabulary = {w.strip(b".,;:!?") for w in text.lower().split() if len(w) > 3}
+    parts = [np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary], np.uint64)]
+    counts, n = np.zeros((4, 64), np.int64), [len(vocabulary), 0, 0, 0]
+
+    def add(k, hashes):
+        for i in range(0, len(hashes), 1 << 16):
+            counts[k] += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+    add(0, parts[0])
+    for h in shingle_hashes(text, words):
+        for k in range(3):
+            add(k + 1, h if not k else (h ^ (h >> np.uint64(32))) * np.uint64(_MIXES[k - 1]))
+            n[k + 1] += len(h)
+    return tuple(int(np.packbits(c * 2 > m, bitorder="little").view("<u8")[0]) for c, m in zip(counts, n, strict=True))
+
+
+def sketched(df: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame:
+    """All columns of every row, and ``_fp``, ``_s0``, ``_s1``, ``_s2`` as BIGINTs."""
+    at, names = df.columns.index(text_col), ("_fp", "_s0", "_s1", "_s2")
+    fields = [T.StructField(f"_k{i}", f.dataType) for i, f in enumerate(df.schema)] + [T.StructField(n, T.LongType()) for n in names]
+    all_names = [f.name for f in fields]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = np.array([sketch(t, words) for _, texts in text_chunks(b.column(at)) for t in texts], np.uint64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(4))], names=all_names)
+
+    return df.mapInArrow(run, T.StructType(fields))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 5, sketch_distance: int = 32, cell_rows: int = 20_000) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest id.
 
-    Rows are told apart by a number of their own, so repeated ids are no matter.
+    A fingerprint of shingles moves by ten bits for a copy with a fifth of its
+    shingles changed, too far for a grid. The grid therefore joins fingerprints
+    of the distinct words, which move by few bits for such a copy, and a pair
+    is linked if three fingerprints of its word shingles together differ in at
+    most sketch_distance of 192 bits: 29 are the angle of sets of similarity
+    0.8. Rows are told apart by a number of their own, so repeated ids are no
+    matter.
     """
-    held = materialize(fingerprints(docs, docs.columns, text_col, words).withColumn("_row", F.monotonically_increasing_id()))
-    prints = held.select(F.col("_row").alias("id"), F.col("_fp").alias("fp"))
-    groups = held.select("_row", "_fp", F.col(id_col).alias("_id")).join(near_components(prints, distance), F.col("_fp") == F.col("fp"))
-    kept = groups.groupBy("component").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
-    return held.join(kept, "_row", "left_semi").select(*docs.columns)
+    keys = ["_fp", "_s0", "_s1", "_s2"]
+    held = materialize(sketched(docs, text_col, words).withColumn("_row", F.monotonically_increasing_id()))
+    classes = materialize(held.groupBy(*keys).agg(F.min("_row").alias("node")))
+    links = near_links(classes.select(F.col("_fp").alias("fp"), "node", *(F.col(f"_s{k}").alias(f"s{k}") for k in range(3))), distance, cell_rows, sketch_distance)
+    roots = components(links).withColumnRenamed("node", "_node")
+    rooted = classes.join(roots, F.col("node") == F.col("_node"), "left").select(*keys, F.coalesce("root", "node").alias("root"))
+    key = f"_k{docs.columns.index(id_col)}"
+    groups = held.select("_row", *keys, F.col(key).alias("_id")).join(rooted, keys)
+    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    return held.join(kept, "_row", "left_semi").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op4_simhash_dedup(spark, sf_dir):

@@ -89,6 +89,22 @@ def test_defined_cases(spark):
     assert sorted(r.doc_id for r in kept) == [3, 9]
 
 
+def test_copies_of_similarity_beyond_four_fifths_go_and_others_stay(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(3, 10)))
+    texts, near = [[word() for _ in range(300)] for _ in range(30)], []
+    for w in texts:
+        for _ in range(4):
+            copy = list(w)
+            for i in rng.sample(range(len(copy)), 4):
+                copy[i] = word()
+            near.append(copy)
+    half = [w[:150] + [word() for _ in range(150)] for w in texts]
+    rows = [(i, " ".join(w)) for i, w in enumerate([*texts, *half, *near])]
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), cell_rows=30).collect()}
+    assert kept >= set(range(60)) and len(kept) <= 60 + 0.15 * len(near)
+
+
 def test_query(spark):
     from tests.oracle import SF
 
