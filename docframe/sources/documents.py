@@ -97,3 +97,59 @@ def cells(df: DataFrame, key: str = "path", content: str = "content") -> DataFra
     """Worksheet cells of spreadsheets."""
     schema = "sheet string, row int, col int, type string, raw string, format string, text string, colspan int, rowspan int"
     return _explode(df, key, content, schema, lambda d: [(c.sheet, c.row, c.col, c.type, c.raw, c.format, c.text, c.colspan, c.rowspan) for c in _book(d).cells])
+
+
+def _pdf(data: bytes):
+    from docframe.sources import pdf
+
+    if not pdf.is_pdf(data):
+        return None, []
+    f = pdf.File(data)
+    return (None, []) if "Encrypt" in f.trailer and f.security is None else (f, f.pages())
+
+
+def chars(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """Placed characters of PDF pages, in drawing order: see operators.stext for lines and blocks of them."""
+    from docframe.operators.stext import CHARS
+
+    def rows(data):
+        from docframe.sources import pdf
+
+        f, pages = _pdf(data)
+        out, fonts = [], {}
+        for n, page in enumerate(pages):
+            c = f.get(page.get("Contents"))
+            stream = b"\n".join(f.data(f.get(x)) for x in (c if isinstance(c, list) else [c]))
+            try:
+                out += [(n, k, x.c, x.x, x.y, x.dx, x.dy, x.size, x.advance) for k, x in enumerate(pdf.chars_of(f, f.dict(page.get("Resources")), stream, fonts=fonts))]
+            except (ValueError, TypeError, KeyError, IndexError):
+                continue  # what was read of the page stays unread; metadata() tells
+        return out
+
+    return _explode(df, key, content, CHARS, rows)
+
+
+def links(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """Links of any document: the part they are in, target part, fragment or uri, label, and the rectangle on PDF pages."""
+
+    def rows(data):
+        from docframe.operators.dom import node_text, parse
+        from docframe.sources import pdf, svg
+        from docframe.sources.containers import as_markup, rel
+        from docframe.sources.xml import tree
+
+        if pdf.is_pdf(data):
+            f, pages = _pdf(data)
+            number = {p["#ref"].num: n for n, p in enumerate(pages) if isinstance(p["#ref"], pdf.Ref)}
+            return [(f"page{n}", k, uri or None, f"page{to}" if to is not None else None, "", "", r if len(r) == 4 else None) for n, p in enumerate(pages) for k, (r, uri, to) in enumerate(pdf.links(f, p, number))]
+        if svg.is_svg(data):
+            return [("drawing", k, href, None, "", label, None) for k, (href, label) in enumerate(svg.links(tree(svg._plain(data))))]
+        out = []
+        for p in _book(data).spine():
+            for k, a in enumerate(x for x in parse(as_markup(p)).find("a") if x.attrs.get("href")):
+                href, label = a.attrs["href"], " ".join(node_text(a).split())
+                outside = href.find("://") > 0 or href.startswith(("mailto:", "tel:", "data:"))
+                out.append((p.path, k, href if outside else None, None if outside else rel(p.path, href), "" if outside else href.partition("#")[2], label, None))
+        return out
+
+    return _explode(df, key, content, "part string, ord int, uri string, target string, fragment string, label string, rect array<double>", rows)
