@@ -10,6 +10,7 @@ import html
 import io
 import posixpath
 import re
+import struct
 import zipfile
 import zlib
 from dataclasses import dataclass, field
@@ -19,6 +20,7 @@ from xml.etree import ElementTree
 from docframe.functions.sniff import READS_AS_MARKUP, TITLE
 from docframe.operators import dom
 from docframe.sources import spreadsheet
+from docframe.sources.huff import Huff
 from docframe.sources.xml import X, tree
 
 MOST_PART = 64 << 20
@@ -86,7 +88,7 @@ def open_book(b: bytes) -> Book:
             return book
         if b and not re.search(rb"[\x00-\x08\x0b\x0e-\x1f]", b[:4096]):
             return Book("text", [Part("index.txt", "text/plain", b, spine=0)])
-    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, zlib.error, RecursionError) as e:
+    except (zipfile.BadZipFile, ElementTree.ParseError, KeyError, ValueError, IndexError, zlib.error, RecursionError, struct.error) as e:
         return Book("unknown", errors=[f"{type(e).__name__}: {e}"])
     return Book("unknown", errors=["unsupported"])
 
@@ -472,7 +474,11 @@ def _mobi(b: bytes) -> Book:
     scheme, size, count = int.from_bytes(head[:2], "big"), int.from_bytes(head[4:8], "big"), int.from_bytes(head[8:10], "big")
     if int.from_bytes(head[12:14], "big"):
         return Book("mobi", errors=["encrypted"])
-    if scheme not in (1, 2):
+    unpack = {1: lambda r: r, 2: _palmdoc}.get(scheme)
+    if scheme == 17480:
+        first, n = int.from_bytes(head[112:116], "big"), int.from_bytes(head[116:120], "big")
+        unpack = Huff(rec(first), [rec(first + k) for k in range(1, n)]).unpack
+    if unpack is None:
         return Book("mobi", errors=[f"compression {scheme} is not supported"])
     encoding, extra = "utf-8", 0
     book = Book("mobi")
@@ -506,7 +512,7 @@ def _mobi(b: bytes) -> Book:
                 r = r[: len(r) - n] if n <= len(r) else b""
         if extra & 1 and r:
             r = r[: -((r[-1] & 3) + 1)]
-        text += _palmdoc(r) if scheme == 2 else r
+        text += unpack(r)
     markup = bytes(text[:size]).decode(encoding, "replace")
     kind = "text/html" if "<" in markup[:2000] else "text/plain"
     book.parts = [Part("index.html" if kind == "text/html" else "index.txt", kind, markup.encode(), spine=0)]

@@ -1,5 +1,6 @@
 import hashlib
 import io
+import struct
 import zipfile
 import zlib
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docframe.functions import numbers, sniff, text, urls
 from docframe.operators import dom, markdown
-from docframe.sources import containers, crypt, documents, pdf, spreadsheet, stext, svg
+from docframe.sources import containers, crypt, documents, huff, pdf, spreadsheet, stext, svg
 from docframe.streaming import ingest
 
 
@@ -136,6 +137,30 @@ def test_mobi():
     assert containers._palmdoc(b"ab\x80\x10\xe1") == b"abababa"[:2] + containers._palmdoc(b"ab\x80\x10")[2:] + b" a"
 
 
+def huff_tables(phrases):
+    """Eight-bit codes for all: code 255 - k is phrase k; a phrase given as codes is compressed itself."""
+    huff = b"HUFF" + struct.pack(">LLL", 24, 24, 24 + 1024) + bytes(8) + struct.pack(">256L", *[255 << 8 | 0x80 | 8] * 256) + struct.pack(">64L", *[0] * 64)
+    body, offsets = b"", []
+    for p in phrases:
+        offsets.append(2 * len(phrases) + len(body))
+        body += struct.pack(">H", len(p) | 0x8000) + p if isinstance(p, bytes) else struct.pack(">H", len(p)) + bytes(255 - k for k in p)
+    return huff, b"CDIC" + struct.pack(">LLL", 16, len(phrases), 8) + b"".join(struct.pack(">H", o) for o in offsets) + body
+
+
+def test_phrase_compression():
+    tables = huff_tables([b"hello", b" world", [0, 1], [3]])
+    assert huff.Huff(tables[0], [tables[1]]).unpack(bytes([255, 253, 252, 254])) == b"hellohello world world"
+    text = bytes([255, 253, 254])
+    head = bytearray(300)
+    head[0:2], head[4:8], head[8:10] = (17480).to_bytes(2, "big"), (100).to_bytes(4, "big"), (1).to_bytes(2, "big")
+    head[16:24], head[28:32], head[112:120] = b"MOBI" + (200).to_bytes(4, "big"), (65001).to_bytes(4, "big"), struct.pack(">LL", 2, 2)
+    records, at = [bytes(head), text, *tables], 78 + 8 * 4 + 2
+    out = b"name".ljust(32, b"\0") + b"\0" * 28 + b"BOOKMOBI" + b"\0" * 8 + (4).to_bytes(2, "big")
+    for r in records:
+        out, at = out + at.to_bytes(4, "big") + b"\0" * 4, at + len(r)
+    assert containers.text_of(containers.open_book(out + b"\0\0" + b"".join(records))) == "hellohello world world"
+
+
 def test_damaged_documents_are_errors_not_failures():
     assert containers.open_book(b"PK\x03\x04 nonsense").errors and containers.open_book(b"\0\1\2").errors == ["unsupported"] and containers.open_book(b"").errors
     assert documents._book(b"%PDF-1.4 nothing").spine() == [] and documents._book(EPUB[:200]).errors
