@@ -16,6 +16,9 @@ of blocks is a task of its own.
 
 Exact copies share a fingerprint and are one row from the first aggregation on.
 
+deduplicate, for similarities of shingle sets that no fingerprint of 64 bits can
+tell, joins prefixes of the sets and verifies each pair.
+
 Defined cases: null and wordless texts have the fingerprint zero and are linked
 like any other; a null id is never a component's id unless all ids in it are
 null; repeated rows are kept; an empty table gives an empty result; other
@@ -106,12 +109,12 @@ def cells(distance: int) -> list[tuple[int, list[int]]]:
     return [(masks[i] | masks[j] | masks[k], [masks[g] for g in range(k) if g not in (i, j)]) for i, j, k in combinations(range(distance + 3), 3)]
 
 
-def forest_of_cells(distance: int, sketch_distance: int | None = None, sketches: int = 0):
-    """mapInArrow function: rows (mask, block, fp, node, s0..) sorted by cell and block to the links of a spanning forest of each."""
+def forest_of_cells(distance: int):
+    """mapInArrow function: rows (mask, block, fp, node) sorted by cell and block to the links of a spanning forest of each."""
     masks = np.array([m for m, _ in cells(distance)], np.uint64)
     low, one = np.uint64(_LOW), np.uint64(1)
 
-    def links(key, t, fp, sketch):
+    def links(key, t, fp):
         n = len(fp)
         root = np.arange(n)
         i = np.flatnonzero((key[1:] == key[:-1]).all(axis=1))
@@ -120,8 +123,6 @@ def forest_of_cells(distance: int, sketch_distance: int | None = None, sketches:
             near = i[np.bitwise_count(t[i] ^ t[i + d]) <= distance]
             near = near[np.bitwise_count(fp[near] ^ fp[near + d]) <= distance]
             near = near[root[near] != root[near + d]]
-            if sketch_distance is not None:
-                near = near[np.bitwise_count(sketch[near] ^ sketch[near + d]).sum(axis=1, dtype=np.int64) <= sketch_distance]
             for a in near:
                 x, y = a, a + d
                 while root[x] != x:
@@ -143,7 +144,7 @@ def forest_of_cells(distance: int, sketch_distance: int | None = None, sketches:
         import pyarrow as pa
 
         def emit(rows):
-            at = links(rows["key"], rows["t"], rows["fp"], rows["sketch"])
+            at = links(rows["key"], rows["t"], rows["fp"])
             return pa.RecordBatch.from_arrays([pa.array(rows["node"][at[:, 0]]), pa.array(rows["node"][at[:, 1]])], names=["u", "v"])
 
         long = lambda b, c: b.column(c).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -155,7 +156,6 @@ def forest_of_cells(distance: int, sketch_distance: int | None = None, sketches:
             high = fp >> one
             t = ((fp | high) & low) | ((fp & high & low) << one)
             new = {"key": np.stack([mask.view(np.uint64), t & masks[mask], long(b, "block").view(np.uint64)], axis=1), "t": t, "fp": fp, "node": long(b, "node")}
-            new["sketch"] = np.stack([long(b, f"s{k}").view(np.uint64) for k in range(sketches)], axis=1) if sketches else np.zeros((len(fp), 0), np.uint64)
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             open_ = int(np.flatnonzero((held["key"] == held["key"][-1]).all(axis=1))[0])
             if open_:
@@ -167,15 +167,11 @@ def forest_of_cells(distance: int, sketch_distance: int | None = None, sketches:
     return run
 
 
-def near_links(fps: DataFrame, distance: int = 3, cell_rows: int = 20_000, sketch_distance: int | None = None) -> DataFrame:
-    """Links (u, v) that connect all distinct rows of fps(fp, node, s0..) within the distance, by node.
-
-    sketch_distance: the longer sketches s0.. may differ in so many bits together.
-    """
-    sketches = [c for c in fps.columns if c not in ("fp", "node")]
+def near_links(fps: DataFrame, distance: int = 3, cell_rows: int = 20_000) -> DataFrame:
+    """Links (u, v) that connect all distinct rows of fps(fp, node) within the distance, by node."""
     masks = F.array(*(_long(m) for m, _ in cells(distance)))
     cell = thermometer(F.col("fp")).bitwiseAND(F.get(masks, F.col("mask"))).alias("cell")
-    gridded = fps.select("fp", "node", *sketches, F.explode(F.sequence(F.lit(0), F.lit(len(cells(distance)) - 1))).alias("mask"))
+    gridded = fps.select("fp", "node", F.explode(F.sequence(F.lit(0), F.lit(len(cells(distance)) - 1))).alias("mask"))
     hot = gridded.groupBy("mask", cell).agg(F.count("*").alias("n")).where(F.col("n") > cell_rows).select("mask", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("blocks"))
     hot = materialize(hot)
     if hot.isEmpty():
@@ -185,8 +181,8 @@ def near_links(fps: DataFrame, distance: int = 3, cell_rows: int = 20_000, sketc
         pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.least(own, j).cast("bigint") * F.col("blocks") + F.greatest(own, j)))
         dealt = gridded.withColumn("cell", cell).join(hot, ["mask", "cell"], "left").select(*gridded.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pair)).alias("block"))
     # the cell is worked out where it is needed and not carried along
-    dealt = dealt.select("mask", "block", "fp", "node", *sketches).repartition("mask", cell, "block").sortWithinPartitions("mask", cell, "block")
-    return dealt.mapInArrow(forest_of_cells(distance, sketch_distance, len(sketches)), "u bigint, v bigint")
+    dealt = dealt.select("mask", "block", "fp", "node").repartition("mask", cell, "block").sortWithinPartitions("mask", cell, "block")
+    return dealt.mapInArrow(forest_of_cells(distance), "u bigint, v bigint")
 
 
 def near_components(prints: DataFrame, distance: int = 3, cell_rows: int = 20_000) -> DataFrame:
@@ -204,59 +200,232 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return prints.join(near_components(prints, distance), "fp").select("id", "fp", "component")
 
 
-#: Bits of each of the longer sketches' hashes are mixed by these odd factors.
-_MIXES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
+    """The distinct word shingles' hashes, sorted."""
+    parts = list(shingle_hashes(text, words))
+    return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def sketch(text: bytes, words: int = 5) -> tuple[int, ...]:
-    """A fingerprint of the distinct words of over three bytes, then three of the word shingles."""
-    vocabulary = {w.strip(b".,;:!?") for w in text.lower().split() if len(w) > 3}
-    parts = [np.array([xxhash.xxh64_intdigest(w, 42) for w in vocabulary], np.uint64)]
-    counts, n = np.zeros((4, 64), np.int64), [len(vocabulary), 0, 0, 0]
+def common_shingles(docs: DataFrame, text_col: str = "text", words: int = 5, rows: int = 20_000, most: int = 100_000) -> np.ndarray:
+    """The shingles that several texts of a sample of about `rows` hold, at most `most`, the most frequent last."""
 
-    def add(k, hashes):
-        for i in range(0, len(hashes), 1 << 16):
-            counts[k] += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    def run(batches):
+        import pyarrow as pa
 
-    add(0, parts[0])
-    for h in shingle_hashes(text, words):
-        for k in range(3):
-            add(k + 1, h if not k else (h ^ (h >> np.uint64(32))) * np.uint64(_MIXES[k - 1]))
-            n[k + 1] += len(h)
-    return tuple(int(np.packbits(c * 2 > m, bitorder="little").view("<u8")[0]) for c, m in zip(counts, n, strict=True))
+        for b in batches:
+            for _, texts in text_chunks(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, words) for t in texts]).view(np.int64))], names=["shingle"])
 
+    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // rows))) == 0).select(text_col).distinct()
+    counted = sample.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
+    found = counted.orderBy(F.col("n").desc(), "shingle").limit(most).collect()
+    return np.array([r[0] for r in reversed(found)], np.int64).view(np.uint64)
 
-def sketched(df: DataFrame, text_col: str = "text", words: int = 5) -> DataFrame:
-    """All columns of every row, and ``_fp``, ``_s0``, ``_s1``, ``_s2`` as BIGINTs."""
-    at, names = df.columns.index(text_col), ("_fp", "_s0", "_s1", "_s2")
-    fields = [T.StructField(f"_k{i}", f.dataType) for i, f in enumerate(df.schema)] + [T.StructField(n, T.LongType()) for n in names]
-    all_names = [f.name for f in fields]
+
+def parities(shingles: np.ndarray) -> bytes:
+    """512 bits, each the parity of the shingles that fall on it: those of two sets differ in no more bits than the sets in shingles."""
+    return np.packbits(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
+
+
+def least_overlap(similarity: float, sizes):
+    """Shared shingles of two sets of so many together (for one set, with itself) at that Jaccard similarity, at least."""
+    return np.ceil(similarity / (1 + similarity) * sizes - 1e-9).astype(np.int64)
+
+
+def prefixed(df: DataFrame, text_col: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """All columns of every row as ``_k0``.., and of its shingle set a digest (``_d0``, ``_d1``), the size ``_n``, ``_bits`` (parities) and ``_prefix``.
+
+    In any order of all shingles, two sets of at least that similarity share one
+    among the first n - ceil(similarity * n) + 1 of each. Here common shingles come last.
+    """
+    at = df.columns.index(text_col)
+    fields = [T.StructField(f"_k{i}", f.dataType) for i, f in enumerate(df.schema)]
+    fields += [T.StructField("_d0", T.LongType()), T.StructField("_d1", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_bits", T.BinaryType()), T.StructField("_prefix", T.BinaryType())]
+    names, by_value = [f.name for f in fields], np.argsort(common)
+    values = common[by_value]
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            got = np.array([sketch(t, words) for _, texts in text_chunks(b.column(at)) for t in texts], np.uint64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(np.ascontiguousarray(got[:, k]).view(np.int64)) for k in range(4))], names=all_names)
+            digests, sizes, bits, prefixes = [], [], [], []
+            for _, texts in text_chunks(b.column(at)):
+                for t in texts:
+                    h = shingle_set(t, words)
+                    digests.append(xxhash.xxh128_digest(h.tobytes()))
+                    sizes.append(len(h))
+                    bits.append(parities(h))
+                    if len(h) and len(values):
+                        k = np.minimum(np.searchsorted(values, h), len(values) - 1)
+                        h = h[np.argsort(np.where(values[k] == h, by_value[k] + 1, 0), kind="stable")]
+                    prefixes.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].tobytes())
+            d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())], names=names)
 
     return df.mapInArrow(run, T.StructType(fields))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, distance: int = 5, sketch_distance: int = 32, cell_rows: int = 20_000) -> DataFrame:
+def _entries(batches):
+    """Rows (node, n, prefix) to (shingle, n, at, node), a row for each shingle of the prefix."""
+    import pyarrow as pa
+
+    for b in batches:
+        parts = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
+        size = np.array([len(x) for x in parts], np.int64)
+        if not size.sum():
+            continue
+        column = lambda c: pa.array(np.repeat(b.column(c).to_numpy(), size))  # noqa: B023, E731
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), column("n"), pa.array(at), column("node")], names=["shingle", "n", "at", "node"])
+
+
+def _shared(batches):
+    """Of rows sorted by shingle, those whose shingle is not alone."""
+    import pyarrow as pa
+
+    held, again = None, False
+    for b in batches:
+        if not b.num_rows:
+            continue
+        b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
+        key = b.column("shingle").to_numpy()
+        same = np.concatenate([[again], key[1:] == key[:-1]])
+        keep = same.copy()
+        keep[:-1] |= same[1:]
+        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
+        held, again = b.slice(b.num_rows - 1), bool(same[-1])
+    if held is not None and again:
+        yield pa.RecordBatch.from_arrays(held.columns, names=held.schema.names)
+
+
+def pairs_of_cells(similarity: float, neighbours: bool):
+    """mapInArrow function: rows (shingle, block, n, at, node, root) sorted in that order to pairs (u, v) of different roots.
+
+    A pair of that similarity passes in the cell of the first shingle that both
+    hold. neighbours: only rows next to each other are paired.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        def emit(x):
+            key, n, at, node, root = x["key"], x["n"], x["at"], x["node"], x["root"]
+            i, d, ready, size = np.arange(len(n) - 1), 1, [], 0
+            while len(i):
+                # sizes rise within a cell, so who is too small for the next is too small for all that follow
+                i = i[(key[i] == key[i + d]).all(axis=1) & (n[i] >= similarity * n[i + d] - 1e-9)]
+                rest = np.minimum(n[i] - at[i], n[i + d] - at[i + d])
+                a = i[(rest >= least_overlap(similarity, n[i] + n[i + d])) & (root[i] != root[i + d])]
+                ready.append(np.stack([np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d])], axis=1))
+                size += len(a)
+                if size > 1 << 17:
+                    yield np.unique(np.concatenate(ready), axis=0)
+                    ready, size = [], 0
+                d += 1
+                i = i[i + d < len(n)] if not neighbours else i[:0]
+            if size:
+                yield np.unique(np.concatenate(ready), axis=0)
+
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            new = {c: b.column(c).to_numpy() for c in ("n", "at", "node", "root")}
+            new["key"] = np.stack([b.column("shingle").to_numpy(), b.column("block").to_numpy()], axis=1)
+            held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+            open_ = int(np.flatnonzero((held["key"] == held["key"][-1]).all(axis=1))[0])
+            for p in emit({c: x[:open_] for c, x in held.items()}) if open_ else ():
+                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["u", "v"])
+            held = {c: x[open_:] for c, x in held.items()}
+        for p in emit(held) if held is not None else ():
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy())], names=["u", "v"])
+
+    return run
+
+
+def candidates(cells: DataFrame, similarity: float, neighbours: bool, cell_rows: int) -> DataFrame:
+    """Distinct pairs (u, v) of different roots of cells(shingle, n, at, node, root) that may have that similarity."""
+    hot = materialize(cells.groupBy("shingle").agg(F.count("*").alias("rows")).where(F.col("rows") > cell_rows).select("shingle", F.ceil(F.col("rows") / cell_rows).cast("int").alias("blocks")))
+    zero = F.lit(0).cast("bigint")
+    if hot.isEmpty():
+        dealt = cells.withColumn("block", zero)
+    else:
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.least(own, j).cast("bigint") * F.col("blocks") + F.greatest(own, j)))
+        dealt = cells.join(hot, "shingle", "left").select(*cells.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(pair)).alias("block"))
+    dealt = dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block", "n", "at", "node")
+    return materialize(dealt.mapInArrow(pairs_of_cells(similarity, neighbours), "u bigint, v bigint").distinct())
+
+
+def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose texts(node, text, n, bits) have that Jaccard similarity of their distinct shingles, exactly.
+
+    The parities refuse most other pairs, and none of these, before sets are joined.
+    """
+
+    def possible(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("xb", "yb"))
+                n = b.column("n").to_numpy()
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                yield b.select(["u", "v"]).filter(pa.array(apart <= n - 2 * least_overlap(similarity, n)))
+
+    def sets(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            at = 0
+            for _, found in text_chunks(b.column("text")):
+                out = pa.array([shingle_set(t, words).tobytes() for t in found], pa.binary())
+                yield pa.RecordBatch.from_arrays([b.column("node").slice(at, len(found)), out], names=["node", "held"])
+                at += len(found)
+
+    def hold(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            keep = np.zeros(b.num_rows, bool)
+            for r in range(b.num_rows):
+                x, y = (np.frombuffer(b.column(c)[r].as_buffer(), np.uint64) for c in ("x", "y"))
+                both = np.sort(np.concatenate([x, y]), kind="stable")
+                keep[r] = np.count_nonzero(both[1:] == both[:-1]) >= least_overlap(similarity, np.array(len(x) + len(y)))
+            yield b.select(["u", "v"]).filter(pa.array(keep))
+
+    side = lambda k, c: texts.select(F.col("node").alias(k), F.col("n").alias(f"{c}n"), F.col("bits").alias(f"{c}b"))
+    sized = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", (F.col("xn") + F.col("yn")).alias("n"), "xb", "yb")
+    pairs = materialize(sized.mapInArrow(possible, "u bigint, v bigint"))
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    held = materialize(texts.join(asked, "node", "left_semi").select("node", "text").mapInArrow(sets, "node bigint, held binary"))
+    with_u = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("x")), "u")
+    return materialize(with_u.join(held.select(F.col("node").alias("v"), F.col("held").alias("y")), "v").mapInArrow(hold, "u bigint, v bigint"))
+
+
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, cell_rows: int = 20_000) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest id.
 
-    A fingerprint of shingles moves by ten bits for a copy with a fifth of its
-    shingles changed, too far for a grid. The grid therefore joins fingerprints
-    of the distinct words, which move by few bits for such a copy, and a pair
-    is linked if three fingerprints of its word shingles together differ in at
-    most sketch_distance of 192 bits: 29 are the angle of sets of similarity
-    0.8. Rows are told apart by a number of their own, so repeated ids are no
-    matter.
+    Rows are linked if the Jaccard similarity of their distinct word shingles is
+    at least `similarity`, exactly: rows of one set are one class; classes that
+    share a shingle of their prefixes meet in its cell; what the sizes and the
+    shingle's places leave possible is verified on the sets. A first pass pairs
+    only neighbours in the cells, so that the second, which pairs all, need not
+    look inside the groups of many copies that the first has joined. Rows are
+    told apart by a number of their own, so repeated ids are no matter.
     """
-    keys = ["_fp", "_s0", "_s1", "_s2"]
-    held = materialize(sketched(docs, text_col, words).withColumn("_row", F.monotonically_increasing_id()))
+    keys, text = ["_d0", "_d1"], f"_k{docs.columns.index(text_col)}"
+    common = common_shingles(docs, text_col, words)
+    held = materialize(prefixed(docs, text_col, words, similarity, common).withColumn("_row", F.monotonically_increasing_id()))
     classes = materialize(held.groupBy(*keys).agg(F.min("_row").alias("node")))
-    links = near_links(classes.select(F.col("_fp").alias("fp"), "node", *(F.col(f"_s{k}").alias(f"s{k}") for k in range(3))), distance, cell_rows, sketch_distance)
+    of_class = held.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi")
+    texts = of_class.select(F.col("_row").alias("node"), F.col(text).alias("text"), F.col("_n").alias("n"), F.col("_bits").alias("bits"))
+    entries = of_class.select(F.col("_row").alias("node"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix")).mapInArrow(_entries, "shingle bigint, n bigint, at bigint, node bigint")
+    cells = materialize(entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_shared, entries.schema))
+    links = verified(candidates(cells.withColumn("root", F.col("node")), similarity, True, cell_rows), texts, words, similarity)
+    roots = materialize(components(links))
+    rooted = cells.join(roots, "node", "left").select(*cells.columns, F.coalesce("root", "node").alias("root"))
+    links = links.union(verified(candidates(rooted, similarity, False, cell_rows), texts, words, similarity))
     roots = components(links).withColumnRenamed("node", "_node")
     rooted = classes.join(roots, F.col("node") == F.col("_node"), "left").select(*keys, F.coalesce("root", "node").alias("root"))
     key = f"_k{docs.columns.index(id_col)}"

@@ -114,3 +114,44 @@ def test_query(spark):
     assert [got[i].fingerprint for i, _ in docs] == [f"{p:016x}" for p in prints]
     assert [got[i].component_id for i, _ in docs] == [docs[k][0] for k in brute_groups(prints)]
     assert np.unique([r.component_id for r in got.values()]).size < len(docs)
+
+
+def test_stage_links_exactly_the_pairs_of_four_fifths(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghiklmnoprstuvw") for _ in range(rng.randrange(3, 10)))
+    shingles = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)}
+    licence, texts = [word() for _ in range(40)], []
+    for n in [3, 7, 20, 60, 90, 150, 200, 400, 700, 1000] * 8:
+        base = [word() for _ in range(n)] + licence * (n > 20)
+        texts.append(base)
+        n, more = len(base), [word() for _ in range(300)]
+        for kind in range(4):
+            part = rng.uniform(0.02, 0.3)
+            copy = list(base)
+            if kind == 0:
+                copy = base[: int(n * (1 - part))]
+            elif kind == 1:
+                copy = base + more[: int(n * part)]
+            elif kind == 2:
+                copy = more[: int(n * part)] + base
+            else:
+                for i in rng.sample(range(n), max(1, int(n * part / 6))):
+                    copy[i] = word()
+            texts.append(copy)
+    sets = [shingles(w) for w in texts]
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "doc_id long, text string")
+    for cell_rows in (20_000, 25):
+        kept = {r.doc_id for r in simhash.deduplicate(docs, cell_rows=cell_rows).collect()}
+        assert kept == {find(i) for i in range(len(texts))}
