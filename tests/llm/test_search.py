@@ -158,6 +158,25 @@ def test_decontamination_query_equals_brute_force_on_exact_passages(spark):
     assert got == {(i, k) for i, t in docs for k, x in bench if x in t}
 
 
+def test_short_items_are_found_at_every_distance_allowed():
+    rng, texts = random.Random(8), [b"what is the capital of france now?", b"name three rivers", b"tiny"]
+    found, wrapped = decontaminate.Items(list(enumerate(texts))), []
+    for _ in range(150):
+        out = bytearray(rng.choice(texts))
+        for _ in range(rng.randrange(8)):
+            at = rng.randrange(len(out) + 1)
+            out[at : at + 1] = rng.choice([b"", b"x", b"yz"])
+        wrapped.append(b'Asked: ("' + bytes(out) + b'"), and so on.')
+    size = [len(t) for t in texts]
+    want = {}
+    for i, t in enumerate(wrapped):
+        for k, x in enumerate(texts):
+            d = found.distance(k, decontaminate.normal(t))
+            if d <= int(0.2 * size[k] + 1e-9):
+                want[i, k] = d
+    assert {(t, k): d for t, k, d in decontaminate.leaks_in(wrapped, found)} == want and any(want.values())
+
+
 def test_decontamination_defined_cases(spark):
     long = "The benchmark item that is looked for, of more than forty characters."
     bench = spark.createDataFrame([(1, long), (2, long), (3, None), (4, ""), (5, "short one")], "item_id int, text string")
