@@ -127,22 +127,65 @@ def items():
     return list(zip(t["item_id"], (x.encode() for x in t["text"]), strict=True))
 
 
-@pytest.mark.parametrize(("rate", "least"), [(0.0, 1.0), (0.05, 0.98), (0.1, 0.9)])
-def test_recall_of_edited_items(rate, least):
-    rng, all_ = random.Random(4), items()
-    found = decontaminate.Items(all_)
-    texts = []
-    for t in found.texts:
-        out = bytearray()
-        for c in t:
-            u = rng.random()
-            if u < rate:
-                out += rng.choice([b"", bytes([rng.choice(b"aeinrst")]), bytes([rng.choice(b"aeinrst"), c])])
-            else:
-                out.append(c)
-        texts.append(b"What stands before. " + bytes(out) + b" And what comes after it.")
-    hit = {(t, k) for t, k, _ in decontaminate.leaks_in(texts, found)}
-    assert np.mean([(k, k) in hit for k in range(len(texts))]) >= least
+def edited(text, rate, rng):
+    out = bytearray()
+    for c in text:
+        if rng.random() < rate:
+            out += rng.choice([b"", bytes([rng.choice(b"aeinrst")]), bytes([rng.choice(b"aeinrst"), c])])
+        else:
+            out.append(c)
+    return bytes(out)
+
+
+LENGTHS = [(5, 9), (10, 15), (16, 23), (24, 31), (32, 39), (40, 48), (49, 60), (61, 80), (81, 120), (121, 180), (200, 260)]
+
+
+@pytest.mark.parametrize(("shortest", "longest"), LENGTHS)
+def test_recall_by_length_and_edit_rate(shortest, longest):
+    rng, bench = random.Random(3), [decontaminate.normal(t) for _, t in items()]
+    for rate in (0.0, 0.05, 0.1, 0.15, 0.18, 0.2):
+        passages = []
+        while len(passages) < 60:
+            t, n = rng.choice(bench), rng.randint(shortest, longest)
+            at = rng.randint(0, max(0, len(t) - n))
+            p = t[at : at + n].strip()
+            if len(p) >= shortest:
+                passages.append(p)
+        found = decontaminate.Items(list(enumerate(passages)))
+        texts = [b"zz. " + edited(p, rate, rng) + b" qqq zz" for p in passages]
+        truth = {(i, i): found.distance(i, decontaminate.normal(t)) for i, t in enumerate(texts)}
+        truth = {p: d for p, d in truth.items() if d <= found.most[p[0]]}
+        got = {(t, k): d for t, k, d in decontaminate.leaks_in(texts, found)}
+        hit = [p for p in truth if p in got]
+        assert all(got[p] == truth[p] for p in hit) and all(d <= found.most[k] for (_, k), d in got.items())
+        assert len(hit) >= (1.0 if longest < 24 or not rate else 0.9) * len(truth) and (rate > 0.18 or len(truth) > 20)
+
+
+def test_passages_in_text_without_spaces_are_found():
+    item = "机器学习模型在训练数据中看到测试题目时评测结果会偏高因此需要清除重复内容".encode()
+    found = decontaminate.Items([(1, item), (2, b"-" * 300), (3, b"ab" * 100)])
+    before, after = "前面还有一些别的文字没有空格".encode(), "后面也有一些文字".encode()
+    texts = [before + item + after, before + item[:60] + item[63:] + after, before + after, b"x" + b"-" * 100_000, b"ab" * 99, b"a" * 5000]
+    assert {(t, k) for t, k, _ in decontaminate.leaks_in(texts, found)} == {(0, 0), (1, 0), (3, 1), (4, 2)}
+
+
+def test_bounds_never_exceed_the_distance():
+    rng = random.Random(6)
+    texts = [bytes(rng.choice(b"abcdef ") for _ in range(rng.randrange(1, 200))) for _ in range(40)]
+    found = decontaminate.Items(list(enumerate(texts)))
+    for k, t in enumerate(found.texts):
+        window = b"zz" + edited(t, 0.15, rng) + b"yyy"
+        one = lambda x: np.array([x])
+        found.most[k] = len(t)  # count to the end
+        bound = found.bounds(one(k), one(2 - len(t)), one(2 + 2 * len(t)), np.frombuffer(window, np.uint8), one(0), one(len(window)))[0] if t else 0
+        assert bound <= (exact := found.distance(k, window) if t else 0) and (len(t) > 64 or bound == exact)
+
+
+def test_long_texts_are_read_whole():
+    item = items()[0][1]
+    found = decontaminate.Items(items())
+    text = b"word " * 1_200_000 + item + b" word" * 200_000
+    assert [k for _, k, d in decontaminate.leaks_in([text], found) if not d] == [0]
 
 
 def test_clean_texts_are_left_alone():
@@ -158,6 +201,29 @@ def test_decontamination_query_equals_brute_force_on_exact_passages(spark):
     assert got == {(i, k) for i, t in docs for k, x in bench if x in t}
 
 
+def test_decontamination_query_equals_brute_force_on_edited_passages(spark, tmp_path):
+    rng = random.Random(2)
+    bench = [(k, t) for k, t in items()][:40] + [(900, b"how many rivers cross the plain?"), (901, b"name the ninth prime"), (902, b"name the ninth prime")]
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for n in range(60):
+        passage = edited(rng.choice(bench)[1], rng.choice([0, 0.05, 0.1, 0.15]), rng).decode(errors="ignore")
+        docs.append((10_000 + n, f"An opening of its own. {passage}, and then some more of it."))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, t.decode()) for k, t in bench], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontaminate.op9_decontaminate(spark, str(tmp_path)).collect()}
+    all_, truth = decontaminate.Items(bench), {}
+    for i, t in docs:
+        window = decontaminate.normal(t.encode())
+        for n, (k, _) in enumerate(bench):
+            if i >= 10_000 or len(window) < 1500:
+                d = all_.distance(n, window)
+                if d <= all_.most[n]:
+                    truth[i, k] = d
+    short = {i for i, t in docs if i >= 10_000 or len(decontaminate.normal(t.encode())) < 1500}
+    got = {p: d for p, d in got.items() if p[0] in short}
+    assert set(got) <= set(truth) and all(truth[p] == d for p, d in got.items()) and len(got) >= 0.95 * len(truth) and len(truth) > 50
+
+
 def test_short_items_are_found_at_every_distance_allowed():
     rng, texts = random.Random(8), [b"what is the capital of france now?", b"name three rivers", b"tiny"]
     found, wrapped = decontaminate.Items(list(enumerate(texts))), []
