@@ -14,14 +14,21 @@ to the token with its first byte; a token without a first byte takes the place
 of the character it continues. Every token is allocated once, so a document's
 sections add up to its tokens.
 
-Defined cases: a null or empty text is one empty section without tokens;
+The tokenizer's pattern engine gives up on very long runs of white space, so
+these are cut out before it sees them, where the pattern itself cuts: a run is
+one piece but for its last character if more text follows. The merges of such a
+piece are worked out over the whole of it.
+
+Defined cases: a null or empty text is one empty section without tokens; texts
+and runs of any length are encoded whole (4 MB of one letter: some seconds);
 repeated rows are counted each; an empty table gives an empty result; other
-columns are not read.
+columns are not read, whatever they are called.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -30,6 +37,12 @@ from pyspark.sql import functions as F
 from .common import table, utf8
 
 
+#: Characters of white space in a row that are kept from the pattern engine.
+LONG_RUN = 4096
+#: White space as Unicode has it, which is what the tokenizer's pattern means.
+_WHITE = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+
+
 class Encoder:
     """Ids of a byte-level vocabulary, and their byte lengths."""
 
@@ -39,10 +52,21 @@ class Encoder:
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.encode = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.coder = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.length = np.zeros(max(ranks.values()) + 1, np.int64)
         self.length[list(ranks.values())] = [len(t) for t in ranks]
 
+    def encode(self, text: str) -> np.ndarray:
+        runs = list(_WHITE.finditer(text)) if len(text) >= LONG_RUN else ()
+        if not runs:
+            return self.coder.encode_to_numpy(text)
+        parts, at = [], 0
+        for m in runs:
+            end = m.end() - (m.end() < len(text))
+            parts += [self.coder.encode_to_numpy(text[at : m.start()]), np.array(self.coder._encode_single_piece(text[m.start() : end]), np.uint32)]
+            at = end
+        return np.concatenate([*parts, self.coder.encode_to_numpy(text[at:])])
+
 
 _encoders: dict[str, Encoder] = {}
 

@@ -1,6 +1,7 @@
 """Nearest neighbours, token counts, decontamination, the pipeline and the entry module."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -97,6 +98,37 @@ def test_token_query_covers_all_documents(spark):
     assert {r.doc_id: r.n for r in got} == {i: len(coder.encode(t)) for i, t in text.items()}
 
 
+def test_long_runs_are_encoded_whole(monkeypatch):
+    path, rng = token_counts.vocabulary(), random.Random(5)
+    plain, cut = token_counts.Encoder(path), token_counts.Encoder(path)
+    white = re.compile("[\t-\r \x85\xa0\u2003\u3000]{3,}")
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "word", " ", "   ", "\n", "\n\n", "\t\t ", "\u3000" * 4, "12", "...", "\xa0"]) for _ in range(40))
+        whole = plain.encode(text).tolist()
+        with monkeypatch.context() as m:
+            m.setattr(token_counts, "LONG_RUN", 3)
+            m.setattr(token_counts, "_WHITE", white)
+            assert cut.encode(text).tolist() == whole
+    for text in (" " * (4 << 20), "\n" * (2 << 20) + "end", "start" + " \t" * (1 << 20) + "end", "z" * (1 << 20), "." * (1 << 20), "7" * (1 << 20)):
+        ids = plain.encode(text)
+        assert plain.coder.decode(ids.tolist()) == text
+
+
+def test_lines_of_the_query_equal_brute_force(spark):
+    got = {}
+    for r in token_counts.op7_token_counts(spark, SF).collect():
+        got.setdefault(r.doc_id, {})[r.section] = (r.start, r.end, r.n_tokens)
+    coder = token_counts.Encoder(token_counts.vocabulary()).coder
+    for i, text in map(tuple, spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()):
+        lines = text.split("\n")
+        lines = [x + "\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
+        ends, counts = np.cumsum([len(x) for x in lines]), [0] * len(lines)
+        _, offsets = coder.decode_with_offsets(coder.encode_ordinary(text))
+        for at in offsets:
+            counts[int(np.searchsorted(ends, at, side="right"))] += 1
+        assert got[i] == {k: (int(e) - len(x), int(e), n) for k, (x, e, n) in enumerate(zip(lines, ends, counts, strict=True))}
+
+
 # -- decontamination
 
 
