@@ -49,6 +49,16 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that a broadcast may hold (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 500_000
+
+
+def matching(df: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """left_semi or left_anti join of df with ids (one bigint column `key`); df is not shuffled while ids are few."""
+    ids = materialize(ids)
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, how)
+
+
 def blocks_for(df: DataFrame, text_col: str, block_bytes: int = 24 << 20) -> int:
     """So many blocks that each holds about block_bytes of text, whatever the input's size."""
     n = df.agg(F.sum(F.octet_length(text_col))).first()[0] or 0

@@ -47,7 +47,7 @@ SIMILARITY, WALKS, SPAN = 0.8, 4, 32
 #: (least item bytes, samples that make the signature); the first 8 samples lie in 16 steps, 12 in 24, 15 in 32.
 LEVELS = ((24, 8), (40, 12), (90, 15))
 #: Share of byte pairs that begin a walk.
-DENSITY = 0.4
+DENSITY = 0.3
 #: Samples after which walks are held against the items' signatures so far.
 _CHECKS = (5, 8, 12, 15)
 _MIX = np.uint64(0x9E3779B97F4A7C15)

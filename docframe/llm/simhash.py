@@ -16,8 +16,9 @@ of blocks is a task of its own.
 
 Exact copies share a fingerprint and are one row from the first aggregation on.
 
-deduplicate, for similarities of shingle sets that no fingerprint of 64 bits can
-tell, joins prefixes of the sets and verifies each pair.
+deduplicate links by the similarity of shingle sets: fingerprints give the first
+candidates, prefixes of the sets those that 64 bits cannot tell, and every link
+is verified on the sets.
 
 Defined cases: null and wordless texts have the fingerprint zero and are linked
 like any other; a null id is never a component's id unless all ids in it are
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, text_chunks
+from .common import matching, materialize, table, text_chunks
 from .components import components
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -65,13 +66,7 @@ def shingle_hashes(text: bytes, words: int = 3, seed: int = 42):
 
 def simhash(text: bytes, words: int = 3, seed: int = 42) -> int:
     """The 64-bit fingerprint: a bit is 1 if set in over half the hashes."""
-    ones, n = np.zeros(64, np.int64), 0
-    for hashes in shingle_hashes(text, words, seed):
-        for i in range(0, len(hashes), 1 << 16):
-            part = hashes[i : i + (1 << 16)]
-            ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        n += len(hashes)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    return _bit_majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", words: int = 3) -> DataFrame:
@@ -206,8 +201,11 @@ def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def common_shingles(docs: DataFrame, text_col: str = "text", words: int = 5, rows: int = 20_000, most: int = 100_000) -> np.ndarray:
-    """The shingles that several texts of a sample of about `rows` hold, at most `most`, the most frequent last."""
+def common_shingles(docs: DataFrame, text_col: str = "text", words: int = 5, rows: int = 6_000, most: int = 100_000) -> np.ndarray:
+    """The shingles that several texts of a sample of about `rows` hold, at most `most`, the most frequent last.
+
+    They only order the shingles of a set; no result depends on which are found.
+    """
 
     def run(batches):
         import pyarrow as pa
@@ -223,8 +221,20 @@ def common_shingles(docs: DataFrame, text_col: str = "text", words: int = 5, row
 
 
 def parities(shingles: np.ndarray) -> bytes:
-    """512 bits, each the parity of the shingles that fall on it: those of two sets differ in no more bits than the sets in shingles."""
-    return np.packbits(np.bincount((shingles >> np.uint64(55)).astype(np.int64), minlength=512) & 1).tobytes()
+    """A bit for each slot, the parity of the shingles that fall on it; slots are a power of two, 512 or more, one a shingle or more.
+
+    The bits of two sets differ in no more places than the sets do in shingles.
+    """
+    slots = 1 << max(9, (len(shingles) - 1).bit_length())
+    return np.packbits(np.bincount((shingles & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Rows of parities, as bytes, for fewer slots."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
 
 
 def least_overlap(similarity: float, sizes):
@@ -232,15 +242,25 @@ def least_overlap(similarity: float, sizes):
     return np.ceil(similarity / (1 + similarity) * sizes - 1e-9).astype(np.int64)
 
 
-def prefixed(df: DataFrame, text_col: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """All columns of every row as ``_k0``.., and of its shingle set a digest (``_d0``, ``_d1``), the size ``_n``, ``_bits`` (parities) and ``_prefix``.
+def _bit_majority(hashes) -> int:
+    ones, n = np.zeros(64, np.int64), 0
+    for part in hashes:
+        for i in range(0, len(part), 1 << 16):
+            ones += np.unpackbits(part[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+
+
+def sketched(df: DataFrame, text_col: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """All columns of every row as ``_k0``.., and of its shingles the fingerprint ``_fp``, a digest of the set (``_d0``, ``_d1``), its size ``_n``, ``_bits`` (parities) and ``_prefix``.
 
     In any order of all shingles, two sets of at least that similarity share one
-    among the first n - ceil(similarity * n) + 1 of each. Here common shingles come last.
+    among the first n - ceil(similarity * n) + 1 of each. Here common shingles
+    come last; ``_rare`` of the prefix are none of them.
     """
     at = df.columns.index(text_col)
-    fields = [T.StructField(f"_k{i}", f.dataType) for i, f in enumerate(df.schema)]
-    fields += [T.StructField("_d0", T.LongType()), T.StructField("_d1", T.LongType()), T.StructField("_n", T.LongType()), T.StructField("_bits", T.BinaryType()), T.StructField("_prefix", T.BinaryType())]
+    own = [("_fp", T.LongType()), ("_d0", T.LongType()), ("_d1", T.LongType()), ("_n", T.LongType()), ("_rare", T.LongType()), ("_bits", T.BinaryType()), ("_prefix", T.BinaryType())]
+    fields = [T.StructField(f"_k{i}", f.dataType) for i, f in enumerate(df.schema)] + [T.StructField(c, t) for c, t in own]
     names, by_value = [f.name for f in fields], np.argsort(common)
     values = common[by_value]
 
@@ -248,54 +268,108 @@ def prefixed(df: DataFrame, text_col: str, words: int, similarity: float, common
         import pyarrow as pa
 
         for b in batches:
-            digests, sizes, bits, prefixes = [], [], [], []
+            digests, numbers, bits, prefixes = [], [], [], []
             for _, texts in text_chunks(b.column(at)):
                 for t in texts:
-                    h = shingle_set(t, words)
+                    parts = list(shingle_hashes(t, words))
+                    h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                     digests.append(xxhash.xxh128_digest(h.tobytes()))
-                    sizes.append(len(h))
                     bits.append(parities(h))
-                    if len(h) and len(values):
+                    n = len(h)
+                    keep, rare = n - int(np.ceil(similarity * n - 1e-9)) + 1, n
+                    if n and len(values):
                         k = np.minimum(np.searchsorted(values, h), len(values) - 1)
-                        h = h[np.argsort(np.where(values[k] == h, by_value[k] + 1, 0), kind="stable")]
-                    prefixes.append(h[: len(h) - int(np.ceil(similarity * len(h) - 1e-9)) + 1].tobytes())
+                        rank = np.where(values[k] == h, by_value[k] + 1, 0)
+                        h, rare = h[np.argsort(rank, kind="stable")], int(np.count_nonzero(rank == 0))
+                    numbers.append((_bit_majority(parts), n, min(rare, keep, n)))
+                    prefixes.append(h[:keep].tobytes())
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())], names=names)
+            fp = pa.array(np.array([x for x, _, _ in numbers], np.uint64).view(np.int64))
+            cols = [fp, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *(pa.array([x[i] for x in numbers], pa.int64()) for i in (1, 2)), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=names)
 
     return df.mapInArrow(run, T.StructType(fields))
 
 
-def _entries(batches):
-    """Rows (node, n, prefix) to (shingle, n, at, node), a row for each shingle of the prefix."""
-    import pyarrow as pa
+def _entries(b, part):
+    """Of a batch (node, n, rare, prefix) the entries of its prefixes: shingles, nodes, sizes, places; part: the rare ones or the others."""
+    rows = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
+    rare = b.column("rare").to_numpy()
+    first = np.zeros(len(rows), np.int64) if part == "rare" else rare
+    rows = [x[:k] if part == "rare" else x[k:] for x, k in zip(rows, rare, strict=True)]
+    size = np.array([len(x) for x in rows], np.int64)
+    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
+    column = lambda c: np.repeat(b.column(c).to_numpy(), size)
+    return np.concatenate([np.zeros(0, np.int64), *rows]), column("node"), column("n"), place
+
+
+_CELL = "shingle bigint, n bigint, at bigint, node bigint"
+
+
+def shared_cells(prefixes: DataFrame, bucket_entries: int = 500_000) -> DataFrame:
+    """Rows (shingle, n, at, node) of prefixes(node, n, rare, prefix) for the shingles that more than one prefix holds.
+
+    Most shingles stand in one text only. Entries go by ranges of the shingle's
+    hash to buckets of about bucket_entries, a range of a batch as one row of
+    packed arrays; common shingles are shared anyhow, so they skip the buckets
+    and a bucket has no hot ones.
+    """
+    total = prefixes.agg(F.sum("rare")).first()[0] or 0
+    buckets = max(1, -(-int(total) // bucket_entries))
+
+    def pack(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            shingle, node, n, at = _entries(b, "rare")
+            order = np.argsort(shingle.view(np.uint64), kind="stable")
+            shingle, node, n, at = shingle[order], node[order], n[order].astype(np.int32), at[order].astype(np.int32)
+            bucket = ((shingle.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+            cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+            if len(cut) < 2:
+                continue
+            blobs = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (shingle, node, n, at)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "shingle", "node", "n", "at"])
 
-    for b in batches:
-        parts = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
-        size = np.array([len(x) for x in parts], np.int64)
-        if not size.sum():
-            continue
-        column = lambda c: pa.array(np.repeat(b.column(c).to_numpy(), size))  # noqa: B023, E731
-        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), column("n"), pa.array(at), column("node")], names=["shingle", "n", "at", "node"])
+    def unpack(batches):
+        import pyarrow as pa
 
+        kinds = {"shingle": np.int64, "n": np.int32, "at": np.int32, "node": np.int64}
 
-def _shared(batches):
-    """Of rows sorted by shingle, those whose shingle is not alone."""
-    import pyarrow as pa
+        def emit(held):
+            cols = {c: np.concatenate(x) for c, x in held.items()}
+            order = np.argsort(cols["shingle"], kind="stable")
+            key = cols["shingle"][order]
+            same = np.zeros(len(key) + 1, bool)
+            same[1:-1] = key[1:] == key[:-1]
+            order = order[same[1:] | same[:-1]]
+            return pa.RecordBatch.from_arrays([pa.array(cols[c][order].astype(np.int64)) for c in kinds], names=list(kinds))
 
-    held, again = None, False
-    for b in batches:
-        if not b.num_rows:
-            continue
-        b = b if held is None else pa.Table.from_batches([held, b]).combine_chunks().to_batches()[0]
-        key = b.column("shingle").to_numpy()
-        same = np.concatenate([[again], key[1:] == key[:-1]])
-        keep = same.copy()
-        keep[:-1] |= same[1:]
-        yield b.slice(0, b.num_rows - 1).filter(pa.array(keep[:-1]))
-        held, again = b.slice(b.num_rows - 1), bool(same[-1])
-    if held is not None and again:
-        yield pa.RecordBatch.from_arrays(held.columns, names=held.schema.names)
+        now, held = None, None
+        for b in batches:
+            bucket, blobs = b.column("bucket").to_numpy(), {c: b.column(c) for c in kinds}
+            for r in range(b.num_rows):
+                if bucket[r] != now:
+                    if held is not None:
+                        yield emit(held)
+                    now, held = bucket[r], {c: [] for c in kinds}
+                for c, kind in kinds.items():
+                    held[c].append(np.frombuffer(blobs[c][r].as_py(), kind))
+        if held is not None:
+            yield emit(held)
+
+    def plain(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            shingle, node, n, at = _entries(b, "common")
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, n, at, node)], names=["shingle", "n", "at", "node"])
+
+    packed = prefixes.mapInArrow(pack, "bucket bigint, shingle binary, node binary, n binary, at binary").repartition("bucket").sortWithinPartitions("bucket")
+    common = prefixes.where("rare < octet_length(prefix) div 8").mapInArrow(plain, _CELL)
+    return materialize(packed.mapInArrow(unpack, _CELL).union(common))
 
 
 def pairs_of_cells(similarity: float, neighbours: bool):
@@ -344,15 +418,26 @@ def pairs_of_cells(similarity: float, neighbours: bool):
 
 
 def candidates(cells: DataFrame, similarity: float, neighbours: bool, cell_rows: int) -> DataFrame:
-    """Distinct pairs (u, v) of different roots of cells(shingle, n, at, node, root) that may have that similarity."""
-    hot = materialize(cells.groupBy("shingle").agg(F.count("*").alias("rows")).where(F.col("rows") > cell_rows).select("shingle", F.ceil(F.col("rows") / cell_rows).cast("int").alias("blocks")))
+    """Distinct pairs (u, v) of different roots of cells(shingle, n, at, node, root) that may have that similarity.
+
+    Cells of more than cell_rows are cut into blocks, whose neighbours are paired
+    in each block, and whose pairs are taken block by block.
+    """
+    counted = cells.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("greatest"))
+    if not neighbours:
+        # a cell of one root has nothing to pair, however large it is
+        cells = cells.join(counted.where("least <> greatest").select("shingle"), "shingle", "left_semi")
+        counted = counted.where("least <> greatest")
+    hot = materialize(counted.where(F.col("rows") > cell_rows).select("shingle", F.ceil(F.col("rows") / cell_rows).cast("int").alias("blocks")))
     zero = F.lit(0).cast("bigint")
     if hot.isEmpty():
         dealt = cells.withColumn("block", zero)
     else:
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.least(own, j).cast("bigint") * F.col("blocks") + F.greatest(own, j)))
-        dealt = cells.join(hot, "shingle", "left").select(*cells.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(pair)).alias("block"))
+        dealt = cells.join(hot, "shingle", "left").select(
+            *cells.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(F.array(own.cast("bigint")) if neighbours else pair)).alias("block")
+        )
     dealt = dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block", "n", "at", "node")
     return materialize(dealt.mapInArrow(pairs_of_cells(similarity, neighbours), "u bigint, v bigint").distinct())
 
@@ -367,11 +452,15 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
         import pyarrow as pa
 
         for b in batches:
-            if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(b.num_rows, -1) for c in ("xb", "yb"))
-                n = b.column("n").to_numpy()
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                yield b.select(["u", "v"]).filter(pa.array(apart <= n - 2 * least_overlap(similarity, n)))
+            keep, n = np.zeros(b.num_rows, bool), b.column("n").to_numpy()
+            xs, ys = b.column("xb").to_pylist(), b.column("yb").to_pylist()
+            sizes = np.array([(len(x), len(y)) for x, y in zip(xs, ys, strict=True)], np.int64).reshape(-1, 2)
+            for wx, wy in np.unique(sizes, axis=0).tolist():
+                who = np.flatnonzero((sizes == (wx, wy)).all(axis=1))
+                x, y = (np.frombuffer(b"".join(z[i] for i in who.tolist()), np.uint8).reshape(len(who), -1) for z in (xs, ys))
+                apart = np.bitwise_count(folded(x, wy) ^ folded(y, wx)).sum(axis=1, dtype=np.int64)
+                keep[who] = apart <= n[who] - 2 * least_overlap(similarity, n[who])
+            yield b.select(["u", "v"]).filter(pa.array(keep))
 
     def sets(batches):
         import pyarrow as pa
@@ -398,40 +487,49 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     sized = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", (F.col("xn") + F.col("yn")).alias("n"), "xb", "yb")
     pairs = materialize(sized.mapInArrow(possible, "u bigint, v bigint"))
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    held = materialize(texts.join(asked, "node", "left_semi").select("node", "text").mapInArrow(sets, "node bigint, held binary"))
+    held = materialize(matching(texts.select("node", "text"), asked, "node", "left_semi").mapInArrow(sets, "node bigint, held binary"))
     with_u = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("x")), "u")
     return materialize(with_u.join(held.select(F.col("node").alias("v"), F.col("held").alias("y")), "v").mapInArrow(hold, "u bigint, v bigint"))
 
 
-def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, cell_rows: int = 20_000) -> DataFrame:
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 3, cell_rows: int = 20_000) -> DataFrame:
     """One row of each group of near-duplicates, the one with the smallest id.
 
     Rows are linked if the Jaccard similarity of their distinct word shingles is
-    at least `similarity`, exactly: rows of one set are one class; classes that
-    share a shingle of their prefixes meet in its cell; what the sizes and the
-    shingle's places leave possible is verified on the sets. A first pass pairs
-    only neighbours in the cells, so that the second, which pairs all, need not
-    look inside the groups of many copies that the first has joined. Rows are
-    told apart by a number of their own, so repeated ids are no matter.
+    at least `similarity`, exactly. Rows of one set are one class. Fingerprints
+    of the shingles within `distance` give the first candidates, by the grid
+    range join; what a fingerprint of 64 bits cannot tell comes from prefixes:
+    classes that share a shingle of their prefixes meet in its cell. Every
+    candidate is verified on the sets. A first pass pairs only neighbours in the
+    cells, so that the second, which pairs all, need not look inside the groups
+    of many copies that the first has joined. Rows are told apart by a number of
+    their own, so repeated ids are no matter.
+
+    Texts are not shuffled as long as the rows asked for, or dropped, are few
+    enough to be broadcast.
     """
     keys, text = ["_d0", "_d1"], f"_k{docs.columns.index(text_col)}"
     common = common_shingles(docs, text_col, words)
-    held = materialize(prefixed(docs, text_col, words, similarity, common).withColumn("_row", F.monotonically_increasing_id()))
+    held = materialize(sketched(docs, text_col, words, similarity, common).withColumn("_row", F.monotonically_increasing_id()))
     classes = materialize(held.groupBy(*keys).agg(F.min("_row").alias("node")))
-    of_class = held.join(classes.select(F.col("node").alias("_row")), "_row", "left_semi")
+    copies = held.select("_row", *keys).join(classes, keys).where("_row <> node").select("_row")
+    of_class = matching(held, copies, "_row", "left_anti")
+    slim = of_class.select(F.col("_row").alias("node"), F.col("_n").alias("n"), F.col("_rare").alias("rare"), F.col("_prefix").alias("prefix"))
     texts = of_class.select(F.col("_row").alias("node"), F.col(text).alias("text"), F.col("_n").alias("n"), F.col("_bits").alias("bits"))
-    entries = of_class.select(F.col("_row").alias("node"), F.col("_n").alias("n"), F.col("_prefix").alias("prefix")).mapInArrow(_entries, "shingle bigint, n bigint, at bigint, node bigint")
-    cells = materialize(entries.repartition("shingle").sortWithinPartitions("shingle").mapInArrow(_shared, entries.schema))
-    links = verified(candidates(cells.withColumn("root", F.col("node")), similarity, True, cell_rows), texts, words, similarity)
+    cells = shared_cells(slim)
+    prints = near_links(of_class.select(F.col("_fp").alias("fp"), F.col("_row").alias("node")), distance, cell_rows)
+    asked = prints.union(candidates(cells.withColumn("root", F.col("node")), similarity, True, cell_rows)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    links = verified(materialize(asked.distinct()), texts, words, similarity)
     roots = materialize(components(links))
     rooted = cells.join(roots, "node", "left").select(*cells.columns, F.coalesce("root", "node").alias("root"))
     links = links.union(verified(candidates(rooted, similarity, False, cell_rows), texts, words, similarity))
     roots = components(links).withColumnRenamed("node", "_node")
     rooted = classes.join(roots, F.col("node") == F.col("_node"), "left").select(*keys, F.coalesce("root", "node").alias("root"))
     key = f"_k{docs.columns.index(id_col)}"
-    groups = held.select("_row", *keys, F.col(key).alias("_id")).join(rooted, keys)
-    kept = groups.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
-    return held.join(kept, "_row", "left_semi").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)))
+    groups = materialize(held.select("_row", *keys, F.col(key).alias("_id")).join(rooted, keys).select("_row", "_id", "root"))
+    least = groups.groupBy("root").agg(F.min(F.struct(F.col("_id").isNull().alias("null"), "_id", "_row")).alias("least")).select(F.col("least._row").alias("_row"))
+    dropped = groups.select("_row").join(least, "_row", "left_anti")
+    return matching(held, dropped, "_row", "left_anti").select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(docs.columns)))
 
 
 def op4_simhash_dedup(spark, sf_dir):
