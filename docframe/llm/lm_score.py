@@ -8,33 +8,42 @@ A text starts after as many boundary symbols as the order and ends with one.
 As the trained model is static, what a context's escape and exclusions come to
 is worked out once; a byte whose string was seen costs one look-up.
 
-Counts come from all training rows. Texts are dealt to blocks by hash; each
-block counts its words and byte strings, the counts are summed by word over the
-corpus, and each block gets back the totals of the words that it holds, so the
-vocabulary is never in one place. The byte strings are few beside the text; the
-trie has the greatest order up to ORDER whose strings fit in table_mb, and
-those of order 1 always do.
+Counts come from all training rows, and no table of the model is ever in one
+place. Texts are dealt to blocks by hash. A block lists its distinct words and
+byte strings with their training counts; the lists go to buckets, words by
+hash, strings by the last three bytes of their context, so that a bucket holds
+every string of its contexts of that length and more. A bucket sums its counts,
+builds its part of the trie and answers the blocks' lists: the corpus count of
+each word, the log probability of each string. Each block then adds up its
+texts. Only contexts of up to two bytes are shared by all buckets: their
+strings are at most 257^3 by the alphabet (12 bytes each), some thousands in
+text. Lists travel as packed arrays.
 
 Defined cases: null texts are empty, one end token; repeated rows are counted
 and scored each; without training rows every word count is 0 and every byte has
-1/257; an empty table gives an empty result; other columns are not read.
+1/257; texts of any length are scored whole; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks_for, fold, materialize, table, utf8
 
 #: Symbols: 256 bytes and the boundary.
-EDGE, SYMBOLS, ORDER = 256, 257, 4
-#: Memory of a string in the trie's tables, about.
-_STRING_BYTES = 48
-#: The end token's key among words, which hold no white space.
-END_WORD = b"\n"
+EDGE, SYMBOLS, ORDER = 256, 257, 5
+#: Order of the contexts that all buckets share; strings are dealt by one symbol more.
+SHARED = 2
+#: Kinds of lists.
+WORDS, STRINGS, SHORT = 0, 1, 2
 _SLICE = 4 << 20
+_LIST = 250_000
 
 
 def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -55,14 +64,20 @@ def _slices(at: np.ndarray):
         i = j
 
 
+def _codes(s: np.ndarray) -> np.ndarray:
+    """Of every place from ORDER on, the symbol there after the ORDER before it, as one number."""
+    code = s[: len(s) - ORDER].astype(np.int64)
+    for k in range(1, ORDER + 1):
+        code = code * SYMBOLS + s[k : len(s) - ORDER + k]
+    return code
+
+
 def grams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Codes of all contexts of ORDER symbols with the next one, and their counts."""
     s, start = symbols(data, at)
     if len(s) <= ORDER:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    code = s[:-ORDER].astype(np.int64)
-    for k in range(1, ORDER + 1):
-        code = code * SYMBOLS + s[k : len(s) - ORDER + k]
+    code = _codes(s)
     real = np.ones(len(code), bool)  # the last symbol is none of the boundaries before a text
     for k in range(ORDER):
         ends = start[:-1] + k - ORDER
@@ -109,13 +124,18 @@ class ByteTrie:
     context its own escape and, for who escaped from it, the share of one count
     and the escape among the shorter context's symbols that it has not. A
     string that was seen at the greatest order is one look-up.
+
+    base: a trie of a lower order whose levels are taken over. Then the codes
+    may be those of some contexts only, whole for each context of one symbol
+    more than the base's order.
     """
 
-    def __init__(self, code: np.ndarray, count: np.ndarray, order: int = ORDER):
-        self.order, self.levels = order, []
-        last = None
+    def __init__(self, code: np.ndarray, count: np.ndarray, order: int = ORDER, base: ByteTrie | None = None):
+        self.order, self.levels, last = order, [], None
+        if base is not None:
+            self.levels, last, self.novel = list(base.levels), base.last, base.novel
         with np.errstate(divide="ignore", invalid="ignore"):
-            for k in range(order + 1):
+            for k in range(len(self.levels), order + 1):
                 strings, at = np.unique(code % SYMBOLS ** (k + 1), return_inverse=True)
                 n = np.bincount(at, weights=count, minlength=len(strings))
                 contexts, of = np.unique(strings // SYMBOLS, return_inverse=True)
@@ -128,9 +148,11 @@ class ByteTrie:
                     new = last[4][parent] - kinds
                     level["one"] = -np.log10(rest + new)
                     level["further"] = np.where(new > 0, np.log10(new / (rest + new)), 0.0)
+                else:
+                    self.novel = -np.log10(max(1, SYMBOLS - len(strings)))
                 last = strings, n, contexts, total, kinds
                 self.levels.append(level)
-        self.novel = -np.log10(max(1, SYMBOLS - len(np.unique(code % SYMBOLS))))
+        self.last = last
 
     def log_p(self, code: np.ndarray) -> np.ndarray:
         """Of codes of the trie's order."""
@@ -161,130 +183,237 @@ class ByteTrie:
         out[live] += self.novel
         return out
 
-    def texts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each text."""
-        out = np.zeros(len(at) - 1)
-        for i, j in _slices(at):
-            s, start = symbols(data[at[i] : at[j]], at[i : j + 1] - at[i])
-            code = np.zeros(len(s) - ORDER, np.int64)
-            for k in range(ORDER - self.order, ORDER + 1):
-                code = code * SYMBOLS + s[k : len(s) - ORDER + k]
-            logp = np.zeros(len(s))
-            logp[ORDER:] = self.log_p(code)
-            for k in range(ORDER):
-                logp[start[:-1] + k] = 0
-            out[i:j] = np.add.reduceat(logp, start[:-1])
-        return out
 
+def text_scores(data: np.ndarray, at: np.ndarray, log_p) -> np.ndarray:
+    """log10 probability of each text, given log_p of codes."""
+    out = np.zeros(len(at) - 1)
+    for i, j in _slices(at):
+        s, start = symbols(data[at[i] : at[j]], at[i : j + 1] - at[i])
+        logp = np.zeros(len(s))
+        logp[ORDER:] = log_p(_codes(s))
+        for k in range(ORDER):
+            logp[start[:-1] + k] = 0
+        out[i:j] = np.add.reduceat(logp, start[:-1])
+    return out
+
+
+def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    if not parts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+    return key, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(key)).astype(np.int64)
 
-def _count(batches):
-    """Texts of some blocks to (block, word, gram, n): training counts of words, also 0, and of byte strings."""
-    from collections import Counter
 
+def _row(kind: int, bucket: int, block: int, keys, values: np.ndarray, counts: np.ndarray | None = None):
+    """A list as a record batch of one row; keys are words, or sorted integers that travel as differences."""
     import pyarrow as pa
 
-    words: dict[int, Counter] = {}
-    strings: list[tuple[np.ndarray, np.ndarray]] = []
+    blob = b"\n".join(keys) if kind == WORDS else np.diff(keys, prepend=0).tobytes()
+    n = values if counts is None else counts
+    return pa.RecordBatch.from_arrays(
+        [pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([blob], pa.binary()), pa.array([values.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64()), pa.array([int(n.sum())], pa.int64())],
+        names=["kind", "bucket", "block", "keys", "values", "size", "total"],
+    )
+
+
+_LISTS = "kind int, bucket int, block bigint, keys binary, values binary, size bigint, total bigint"
 
-    def merged(parts):
-        code, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-        return code, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(code)).astype(np.int64)
 
-    def rows(block, word, gram, n):
-        k = len(n)
-        return pa.RecordBatch.from_arrays(
-            [block, word if word is not None else pa.nulls(k, pa.binary()), gram if gram is not None else pa.nulls(k, pa.int64()), pa.array(n, pa.int64())],
-            names=["block", "word", "gram", "n"],
-        )
+def _keys(kind: int, blob: bytes):
+    return blob.split(b"\n") if kind == WORDS else np.cumsum(np.frombuffer(blob, np.int64))
 
+
+def _in_lists(kind: int, keys, values: np.ndarray):
+    for i in range(0, len(keys), _LIST):
+        yield keys[i : i + _LIST], values[i : i + _LIST]
+
+
+def _count(buckets: int):
+    """mapInArrow function: texts sorted by block to each block's lists of words and strings, counts of training rows."""
+
+    def lists(block, words, strings, short, ends):
+        names = sorted(words)
+        n = np.fromiter(map(words.__getitem__, names), np.int64, len(names))
+        of = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % buckets
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(buckets + 1))
+        for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if j > i:
+                yield _row(WORDS, b, block, [names[k] for k in order[i:j]], n[order[i:j]])
+        code, n = merged(strings)
+        tail = code // SYMBOLS % SYMBOLS ** (SHARED + 1)
+        of = ((tail.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(of, kind="stable")
+        cut = np.searchsorted(of[order], np.arange(buckets + 1))
+        for b, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+            if j > i:
+                yield _row(STRINGS, b, block, code[order[i:j]], n[order[i:j]])
+        code, n = merged(short)
+        of = code // SYMBOLS % SYMBOLS
+        for b in np.unique(of).tolist():
+            yield _row(SHORT, b, block, code[of == b], n[of == b])
+        # a list of no keys brings the number of ends
+        yield _row(SHORT, -1, block, code[:0], n[:0], np.array([ends]))
+
+    def run(batches):
+        now, state = None, None
+        for b in batches:
+            data, at = utf8(b.column("text"))
+            block, learn = b.column("block").to_numpy(), b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
+            cut = np.flatnonzero(np.diff(block)) + 1
+            for first, last in zip([0, *cut], [*cut, len(block)], strict=True):
+                if first == last:
+                    continue
+                if block[first] != now:
+                    if state is not None:
+                        yield from lists(now, *state)
+                    now, state = int(block[first]), [Counter(), [], [], 0]
+                words, strings, short, _ = state
+                for i, j in _slices(at[first : last + 1]):
+                    rows = np.arange(first + i, first + j)
+                    for k in rows:
+                        w = data[at[k] : at[k + 1]].tobytes().lower().split()
+                        if learn[k]:
+                            words.update(w)
+                        else:
+                            for x in w:
+                                words.setdefault(x, 0)
+                    for mine, weight in ((rows[learn[rows]], 1), (rows[~learn[rows]], 0)):
+                        size = at[mine + 1] - at[mine]
+                        part = data[at[rows[0]] : at[rows[-1] + 1]] if len(mine) == len(rows) else np.concatenate([data[:0], *(data[at[k] : at[k + 1]] for k in mine)])
+                        code, n = grams(part, np.concatenate([[0], np.cumsum(size)]))
+                        strings.append((code, n * weight))
+                        if weight:
+                            short.append(merged([(code % SYMBOLS ** (SHARED + 1), n)]))
+                    state[3] += int(np.count_nonzero(learn[rows]))
+                    if len(strings) > 8:
+                        state[1] = strings = [merged(strings)]
+                        state[2] = short = [merged(short)]
+        if state is not None:
+            yield from lists(now, *state)
+
+    return run
+
+
+def _sum(batches):
+    """mapInArrow function: lists sorted by kind and bucket to the sums of each bucket, keys that were counted only."""
+
+    def sums(kind, bucket, held):
+        if kind == WORDS:
+            names = sorted(w for w, n in held.items() if n)
+            keys, n = names, np.fromiter(map(held.__getitem__, names), np.int64, len(names))
+        else:
+            keys, n = merged(held)
+            keys, n = keys[n > 0], n[n > 0]
+        for k, v in _in_lists(kind, keys, n):
+            yield _row(kind, bucket, -1, k, v)
+
+    now, held, waiting = None, None, 0
     for b in batches:
-        data, at = utf8(b.column("text"))
-        block, learn = b.column("block").to_numpy(), b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-        for i, j in _slices(at):
-            for k in range(i, j):
-                mine = words.setdefault(int(block[k]), Counter())
-                w = data[at[k] : at[k + 1]].tobytes().lower().split()
-                if learn[k]:
-                    mine.update(w)
-                    mine[END_WORD] += 1
-                else:
-                    for x in w:
-                        mine.setdefault(x, 0)
-                    mine.setdefault(END_WORD, 0)
-            mine = np.flatnonzero(learn[i:j]) + i
-            size = at[mine + 1] - at[mine]
-            if len(mine) < j - i:
-                part = np.concatenate([data[at[k] : at[k + 1]] for k in mine]) if len(mine) else data[:0]
+        kinds, buckets, blobs, values = b.column("kind").to_numpy(), b.column("bucket").to_numpy(), b.column("keys"), b.column("values")
+        for r in range(b.num_rows):
+            key = int(kinds[r]), int(buckets[r])
+            if key != now:
+                if now is not None:
+                    yield from sums(*now, held)
+                now, held, waiting = key, Counter() if key[0] == WORDS else [], 0
+            keys, n = _keys(key[0], blobs[r].as_py()), np.frombuffer(values[r].as_py(), np.int64)
+            if key[0] == WORDS:
+                for w, c in zip(keys, n.tolist(), strict=True):
+                    if c:
+                        held[w] += c
             else:
-                part = data[at[i] : at[j]]
-            strings.append(grams(part, np.concatenate([[0], np.cumsum(size)])))
-            if len(strings) > 8:
-                strings = [merged(strings)]
-    if strings:
-        code, n = merged(strings)
-        yield rows(pa.nulls(len(code), pa.int32()), None, pa.array(code), n)
-    for block, found in words.items():
-        keys, n = list(found), np.fromiter(found.values(), np.int64, len(found))
-        for i in range(0, len(keys), 100_000):
-            part = keys[i : i + 100_000]
-            yield rows(pa.array(np.full(len(part), block, np.int32)), pa.array(part, pa.binary()), None, n[i : i + 100_000])
+                held.append((keys, n))
+                waiting += len(keys)
+                if waiting > 4_000_000 and len(held) > 1:
+                    held = [merged(held)]
+                    waiting = 0
+    if now is not None:
+        yield from sums(*now, held)
+
+
+def _serve(shared):
+    """mapInArrow function: sums (block -1) and then lists, sorted by kind, bucket and block, to the lists with answers."""
+
+    def run(batches):
+        low, now, held, ready = ByteTrie(*shared.value, SHARED), None, None, None
+        for b in batches:
+            kinds, buckets, blocks, blobs, values = b.column("kind").to_numpy(), b.column("bucket").to_numpy(), b.column("block").to_numpy(), b.column("keys"), b.column("values")
+            for r in range(b.num_rows):
+                key = int(kinds[r]), int(buckets[r])
+                if key != now:
+                    now, held, ready = key, [], None
+                keys = _keys(key[0], blobs[r].as_py())
+                if blocks[r] < 0:
+                    held.append((keys, np.frombuffer(values[r].as_py(), np.int64)))
+                    continue
+                if ready is None:
+                    if key[0] == WORDS:
+                        ready = {w: n for names, ns in held for w, n in zip(names, ns.tolist(), strict=True)}
+                    else:
+                        code, n = merged(held)
+                        ready = ByteTrie(code, n, ORDER, low)
+                    held = []
+                if key[0] == WORDS:
+                    answer = np.fromiter((ready.get(w, 0) for w in keys), np.int64, len(keys))
+                else:
+                    answer = ready.log_p(keys)
+                yield _row(key[0], key[1], int(blocks[r]), keys, answer, np.zeros(1))
 
+    return run
 
-def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", table_mb: int = 192, block_bytes: int = 16 << 20) -> tuple[DataFrame, int, int]:
+
+def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, most_buckets: int = 4096) -> tuple[DataFrame, int, int]:
     """(id, learn, n_tokens, n_known, word_log, score) of every row, N and V.
 
     word_log is the sum of log10(c + 0.5) over the row's tokens, score the trie's
-    log10 probability. learn: the condition that training rows meet.
+    log10 probability. learn: the condition that training rows meet. There are
+    as many buckets as blocks, most_buckets at most.
     """
     spark, kind = docs.sparkSession, dict(docs.dtypes)[id_col]
-    blocks = blocks_for(docs, text_col, block_bytes)
+    blocks = max(blocks_for(docs, text_col, block_bytes), min(spark.sparkContext.defaultParallelism, blocks_for(docs, text_col, 1 << 20)))
+    buckets = min(blocks, most_buckets)
     dealt = docs.select(
-        F.col(id_col).alias("id"), F.col(text_col).alias("text"), learn.alias("learn"), F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("int").alias("block")
-    )
-    counted = materialize(
-        dealt.select("block", "learn", "text").repartition(blocks, "block").mapInArrow(_count, "block int, word binary, gram bigint, n bigint")
+        F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("bigint").alias("block")
     )
-    order, byte_counts = ORDER, materialize(counted.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n")))
-    while order > 1 and byte_counts.count() * _STRING_BYTES > table_mb << 20:
-        shorter = F.col("gram") % SYMBOLS**order
-        order, byte_counts = order - 1, materialize(byte_counts.groupBy(shorter.alias("gram")).agg(F.sum("n").alias("n")))
-    byte_counts = byte_counts.toArrow()
-    trie = ByteTrie(byte_counts.column("gram").to_numpy(), byte_counts.column("n").to_numpy(), order)
-    shared = spark.sparkContext.broadcast(trie)  # table_mb bounds it
-    by_word = Window.partitionBy("word")
-    totals = counted.where("word is not null").select(
-        "block", "word", F.sum("n").over(by_word).alias("total"), (F.col("block") == F.min("block").over(by_word)).alias("first")
-    )
-
-    def run(texts, words):
+    counted = materialize(dealt.select("block", "learn", "text").repartition("block").sortWithinPartitions("block").mapInArrow(_count(buckets), _LISTS))
+    lists = counted.where("bucket >= 0")
+    sums = materialize(lists.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_sum, _LISTS))
+    ends = counted.where("bucket < 0").agg(F.sum("total")).first()[0] or 0
+    n, v = sums.where(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("size")).first()
+    n, v = (n or 0) + ends, (v or 0) + (ends > 0)
+    low = sums.where(F.col("kind") == SHORT).select("keys", "values").collect()  # the alphabet bounds it
+    shared = spark.sparkContext.broadcast(merged([(_keys(SHORT, bytes(r[0])), np.frombuffer(bytes(r[1]), np.int64)) for r in low]))
+    asked = lists.where(F.col("kind") < SHORT).withColumn("values", F.lit(None).cast("binary")).union(sums.where(F.col("kind") < SHORT))
+    served = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_serve(shared), _LISTS).select("block", "kind", "keys", "values")
+    of_end = float(np.log10(ends + 0.5))
+
+    def run(texts, lists):
         import pyarrow as pa
 
-        total = words.column("total").to_numpy()
-        count = dict(zip(words.column("word").to_pylist(), total.tolist(), strict=True))
-        first = words.column("first").to_numpy(zero_copy_only=False).astype(bool)
-        mine = total[first & (total > 0)]
+        count, codes, logs = {}, [np.zeros(0, np.int64)], [np.zeros(0)]
+        for k, keys, values in zip(lists.column("kind").to_pylist(), lists.column("keys"), lists.column("values"), strict=True):
+            if k == WORDS:
+                count.update(zip(_keys(k, keys.as_py()), np.frombuffer(values.as_py(), np.int64).tolist(), strict=True))
+            else:
+                codes.append(_keys(k, keys.as_py()))
+                logs.append(np.frombuffer(values.as_py(), np.float64))
+        place, logs = Index(np.concatenate(codes)), np.concatenate(logs)
         data, at = utf8(texts.column("text"))
         rows = len(at) - 1
-        tokens, known, log = np.zeros(rows + 1, np.int64), np.zeros(rows + 1, np.int64), np.zeros(rows + 1)
-        get, last = count.__getitem__, count.get(END_WORD, 0)
+        tokens, known, log = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
+        get = count.__getitem__
         for k in range(rows):
             w = data[at[k] : at[k + 1]].tobytes().lower().split()
             c = np.fromiter(map(get, w), np.float64, len(w))
-            tokens[k], known[k] = len(w) + 1, np.count_nonzero(c) + (last > 0)
-            log[k] = np.log10(c + 0.5).sum() + np.log10(last + 0.5)
-        # the last row tells this block's share of V and N
-        tokens[rows], known[rows] = len(mine), mine.sum()
-        score = np.append(shared.value.texts(data, at), 0.0)
-        ids = pa.chunked_array([*texts.column("id").chunks, pa.nulls(1, texts.schema.field("id").type)])
-        learned = pa.chunked_array([*texts.column("learn").chunks, pa.nulls(1, pa.bool_())])
-        tail = np.arange(rows + 1) == rows
-        return pa.table([ids, learned, pa.array(tail), *map(pa.array, (tokens, known, log, score))], names=["id", "learn", "tail", "n_tokens", "n_known", "word_log", "score"])
-
-    scored = materialize(
-        dealt.groupBy("block").cogroup(totals.groupBy("block")).applyInArrow(run, f"id {kind}, learn boolean, tail boolean, n_tokens bigint, n_known bigint, word_log double, score double")
-    )
-    v, n = scored.where("tail").agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_known"), F.lit(0))).first()
-    return scored.where(~F.col("tail")).drop("tail"), n, v
+            tokens[k], known[k] = len(w) + 1, np.count_nonzero(c) + (ends > 0)
+            log[k] = np.log10(c + 0.5).sum() + of_end
+        score = text_scores(data, at, lambda code: logs[place.find(code)]) if rows else np.zeros(0)
+        return pa.table([texts.column("id"), texts.column("learn"), *map(pa.array, (tokens, known, log, score))], names=["id", "learn", "n_tokens", "n_known", "word_log", "score"])
+
+    scored = dealt.groupBy("block").cogroup(served.groupBy("block")).applyInArrow(run, f"id {kind}, learn boolean, n_tokens bigint, n_known bigint, word_log double, score double")
+    return scored, n, v
 
 
 def op10_lm_score(spark, sf_dir):

@@ -115,15 +115,16 @@ def test_quality_defined_cases(spark):
 # -- partial matching
 
 
-def brute_ppm(train, text, order=4):
-    counts = [{} for _ in range(5)]
+def brute_ppm(train, text, order=lm_score.ORDER):
+    most = lm_score.ORDER
+    counts = [{} for _ in range(most + 1)]
     for t in train:
-        s = [256] * 4 + list(t) + [256]
-        for i in range(4, len(s)):
-            for k in range(5):
+        s = [256] * most + list(t) + [256]
+        for i in range(most, len(s)):
+            for k in range(most + 1):
                 counts[k].setdefault(tuple(s[i - k : i]), Counter())[s[i]] += 1
-    total, s = 0.0, [256] * 4 + list(text) + [256]
-    for i in range(4, len(s)):
+    total, s = 0.0, [256] * most + list(text) + [256]
+    for i in range(most, len(s)):
         p, out = 1.0, set()
         for k in range(order, -1, -1):
             c = {a: n for a, n in counts[k].get(tuple(s[i - k : i]), {}).items() if a not in out}
@@ -150,43 +151,62 @@ TEXTS = [b"the cat", b"", b"zebra!", b"cat mat the flat aaa", b"\xff\x00xyz", b"
 
 def test_trie_equals_brute_force_and_sums_to_one():
     code, n = lm_score.grams(*as_arrow(TRAIN))
-    trie = lm_score.ByteTrie(code, n)
-    assert np.allclose(trie.texts(*as_arrow(TEXTS)), [brute_ppm(TRAIN, t) for t in TEXTS], atol=1e-9)
-    for order in (1, 2):
-        short, at = np.unique(code % lm_score.SYMBOLS ** (order + 1), return_inverse=True)
-        lower = lm_score.ByteTrie(short, np.bincount(at, weights=n), order)
-        assert np.allclose(lower.texts(*as_arrow(TEXTS)), [brute_ppm(TRAIN, t, order) for t in TEXTS], atol=1e-9)
-    for context in (b"a ca", b"the ", b"zzzt", b"at i", b"xq\x00\xff"):
+    trie, size = lm_score.ByteTrie(code, n), lm_score.SYMBOLS
+    want = [brute_ppm(TRAIN, t) for t in TEXTS]
+    assert np.allclose(lm_score.text_scores(*as_arrow(TEXTS), trie.log_p), want, atol=1e-9)
+    # the same from parts: contexts of up to two symbols shared, the others by their last three
+    low = lm_score.ByteTrie(*lm_score.merged([(code % size**3, n)]), 2)
+    part = code // size % size**3 % 7
+    tries = [lm_score.ByteTrie(code[part == k], n[part == k], lm_score.ORDER, low) for k in range(7)]
+
+    def of_parts(asked):
+        mine, out = asked // size % size**3 % 7, np.zeros(len(asked))
+        for k, t in enumerate(tries):
+            out[mine == k] = t.log_p(asked[mine == k])
+        return out
+
+    assert np.allclose(lm_score.text_scores(*as_arrow(TEXTS), of_parts), want, atol=1e-9)
+    for context in (b"ra ca", b"xthe ", b"zzzzt", b"cat i", b"xq\x00\xffz"):
         base = 0
         for c in context:
-            base = base * lm_score.SYMBOLS + c
-        assert abs((10.0 ** trie.log_p(base * lm_score.SYMBOLS + np.arange(lm_score.SYMBOLS))).sum() - 1) < 1e-9
+            base = base * size + c
+        assert abs((10.0 ** trie.log_p(base * size + np.arange(size))).sum() - 1) < 1e-9
     nothing = lm_score.ByteTrie(np.zeros(0, np.int64), np.zeros(0, np.int64))
-    assert np.allclose(nothing.texts(*as_arrow([b"ab"])), -3 * math.log10(257))
+    assert np.allclose(lm_score.text_scores(*as_arrow([b"ab"]), nothing.log_p), -3 * math.log10(257))
 
 
 def test_scores_equal_brute_force(spark):
     schema = "doc_id long, text string, block string, learn string, total int"
     rows = [(i, t.decode("latin1"), "b", "l", 0) for i, t in enumerate(TRAIN + TEXTS)] + [(None, None, "", "", 0), (3, "A b\x0bA", "", "", 0), (3, "A b\x0bA", "", "", 0)]
     df = spark.createDataFrame(rows, schema)
-    found, n, v = lm_score.lm_scores(df, F.coalesce(F.col("doc_id") < 6, F.lit(False)), block_bytes=20)
+    found, n, v = lm_score.lm_scores(df, F.coalesce(F.col("doc_id") < 6, F.lit(False)), block_bytes=20, most_buckets=3)
     train = [(t or "").encode() for i, t, *_ in rows if i is not None and i < 6]
     words = Counter(w for t in train for w in [*t.lower().split(), b"\n"])
     assert (n, v) == (sum(words.values()), len(words))
     want = []
     for i, t, *_ in rows:
         w = [*(t or "").encode().lower().split(), b"\n"]
-        want.append((-1 if i is None else i, len(w), sum(words[x] > 0 for x in w), round(sum(math.log10(words[x] + 0.5) for x in w), 9), round(brute_ppm(train, (t or "").encode()), 4)))
-    got = [(-1 if r.id is None else r.id, r.n_tokens, r.n_known, round(r.word_log, 9), round(r.score, 4)) for r in found.collect()]
+        want.append((-1 if i is None else i, len(w), sum(words[x] > 0 for x in w), round(sum(math.log10(words[x] + 0.5) for x in w), 9), round(brute_ppm(train, (t or "").encode()), 6)))
+    got = [(-1 if r.id is None else r.id, r.n_tokens, r.n_known, round(r.word_log, 9), round(r.score, 6)) for r in found.collect()]
     assert sorted(got) == sorted(want)
 
 
-def test_a_small_bound_lowers_the_order(spark):
-    df = spark.createDataFrame([(i, t.decode("latin1")) for i, t in enumerate(TRAIN + TEXTS)], "doc_id long, text string")
-    found, _, _ = lm_score.lm_scores(df, F.col("doc_id") < len(TRAIN), table_mb=0)
-    got = {r.id: r.score for r in found.collect()}
-    train = [t.decode("latin1").encode() for t in TRAIN]
-    assert all(abs(got[i] - brute_ppm(train, t.decode("latin1").encode(), 1)) < 1e-6 for i, t in enumerate(TRAIN + TEXTS))
+def test_scores_do_not_depend_on_blocks_and_buckets(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    runs = []
+    for layout in ({}, {"block_bytes": 30_000, "most_buckets": 5}):
+        found, n, v = lm_score.lm_scores(docs, F.col("doc_id") % 5 != 1, **layout)
+        runs.append((n, v, sorted((r.id, r.n_tokens, r.n_known, round(r.word_log, 6), round(r.score, 6)) for r in found.collect())))
+    assert runs[0] == runs[1]
+
+
+def test_a_long_text_is_scored_whole(spark):
+    text = "lorem ipsum dolor " * 400_000
+    df = spark.createDataFrame([(1, "lorem ipsum dolor "), (2, text), (3, " " * 5_000_000), (4, "z" * 5_000_000)], "doc_id long, text string")
+    found, _, _ = lm_score.lm_scores(df, F.col("doc_id") == 1)
+    got = {r.id: r for r in found.collect()}
+    assert got[2].n_tokens == 1_200_001 and got[2].n_known == got[2].n_tokens and got[3].n_tokens == 1 and got[4].n_tokens == 2
+    assert got[4].score < got[2].score < 0
 
 
 def test_score_of_an_empty_table(spark):
