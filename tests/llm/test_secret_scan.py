@@ -50,10 +50,42 @@ def test_defined_cases(spark):
 def test_redaction_keeps_the_rest(spark):
     text = "a 🦆 token=abcdef1234 b " + "0f" * 12 + " c"
     df = spark.createDataFrame([(1, text, "s"), (2, "clean", "s")], "doc_id long, text string, source string")
-    got = {r.doc_id: r.t for r in S.scan_secrets(df, keep=("doc_id", "text")).select("doc_id", S.redact(F.col("text"), F.col("spans")).alias("t")).collect()}
+    got = {r.doc_id: r.t for r in S.scan_secrets(df, keep=("doc_id", "text")).select("doc_id", S.redact(F.col("text"), F.col("kept")).alias("t")).collect()}
     assert got == {1: "a 🦆 [SECRET] b [SECRET] c", 2: "clean"}
 
 
+def test_redaction_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(S, "_CHUNK", 7)
+    rng = random.Random(4)
+    bits = ["token=abcdef99 ", "secret: " + "0a" * 13, "0f" * 13, "🦆é", "\x01", "plain words ", "\n", "AKIA" + "Q7" * 9, "Zz9" * 8 + " ", ","]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(1, 25))) for _ in range(150)]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    for r in S.scan_secrets(df, keep=("doc_id", "text")).withColumn("t", S.redact(F.col("text"), F.col("kept"))).collect():
+        at, out = 0, ""
+        for s in r.spans:
+            if s.start >= at:
+                out += r.text[at : s.start] + "[SECRET]"
+            at = max(at, s.end)
+        assert r.text == texts[r.doc_id] and r.t == out + r.text[at:]
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(spark):
+    import time
+
+    n, one = 200_000, "token=abcdef1234 word "
+    df = spark.createDataFrame([(1, one * n, "s")], "doc_id long, text string, source string")
+    began = time.time()
+    r = S.scan_secrets(df, keep=("doc_id", "text")).select(F.size("base"), F.get("base", F.lit(n - 1)), F.size("spans"), F.length(S.redact(F.col("text"), F.col("kept")))).first()
+    assert r[0] == r[2] == n and (r[1].start, r[1].end) == ((n - 1) * len(one), n * len(one) - 6) and r[3] == n * len("[SECRET] word ")
+    assert time.time() - began < 60
+
+
+def test_an_owner_may_repeat_a_value(spark):
+    own = "Zz9" * 8
+    df = spark.createDataFrame([(i, f"mine {own}", "src") for i in range(40)], "doc_id long, text string, source string")
+    assert all([s.kind for s in r.spans] == [3] for r in S.scan_secrets(df).collect())
+
+
 def test_digest(spark):
     assert hashlib.sha256(b"").hexdigest() == spark.range(1).select(F.sha2(S.render(F.array().cast(S.SPAN)), 256)).first()[0]
 
