@@ -40,14 +40,31 @@ def test_exact_search_equals_brute_force(spark):
     assert got == brute(rows, 5, lambda i: i % 10 == 0)
 
 
-def test_relaxed_pruning_keeps_recall(spark):
+def searched(x, queries, relax, leaf=64):
+    tree = vptree.Tree(x, [[i] for i in range(len(x))], leaf)
+    found = tree.search(x[:queries], np.arange(queries), 5, relax)
+    return [{i for _, i in best} for best in found], tree.scored / (queries * len(x))
+
+
+def test_clusters_are_pruned_without_loss():
     rng = np.random.default_rng(1)
-    x = (rng.normal(0, 1, (40, 16))[rng.integers(0, 40, 4000)] + rng.normal(0, 0.3, (4000, 16))).astype(np.float32).astype(float)
-    tree = vptree.Tree(x, [[i] for i in range(len(x))])
-    own = np.arange(100)
-    exact, loose = tree.search(x[:100], own, 5, 1.0), tree.search(x[:100], own, 5, 1.3)
-    recall = np.mean([len({i for _, i in a} & {i for _, i in b}) / 5 for a, b in zip(exact, loose, strict=True)])
-    assert 0.9 <= recall <= 1
+    x = (rng.normal(0, 1, (40, 16))[rng.integers(0, 40, 4000)] + rng.normal(0, 0.1, (4000, 16))).astype(np.float32).astype(float)
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    order = np.argsort(-(unit[:100] @ unit.T - 9 * np.eye(100, len(x))), axis=1)
+    found, share = searched(x, 100, 1.0)
+    assert found == [set(o[:5].tolist()) for o in order] and share < 0.25
+    loose, less = searched(x, 100, 1.5)
+    assert less < share and np.mean([len(a & b) / 5 for a, b in zip(found, loose, strict=True)]) >= 0.9
+
+
+@pytest.mark.parametrize(("relax", "recall", "most"), [(1.0, 1.0, 1.0), (6.0, 0.95, 0.95), (7.0, 0.9, 0.9)])
+def test_share_scored_of_the_table(relax, recall, most):
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table("/root/testdata/sf0.1/embeddings.parquet")["embedding"].to_pylist(), float)
+    exact, _ = searched(x, 200, 1.0)
+    found, share = searched(x, 200, relax)
+    assert share <= most and np.mean([len(a & b) / 5 for a, b in zip(exact, found, strict=True)]) >= recall
 
 
 def test_search_of_an_empty_table(spark):
