@@ -11,8 +11,9 @@ region holds hardly anything but positives.
 Labels of 0 are never used. Both samples are bounded by a parameter and drawn
 by a hash of the id; scoring reads every row.
 
-Defined cases: null texts are empty and are scored like any text; without any
-positive every score is 0.5; labels repeated for one id count once, positive
+Defined cases: null texts are empty and are scored like any text; texts of any
+length are read whole; without any positive every score is 0.5; with fewer than
+four rows in a sample the prior is 0.5, as nothing can be estimated; labels repeated for one id count once, positive
 only if all say so; repeated documents are scored each; an empty table gives an
 empty result; other columns are not read.
 """
@@ -95,7 +96,7 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 7) -> float:
     """Share of positives in unl, on halves that the first classifier has not seen."""
     a, b = pos[::2], pos[1::2]
     c, d = unl[::2], unl[1::2]
-    if min(map(len, (a, b, c, d))) < 50:
+    if min(map(len, (a, b, c, d))) < 2:
         return 0.5
     net = Network(pos.shape[1], 16, seed)
     for p, u in _epochs(a, c, 20, 256, seed):
@@ -122,8 +123,8 @@ def train(pos: np.ndarray, unl: np.ndarray, prior: float | None = None, hidden:
     return net, prior
 
 
-def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Features and flags of a bounded table (text, in_p)."""
+def _collect(df: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and flags of a table (text, in_p), of `most` rows at most, drawn by hash; what is sorted is the features, some KB a row."""
 
     def run(batches):
         import pyarrow as pa
@@ -132,7 +133,7 @@ def _collect(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             x = features(*utf8(b.column(0)))
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), b.column(1)], names=["x", "in_p"])
 
-    rows = df.mapInArrow(run, "x binary, in_p boolean").collect()
+    rows = df.mapInArrow(run, "x binary, in_p boolean").orderBy(F.xxhash64("x"), "x", "in_p").limit(most).collect()
     x = np.array([np.frombuffer(r[0], np.float32) for r in rows], np.float64).reshape(-1, WIDTH)
     return x, np.array([r[1] for r in rows], bool)
 
@@ -146,8 +147,7 @@ def fit(docs: DataFrame, positives: DataFrame, train_rows, sample: int = 6000) -
     chosen = lambda d: d.where(train_rows & F.col("id").isNotNull()).select("id").distinct().orderBy(order, "id").limit(sample)
     ids = chosen(positives).withColumn("in_p", F.lit(True)).union(chosen(docs).withColumn("in_p", F.lit(False)))
     # at most twice `sample` ids; repeated documents of one id are not let through either
-    rows = docs.select("id", "text").join(F.broadcast(ids), "id").orderBy(F.xxhash64("id", "text")).limit(2 * sample).select("text", "in_p")
-    x, in_p = _collect(rows)
+    x, in_p = _collect(docs.select("id", "text").join(F.broadcast(ids), "id").select("text", "in_p"), 2 * sample)
     if not in_p.any() or in_p.all():
         return None, 0.5
     return train(x[in_p], x[~in_p])
