@@ -144,16 +144,16 @@ class Scorer:
         return total / np.maximum(size, 1)[:, None]
 
 
-def sample_windows(docs: DataFrame, train_rows, per_lang: int, each: int = 2) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """At most about per_lang rows of each label (drawn by hash), `each` windows a row at hashed places."""
+def sample_windows(docs: DataFrame, train_rows, per_lang: int, each: int = 2, most_langs: int = 400) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """At most about per_lang rows of each label (drawn by hash), `each` windows a row at hashed places; of the most_langs commonest labels."""
     labelled = docs.where(train_rows & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count("*")).collect()}
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()}
     langs = sorted(counts)
     if not langs:
         return [], np.zeros((0, WINDOW), np.uint8), np.zeros(0, int)
     rates = F.create_map(*(F.lit(x) for k, n in counts.items() for x in (k, int(min(1.0, per_lang / n) * (1 << 30)))))
     h = F.pmod(F.xxhash64("id", "text", F.lit("lang")), F.lit(1 << 30))
-    picked = labelled.where(h < F.element_at(rates, F.col("lang"))).select("text", "lang")
+    picked = labelled.where(h < F.try_element_at(rates, F.col("lang"))).select("text", "lang")
 
     def run(batches):
         import pyarrow as pa
@@ -171,7 +171,8 @@ def sample_windows(docs: DataFrame, train_rows, per_lang: int, each: int = 2) ->
                         ys.append(lang[k])
             yield pa.RecordBatch.from_arrays([pa.array(xs, pa.binary()), pa.array(ys, pa.string())], names=["x", "lang"])
 
-    rows = picked.mapInArrow(run, "x binary, lang string").limit(2 * each * per_lang * len(langs)).collect()
+    # ordered, so that a cut (many copies of one drawn row) is the same each time
+    rows = picked.mapInArrow(run, "x binary, lang string").orderBy(F.xxhash64("x", "lang"), "x", "lang").limit(2 * each * per_lang * len(langs)).collect()
     rows.sort(key=lambda r: (r[1], bytes(r[0])))
     x = np.zeros((len(rows), WINDOW), np.uint8)
     for k, r in enumerate(rows):
@@ -179,9 +180,9 @@ def sample_windows(docs: DataFrame, train_rows, per_lang: int, each: int = 2) ->
     return langs, x, np.array([langs.index(r[1]) for r in rows], int)
 
 
-def fit(docs: DataFrame, train_rows, per_lang: int = 1200) -> ByteConv | None:
-    """docs(id, text, lang). per_lang bounds the rows learned from of each label."""
-    langs, x, y = sample_windows(docs, train_rows, per_lang)
+def fit(docs: DataFrame, train_rows, per_lang: int = 1200, most_langs: int = 400) -> ByteConv | None:
+    """docs(id, text, lang). per_lang bounds the rows learned from of each label, most_langs the labels."""
+    langs, x, y = sample_windows(docs, train_rows, per_lang, most_langs=most_langs)
     if not len(x):
         return None
     net = ByteConv(langs)
