@@ -5,12 +5,14 @@ is shrunk through a chain of beta-binomial priors: the whole table gives the
 prior of a public suffix, the suffix that of a registered domain, the domain
 that of a host. The strength of each prior is estimated from the spread
 between groups (method of moments). A page is blocked if the lower bound of
-its host's posterior rate exceeds max_bad.
+its host's posterior rate exceeds max_bad. Reputation goes by the host's name,
+without user and port; an address of numbers is a domain of its own.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path
 and is judged as the host ``''``; pages without a label only receive; several
 labels of a page count as one, bad if any is; repeated pages are kept and
-counted each; an empty table gives an empty result; other columns are not read.
+counted each; urls of any length are read whole; an empty table gives an empty
+result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,8 +26,9 @@ from .common import materialize, table
 
 #: (verdict, host, path) of the contract.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
-#: Public suffixes of two labels; others have one. A parameter: pass a fuller list for real crawls.
+#: Public suffixes of two labels, for a start; any other suffix has one. host_reputation takes the list that fits the crawl.
 SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz", "co.za")
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[.*)$"
 URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 Z, MAX_BAD, WEAKEST, STRONGEST = 1.645, 0.2, 1.0, 1000.0
 
@@ -38,13 +41,19 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, URL, 2), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+def name_of(host: Column) -> Column:
+    """The host without user and port."""
+    return F.regexp_replace(F.regexp_replace(host, "^.*@", ""), ":[0-9]*$", "")
 
 
-def domain_of(host: Column) -> Column:
-    return F.when(F.substring_index(host, ".", -2).isin(*SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+def suffix_of(name: Column, suffixes=SUFFIXES) -> Column:
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), "address").when(two.isin(*suffixes), two).otherwise(F.substring_index(name, ".", -1))
+
+
+def domain_of(name: Column, suffixes=SUFFIXES) -> Column:
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(two.isin(*suffixes), F.substring_index(name, ".", -3)).otherwise(two)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -66,8 +75,8 @@ def _strength(stats: DataFrame, by: str) -> DataFrame:
     return s.select("N", "X", F.least(F.greatest(k, F.lit(WEAKEST)), F.lit(STRONGEST)).alias("k"))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
-    """(host, rate, bound) of every host of pages(id, host), given outcomes(id, bad).
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, suffixes=SUFFIXES) -> DataFrame:
+    """(host, rate, bound) of every host name of pages(id, host), given outcomes(id, bad).
 
     The counts by host are the only shuffled state: partial sums first, so a
     host with a third of all pages costs one row a task.
@@ -77,7 +86,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
         pages.join(labelled, "id", "left")
         .groupBy("host")
         .agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("bigint").alias("x"))
-        .withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+        .withColumns({"domain": domain_of(F.col("host"), suffixes), "suffix": suffix_of(F.col("host"), suffixes)})
     )
     k = {by: _strength(stats, by).first() for by in ("suffix", "domain", "host")}
     mean = lambda x, n, prior, by: (x + k[by]["k"] * prior) / (n + k[by]["k"])
@@ -97,10 +106,11 @@ def op5_url_filter(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), (F.col("quality") == 0).cast("int").alias("bad"))
     url = F.col("url")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), host_of(url).alias("host"), path_of(url).alias("path"))
-    reputation = host_reputation(pages.select("id", "host"), labels)
+    pages = pages.withColumn("name", name_of(F.col("host")))
+    reputation = host_reputation(pages.select("id", F.col("name").alias("host")), labels).withColumnRenamed("host", "name")
     rule, verdict = rule_of(F.col("host"), F.col("path"))
     method = F.when(F.col("bound") > MAX_BAD, "block").otherwise("allow")
-    return pages.join(reputation, "host").select(
+    return pages.join(reputation, "name").select(
         F.col("id").alias("page_id"), "host", "path", rule.alias("rule"), F.coalesce(verdict, method).alias("verdict"), F.round("bound", 6).alias("bound")
     )
 
@@ -113,21 +123,21 @@ def _duck_strength(by: str) -> str:
 
 
 _TWO = "(" + ", ".join(f"'{s}'" for s in SUFFIXES) + ")"
-_LAST = lambda n: f"array_to_string(list_slice(string_split(host, '.'), -{n}, -1), '.')"
+_LAST = lambda n: f"array_to_string(list_slice(string_split(name, '.'), -{n}, -1), '.')"
 _FITS = lambda h, p: f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
 _CHAIN = lambda pick: "CASE " + " ".join(f"WHEN {_FITS(h, p)} THEN '{pick(w, h, p)}'" for w, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))) + " END"
 OP5_SQL = f"""
-WITH parsed AS (SELECT page_id, coalesce(translate(regexp_extract(url, '{URL}', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '') AS host,
-                       coalesce(regexp_extract(url, '{URL}', 2), '') AS path FROM pages),
+WITH parsed AS (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM (SELECT page_id, coalesce(translate(regexp_extract(url, '{URL}', 1), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '') AS host,
+                       coalesce(regexp_extract(url, '{URL}', 2), '') AS path FROM pages)),
 lab AS (SELECT doc_id, max((quality = 0)::INT) AS bad FROM labels GROUP BY doc_id),
-stats AS (SELECT *, CASE WHEN {_LAST(2)} IN {_TWO} THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain,
-                 CASE WHEN {_LAST(2)} IN {_TWO} THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix
-          FROM (SELECT host, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS x FROM parsed LEFT JOIN lab ON page_id = doc_id GROUP BY host)),
+stats AS (SELECT *, name AS host, CASE WHEN regexp_matches(name, '{ADDRESS}') THEN name WHEN {_LAST(2)} IN {_TWO} THEN {_LAST(3)} ELSE {_LAST(2)} END AS domain,
+                 CASE WHEN regexp_matches(name, '{ADDRESS}') THEN 'address' WHEN {_LAST(2)} IN {_TWO} THEN {_LAST(2)} ELSE {_LAST(1)} END AS suffix
+          FROM (SELECT name, count(bad) AS n, coalesce(sum(bad), 0)::BIGINT AS x FROM parsed LEFT JOIN lab ON page_id = doc_id GROUP BY name)),
 {_duck_strength("suffix")}, {_duck_strength("domain")}, {_duck_strength("host")},
 s AS (SELECT suffix, (sum(x) + k * t) / (sum(n) + k) AS m FROM stats, (SELECT k FROM suffix_k), (SELECT (coalesce(X, 0) + 1.0::DOUBLE) / (coalesce(N, 0) + 2.0::DOUBLE) AS t FROM host_k) GROUP BY suffix, k, t),
 d AS (SELECT domain, (sum(x) + k * m) / (sum(n) + k) AS m FROM stats JOIN s USING (suffix), (SELECT k FROM domain_k) GROUP BY domain, k, m),
-h AS (SELECT host, r - {Z} * sqrt(r * (1 - r) / (n + k + 1)) AS bound FROM (SELECT host, n, k, (x + k * m) / (n + k) AS r FROM stats JOIN d USING (domain), (SELECT k FROM host_k)))
+h AS (SELECT host AS name, r - {Z} * sqrt(r * (1 - r) / (n + k + 1)) AS bound FROM (SELECT host, n, k, (x + k * m) / (n + k) AS r FROM stats JOIN d USING (domain), (SELECT k FROM host_k)))
 SELECT page_id, host, path, {_CHAIN(lambda w, h, p: h + p)} AS rule,
        coalesce({_CHAIN(lambda w, h, p: w)}, CASE WHEN bound > {MAX_BAD} THEN 'block' ELSE 'allow' END) AS verdict, round(bound, 6) AS bound
-FROM parsed JOIN h USING (host)
+FROM parsed JOIN h USING (name)
 """
