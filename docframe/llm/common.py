@@ -12,7 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of an Arrow batch between JVM and Python. Spark's own bound lets each task hold several times 64 MB.
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches to 8 MB where the session leaves them at Spark's default."""
+    key, default, own = _BATCH
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, own)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -25,11 +37,14 @@ def fold(column: str | Column, n: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """A new path in the folder that driver and executors share, spark.checkpoint.dir.
 
-    Only where the setting is absent (tests, one machine) is a temporary folder
-    used, which goes when the process ends.
+    Only where the setting is absent and all runs on one machine (tests) is a
+    temporary folder used, which goes when the process ends: on a cluster other
+    machines would not see it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = getattr(shared_dir, "own", None)
         if base is None:
             base = shared_dir.own = tempfile.mkdtemp(prefix="docframe-")
@@ -44,6 +59,7 @@ def materialize(df: DataFrame) -> DataFrame:
     df again, and columns that are not deterministic (row ids) stay fixed.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
