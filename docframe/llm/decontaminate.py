@@ -41,7 +41,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, table, text_chunks
+from .common import materialize, released, table, text_chunks
 
 SIMILARITY, WALKS, SPAN = 0.8, 4, 32
 #: (least item bytes, samples that make the signature); the first 8 samples lie in 16 steps, 12 in 24, 15 in 32.
@@ -375,7 +375,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                     names=["id", "number", "distance", "similarity"],
                 )
 
-        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, number bigint, distance int, similarity double")
+        found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b, run=run: released(run(b)), f"id {kind}, number bigint, distance int, similarity double")
         out = found if out is None else out.union(found)
     named = benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).join(distinct, "text").select("number", "item")
     return out.join(named, "number").select("id", "item", "distance", "similarity")
@@ -395,7 +395,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                 clean[_leaks_of(b.column(at), items)[:, 0]] = False
                 yield b.filter(pa.array(clean))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(lambda b, run=run: released(run(b)), docs.schema)
     return docs
 
 

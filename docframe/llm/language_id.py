@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, table, utf8
+from .common import fold, released, table, utf8
 
 WINDOW, WIDTHS, FILTERS, EMBED = 160, (2, 3, 4), 16, 12
 #: Windows a scoring step holds at once.
@@ -213,7 +213,7 @@ def predict(df: DataFrame, net: ByteConv | None, keep: list[str], text_col: str
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     fields = [T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
     schema = T.StructType([*fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])
-    found = df.select(F.col(text_col).alias("_text"), letter.alias("_letter"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(run, schema)
+    found = df.select(F.col(text_col).alias("_text"), letter.alias("_letter"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(lambda b: released(run(b)), schema)
     return found.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_lang", "_score")
 
 

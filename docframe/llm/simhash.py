@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import matching, materialize, table, text_chunks
+from .common import matching, materialize, released, table, text_chunks
 from .components import components
 
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -201,25 +201,6 @@ def shingle_set(text: bytes, words: int = 5) -> np.ndarray:
     return np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
 
 
-def common_shingles(docs: DataFrame, text_col: str = "text", words: int = 5, rows: int = 6_000, most: int = 100_000) -> np.ndarray:
-    """The shingles that several texts of a sample of about `rows` hold, at most `most`, the most frequent last.
-
-    They only order the shingles of a set; no result depends on which are found.
-    """
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for _, texts in text_chunks(b.column(0)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([shingle_set(t, words) for t in texts]).view(np.int64))], names=["shingle"])
-
-    sample = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(1, docs.count() // rows))) == 0).select(text_col).distinct()
-    counted = sample.mapInArrow(run, "shingle bigint").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2")
-    found = counted.orderBy(F.col("n").desc(), "shingle").limit(most).collect()
-    return np.array([r[0] for r in reversed(found)], np.int64).view(np.uint64)
-
-
 def parities(shingles: np.ndarray) -> bytes:
     """A bit for each slot, the parity of the shingles that fall on it; slots are a power of two, 512 or more, one a shingle or more.
 
@@ -251,125 +232,117 @@ def _bit_majority(hashes) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def sketched(df: DataFrame, text_col: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """All columns of every row as ``_k0``.., and of its shingles the fingerprint ``_fp``, a digest of the set (``_d0``, ``_d1``), its size ``_n``, ``_bits`` (parities) and ``_prefix``.
-
-    In any order of all shingles, two sets of at least that similarity share one
-    among the first n - ceil(similarity * n) + 1 of each. Here common shingles
-    come last; ``_rare`` of the prefix are none of them.
-    """
+def sketched(df: DataFrame, text_col: str, words: int) -> DataFrame:
+    """All columns of every row as ``_k0``.., and of its shingles the fingerprint ``_fp``, a digest of the set (``_d0``, ``_d1``), its size ``_n`` and ``_bits`` (parities)."""
     at = df.columns.index(text_col)
-    own = [("_fp", T.LongType()), ("_d0", T.LongType()), ("_d1", T.LongType()), ("_n", T.LongType()), ("_rare", T.LongType()), ("_bits", T.BinaryType()), ("_prefix", T.BinaryType())]
+    own = [("_fp", T.LongType()), ("_d0", T.LongType()), ("_d1", T.LongType()), ("_n", T.LongType()), ("_bits", T.BinaryType())]
     fields = [T.StructField(f"_k{i}", f.dataType) for i, f in enumerate(df.schema)] + [T.StructField(c, t) for c, t in own]
-    names, by_value = [f.name for f in fields], np.argsort(common)
-    values = common[by_value]
+    names = [f.name for f in fields]
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            digests, numbers, bits, prefixes = [], [], [], []
+            digests, fps, sizes, bits = [], [], [], []
             for _, texts in text_chunks(b.column(at)):
                 for t in texts:
                     parts = list(shingle_hashes(t, words))
                     h = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
                     digests.append(xxhash.xxh128_digest(h.tobytes()))
+                    fps.append(_bit_majority(parts))
+                    sizes.append(len(h))
                     bits.append(parities(h))
-                    n = len(h)
-                    keep, rare = n - int(np.ceil(similarity * n - 1e-9)) + 1, n
-                    if n and len(values):
-                        k = np.minimum(np.searchsorted(values, h), len(values) - 1)
-                        rank = np.where(values[k] == h, by_value[k] + 1, 0)
-                        h, rare = h[np.argsort(rank, kind="stable")], int(np.count_nonzero(rank == 0))
-                    numbers.append((_bit_majority(parts), n, min(rare, keep, n)))
-                    prefixes.append(h[:keep].tobytes())
             d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            fp = pa.array(np.array([x for x, _, _ in numbers], np.uint64).view(np.int64))
-            cols = [fp, pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), *(pa.array([x[i] for x in numbers], pa.int64()) for i in (1, 2)), pa.array(bits, pa.binary()), pa.array(prefixes, pa.binary())]
+            cols = [pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=names)
 
-    return df.mapInArrow(run, T.StructType(fields))
-
-
-def _entries(b, part):
-    """Of a batch (node, n, rare, prefix) the entries of its prefixes: shingles, nodes, sizes, places; part: the rare ones or the others."""
-    rows = [np.frombuffer(x, np.int64) for x in b.column("prefix").to_pylist()]
-    rare = b.column("rare").to_numpy()
-    first = np.zeros(len(rows), np.int64) if part == "rare" else rare
-    rows = [x[:k] if part == "rare" else x[k:] for x, k in zip(rows, rare, strict=True)]
-    size = np.array([len(x) for x in rows], np.int64)
-    place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - first, size)
-    column = lambda c: np.repeat(b.column(c).to_numpy(), size)
-    return np.concatenate([np.zeros(0, np.int64), *rows]), column("node"), column("n"), place
+    return df.mapInArrow(lambda b: released(run(b)), T.StructType(fields))
 
 
-_CELL = "shingle bigint, n bigint, at bigint, node bigint"
+def shared_shingles(texts: DataFrame, words: int, bucket_entries: int = 1_000_000) -> DataFrame:
+    """Rows (node, cell, df) of texts(node, text, n): each shingle that more than one text holds, by 32 bits of its hash and a bucket.
 
-
-def shared_cells(prefixes: DataFrame, bucket_entries: int = 500_000) -> DataFrame:
-    """Rows (shingle, n, at, node) of prefixes(node, n, rare, prefix) for the shingles that more than one prefix holds.
-
-    Most shingles stand in one text only. Entries go by ranges of the shingle's
-    hash to buckets of about bucket_entries, a range of a batch as one row of
-    packed arrays; common shingles are shared anyhow, so they skip the buckets
-    and a bucket has no hot ones.
+    Most shingles stand in one text only and never leave their bucket. A bucket
+    is a range of the hash; what goes to it from a batch is one row of packed
+    arrays, six bytes a shingle. Hashes that are the same in these bits count as
+    one shingle, which may add a candidate and never loses one.
     """
-    total = prefixes.agg(F.sum("rare")).first()[0] or 0
+    total = texts.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-int(total) // bucket_entries))
 
     def pack(batches):
         import pyarrow as pa
 
         for b in batches:
-            if not b.num_rows:
-                continue
-            shingle, node, n, at = _entries(b, "rare")
-            order = np.argsort(shingle.view(np.uint64), kind="stable")
-            shingle, node, n, at = shingle[order], node[order], n[order].astype(np.int32), at[order].astype(np.int32)
-            bucket = ((shingle.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-            cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
-            if len(cut) < 2:
-                continue
-            blobs = [[x[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)] for x in (shingle, node, n, at)]
-            yield pa.RecordBatch.from_arrays([pa.array(bucket[cut[:-1]]), *(pa.array(x, pa.binary()) for x in blobs)], names=["bucket", "shingle", "node", "n", "at"])
+            nodes, done = b.column("node").to_numpy(), 0
+            for _, found in text_chunks(b.column("text")):
+                sets = [shingle_set(t, words) for t in found]
+                mine = nodes[done : done + len(found)]
+                done += len(found)
+                size = np.array([len(x) for x in sets], np.int64)
+                if not size.sum():
+                    continue
+                h, of = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+                order = np.argsort(h, kind="stable")
+                h, of = h[order], of[order]
+                bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+                key = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                kind = np.uint16 if len(sets) < 1 << 16 else np.uint32
+                cut = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1))
+                rows = [(int(bucket[i]), key[i:j].tobytes(), of[i:j].astype(kind).tobytes(), mine.tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+                bs, keys, ofs, ns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(bs, pa.int64()), pa.array(keys, pa.binary()), pa.array(ofs, pa.binary()), pa.array(ns, pa.binary())], names=["bucket", "keys", "of", "nodes"])
 
     def unpack(batches):
         import pyarrow as pa
 
-        kinds = {"shingle": np.int64, "n": np.int32, "at": np.int32, "node": np.int64}
-
-        def emit(held):
-            cols = {c: np.concatenate(x) for c, x in held.items()}
-            order = np.argsort(cols["shingle"], kind="stable")
-            key = cols["shingle"][order]
-            same = np.zeros(len(key) + 1, bool)
-            same[1:-1] = key[1:] == key[:-1]
-            order = order[same[1:] | same[:-1]]
-            return pa.RecordBatch.from_arrays([pa.array(cols[c][order].astype(np.int64)) for c in kinds], names=list(kinds))
-
-        now, held = None, None
+        def emit(bucket, held):
+            key, node = np.concatenate([k for k, _ in held]), np.concatenate([n for _, n in held])
+            order = np.argsort(key, kind="stable")
+            key, node = key[order], node[order]
+            first = np.flatnonzero(np.diff(key.astype(np.int64), prepend=-1))
+            df = np.diff(np.append(first, len(key)))
+            of = np.repeat(df, df)
+            keep = of > 1
+            for i in range(0, int(keep.sum()), 1 << 18):
+                part = slice(i, i + (1 << 18))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(node[keep][part]), pa.array((bucket << 32 | key[keep][part].astype(np.int64))), pa.array(of[keep][part].astype(np.int64))], names=["node", "cell", "df"]
+                )
+
+        now, held = None, []
         for b in batches:
-            bucket, blobs = b.column("bucket").to_numpy(), {c: b.column(c) for c in kinds}
+            bucket, keys, ofs, ns = b.column("bucket").to_numpy(), b.column("keys"), b.column("of"), b.column("nodes")
             for r in range(b.num_rows):
                 if bucket[r] != now:
-                    if held is not None:
-                        yield emit(held)
-                    now, held = bucket[r], {c: [] for c in kinds}
-                for c, kind in kinds.items():
-                    held[c].append(np.frombuffer(blobs[c][r].as_py(), kind))
-        if held is not None:
-            yield emit(held)
+                    if held:
+                        yield from emit(int(now), held)
+                    now, held = bucket[r], []
+                key, nodes = np.frombuffer(keys[r].as_py(), np.uint32), np.frombuffer(ns[r].as_py(), np.int64)
+                of = ofs[r].as_py()
+                held.append((key, nodes[np.frombuffer(of, np.uint16 if len(of) == 2 * len(key) else np.uint32)]))
+        if held:
+            yield from emit(int(now), held)
 
-    def plain(batches):
-        import pyarrow as pa
+    packed = texts.select("node", "text").mapInArrow(lambda b: released(pack(b)), "bucket bigint, keys binary, of binary, nodes binary").repartition("bucket").sortWithinPartitions("bucket")
+    return packed.mapInArrow(lambda b: released(unpack(b)), "node bigint, cell bigint, df bigint")
 
-        for b in batches:
-            shingle, node, n, at = _entries(b, "common")
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (shingle, n, at, node)], names=["shingle", "n", "at", "node"])
 
-    packed = prefixes.mapInArrow(pack, "bucket bigint, shingle binary, node binary, n binary, at binary").repartition("bucket").sortWithinPartitions("bucket")
-    common = prefixes.where("rare < octet_length(prefix) div 8").mapInArrow(plain, _CELL)
-    return materialize(packed.mapInArrow(unpack, _CELL).union(common))
+def prefix_cells(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Rows (shingle, n, at, node): the shared shingles in the prefix of each text(node, text, n).
+
+    In any order of all shingles, two sets of at least that similarity share one
+    among the first n - ceil(similarity * n) + 1 of each. The order here is by the
+    number of texts that hold the shingle. So a text's own shingles, which no
+    other has, come first; a text with enough of them has nothing to be compared
+    by, and passages that many texts hold come last.
+    """
+    found = shared_shingles(texts, words).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "cell"))).alias("shared")).join(texts.select("node", "n"), "node")
+    own = F.greatest(F.col("n") - F.size("shared"), F.lit(0))
+    left = F.least(F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own, F.size("shared").cast("bigint"))
+    prefix = F.slice("shared", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
+    cells = found.select("node", "n", own.alias("own"), F.posexplode(prefix).alias("k", "s"))
+    return materialize(cells.select(F.col("s.cell").alias("shingle"), "n", (F.col("own") + F.col("k")).alias("at"), "node"))
 
 
 def pairs_of_cells(similarity: float, neighbours: bool):
@@ -487,7 +460,7 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
     sized = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", (F.col("xn") + F.col("yn")).alias("n"), "xb", "yb")
     pairs = materialize(sized.mapInArrow(possible, "u bigint, v bigint"))
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    held = materialize(matching(texts.select("node", "text"), asked, "node", "left_semi").mapInArrow(sets, "node bigint, held binary"))
+    held = materialize(matching(texts.select("node", "text"), asked, "node", "left_semi").mapInArrow(lambda b: released(sets(b)), "node bigint, held binary"))
     with_u = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("x")), "u")
     return materialize(with_u.join(held.select(F.col("node").alias("v"), F.col("held").alias("y")), "v").mapInArrow(hold, "u bigint, v bigint"))
 
@@ -499,7 +472,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at least `similarity`, exactly. Rows of one set are one class. Fingerprints
     of the shingles within `distance` give the first candidates, by the grid
     range join; what a fingerprint of 64 bits cannot tell comes from prefixes:
-    classes that share a shingle of their prefixes meet in its cell. Every
+    classes that share a shingle of their prefixes, the rarest shingles of each,
+    meet in its cell. Every
     candidate is verified on the sets. A first pass pairs only neighbours in the
     cells, so that the second, which pairs all, need not look inside the groups
     of many copies that the first has joined. Rows are told apart by a number of
@@ -509,14 +483,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     enough to be broadcast.
     """
     keys, text = ["_d0", "_d1"], f"_k{docs.columns.index(text_col)}"
-    common = common_shingles(docs, text_col, words)
-    held = materialize(sketched(docs, text_col, words, similarity, common).withColumn("_row", F.monotonically_increasing_id()))
+    held = materialize(sketched(docs, text_col, words).withColumn("_row", F.monotonically_increasing_id()))
     classes = materialize(held.groupBy(*keys).agg(F.min("_row").alias("node")))
     copies = held.select("_row", *keys).join(classes, keys).where("_row <> node").select("_row")
     of_class = matching(held, copies, "_row", "left_anti")
-    slim = of_class.select(F.col("_row").alias("node"), F.col("_n").alias("n"), F.col("_rare").alias("rare"), F.col("_prefix").alias("prefix"))
     texts = of_class.select(F.col("_row").alias("node"), F.col(text).alias("text"), F.col("_n").alias("n"), F.col("_bits").alias("bits"))
-    cells = shared_cells(slim)
+    cells = prefix_cells(texts, words, similarity)
     prints = near_links(of_class.select(F.col("_fp").alias("fp"), F.col("_row").alias("node")), distance, cell_rows)
     asked = prints.union(candidates(cells.withColumn("root", F.col("node")), similarity, True, cell_rows)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     links = verified(materialize(asked.distinct()), texts, words, similarity)
