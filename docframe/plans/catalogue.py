@@ -7,28 +7,10 @@ from pyspark.sql import functions as F
 
 from docframe.functions import numbers, sniff, text, urls
 from docframe.operators import bidi, css, dom, markdown, relations
+from docframe.plans.registry import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 from docframe.sources import documents
 from docframe.streaming import ingest
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark, sf_dir, name, *cols):
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*cols) if cols else df
-
-
 def _q(s: str) -> str:
     return s.replace("'", "''")
 
@@ -619,3 +601,6 @@ def line_breaks(spark, sf_dir):
     """Places where a line must end; those where it may are in the same relation."""
     found = bidi.breaks_of(read(spark, sf_dir, "documents", "doc_id", "text"))
     return found.where("must").groupBy("doc_id").agg(F.count("*").alias("lines"))
+
+
+from docframe.plans import formats, values  # noqa: E402, F401 - they add their queries

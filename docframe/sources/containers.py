@@ -6,6 +6,7 @@ container; damaged input gives what could be read and a list of errors.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import io
 import posixpath
@@ -161,7 +162,7 @@ def _epub(f: Files) -> Book:
         "modified": next((x.all_text().strip() for x in meta.children if x.tag == "meta" and x.attrs.get("property") == "dcterms:modified"), ""),
         "subjects": "; ".join(t for x in meta.children if x.tag == "subject" and (t := x.all_text().strip())),
     }
-    items, nav, ncx = {}, None, None
+    keys, items, nav, ncx = _obfuscated(f, book.metadata["identifier"]), {}, None, None
     for x in (opf.first("manifest") or X("m")).children:
         if x.tag != "item" or not x.attrs.get("href"):
             continue
@@ -171,6 +172,8 @@ def _epub(f: Files) -> Book:
         except (KeyError, ValueError, zipfile.BadZipFile) as e:
             book.errors.append(f"{path}: {e}")
             continue
+        if path in keys:
+            data = unmasked(data, *keys[path])
         p = Part(path, x.attrs.get("media-type", ""), data, x.attrs.get("id", ""))
         if p.item_id not in items:
             items[p.item_id] = p
@@ -196,6 +199,41 @@ def _epub(f: Files) -> Book:
     return book
 
 
+#: How embedded fonts are masked: the algorithm's name, and so many bytes at the head. Fixed values.
+MASKS = {"http://www.idpf.org/2008/embedding": 1040, "http://ns.adobe.com/pdf/enc#RC": 1024}
+
+
+def mask_key(algorithm: str, identifier: str) -> bytes:
+    """The key that a book's identifier gives; empty if it gives none."""
+    if algorithm.startswith("http://www.idpf.org"):
+        packed = "".join(identifier.split())
+        return hashlib.sha1(packed.encode()).digest() if packed else b""
+    digits = "".join(re.findall("[0-9A-Fa-f]", identifier.rpartition("urn:uuid:")[2]))[:32]
+    return bytes.fromhex(digits) if len(digits) == 32 else b""
+
+
+def unmasked(data: bytes, key: bytes, head: int) -> bytes:
+    n = min(head, len(data))
+    mask = (key * (n // len(key) + 1))[:n]
+    return (int.from_bytes(data[:n], "big") ^ int.from_bytes(mask, "big")).to_bytes(n, "big") + data[n:]
+
+
+def _obfuscated(f: Files, identifier: str) -> dict[str, tuple[bytes, int]]:
+    """Paths of masked parts, their keys and how much of them is masked."""
+    try:
+        doc = f.tree("META-INF/encryption.xml")
+    except (ValueError, zipfile.BadZipFile, ElementTree.ParseError):
+        doc = None
+    out = {}
+    for x in doc.find_all("EncryptedData") if doc is not None else ():
+        method, where = x.first("EncryptionMethod"), x.first("CipherReference")
+        algorithm = method.attrs.get("Algorithm", "") if method is not None else ""
+        key = mask_key(algorithm, identifier) if algorithm in MASKS else b""
+        if key and where is not None and where.attrs.get("URI"):
+            out[unquote(where.attrs["URI"])] = key, MASKS[algorithm]
+    return out
+
+
 def _nav(p: Part):
     navs = list(dom.parse(decode(p.data)).find("nav"))
     chosen = next((n for n in navs if "toc" in n.attrs.get("epub:type", "").split()), navs[0] if navs else None)
@@ -514,6 +552,6 @@ def _mobi(b: bytes) -> Book:
             r = r[: -((r[-1] & 3) + 1)]
         text += unpack(r)
     markup = bytes(text[:size]).decode(encoding, "replace")
-    kind = "text/html" if "<" in markup[:2000] else "text/plain"
+    kind = "text/html" if "<" in markup else "text/plain"
     book.parts = [Part("index.html" if kind == "text/html" else "index.txt", kind, markup.encode(), spine=0)]
     return book

@@ -18,9 +18,15 @@ METADATA = ("title", "author", "language", "publisher", "description", "identifi
 
 
 def files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """Files under a path with their kind; larger ones are left out by the scan."""
+    """Files under a path with their kind; of larger ones only the row, without content and with an error: the scan does not read them."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    return df.where(F.col("length") <= most_bytes).select("path", "length", "content", kind_of(F.col("content")).alias("kind"), container_kind(F.col("content")).alias("container"))
+    read = df.where(F.col("length") <= most_bytes).select("path", "length", "content", kind_of(F.col("content")).alias("kind"), container_kind(F.col("content")).alias("container"), F.lit(None).cast("string").alias("error"))
+    left = df.where(F.col("length") > most_bytes).select("path", "length", F.lit(None).cast("binary"), F.lit("unknown"), F.lit("unknown"), F.lit(f"larger than {most_bytes} bytes"))
+    return read.union(left)
+
+
+#: Rows that a kernel holds back for a record batch.
+_ROWS = 4096
 
 
 def _explode(df: DataFrame, key: str, content: str, schema: str, rows_of) -> DataFrame:
@@ -33,12 +39,21 @@ def _explode(df: DataFrame, key: str, content: str, schema: str, rows_of) -> Dat
     def run(batches):
         import pyarrow as pa
 
+        held: list[tuple] = []
+
+        def emit():
+            cols = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+
         for b in batches:
             for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                rows = rows_of(data.as_py() or b"")
-                if rows:
-                    cols = [[k] * len(rows), *zip(*rows, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+                held += [(k, *r) for r in rows_of(data.as_py() or b"")]
+                if len(held) >= _ROWS:
+                    yield emit()
+                    held = []
+            if held:
+                yield emit()
+                held = []
 
     return df.select(key, content).mapInArrow(run, full)
 
@@ -153,3 +168,40 @@ def links(df: DataFrame, key: str = "path", content: str = "content") -> DataFra
         return out
 
     return _explode(df, key, content, "part string, ord int, uri string, target string, fragment string, label string, rect array<double>", rows)
+
+
+def pages(df: DataFrame, key: str = "path", content: str = "content", dpi: float = 72.0) -> DataFrame:
+    """Pages of PDF files: label, media box, visible box, rotation, unit, and the matrix to pixels at a resolution."""
+    schema = "page int, label string, media array<double>, bounds array<double>, rotate int, user_unit double, matrix array<double>"
+
+    def rows(data):
+        from docframe.sources import pdf_pages
+
+        f, _ = _pdf(data)
+        return pdf_pages.pages(f, dpi) if f is not None else []
+
+    return _explode(df, key, content, schema, rows)
+
+
+def layers(df: DataFrame, key: str = "path", content: str = "content", event: str = "view", switch: dict[str, bool] | None = None) -> DataFrame:
+    """Optional content groups of PDF files and whether they are on, for an event and after switching some by name."""
+
+    def rows(data):
+        from docframe.sources import pdf_pages
+
+        f, _ = _pdf(data)
+        return pdf_pages.Layers(f, event).switch(switch or {}).rows() if f is not None else []
+
+    return _explode(df, key, content, "ord int, name string, shown boolean", rows)
+
+
+def annotations(df: DataFrame, key: str = "path", content: str = "content", event: str = "view") -> DataFrame:
+    """Annotations of PDF pages in drawing order, and which are drawn."""
+
+    def rows(data):
+        from docframe.sources import pdf_pages
+
+        f, found = _pdf(data)
+        return [(n, *a) for n, p in enumerate(found) for a in pdf_pages.annotations(f, p, pdf_pages.Layers(f, event), event)]
+
+    return _explode(df, key, content, "page int, ord int, subtype string, rect array<double>, drawn boolean", rows)

@@ -236,13 +236,17 @@ def inflate(b: bytes) -> bytes:
         try:
             out = d.decompress(b, MOST_DECODED)
         except zlib.error:
-            out = b""
+            parts, size = [], 0
             d = zlib.decompressobj(wbits)
             try:  # as far as it is whole
                 for i in range(0, len(b), 256):
-                    out += d.decompress(b[i : i + 256])
+                    parts.append(d.decompress(b[i : i + 256], max(1, MOST_DECODED - size)))
+                    size += len(parts[-1])
+                    if size >= MOST_DECODED:
+                        break
             except zlib.error:
                 pass
+            out = b"".join(parts)
         if out:
             return out
     return b""
@@ -473,6 +477,7 @@ def cmap(b: bytes) -> tuple[dict[int, str], set[int]]:
 class Font:
     def __init__(self, f: File, d: dict):
         self.map, widths = cmap(f.data(f.get(d.get("ToUnicode"))))
+        self.known: dict[int, tuple[str, float, bool]] = {}
         self.wide = d.get("Subtype") == "Type0"
         self.step = 2 if self.wide and widths != {1} else 1
         self.widths, self.default = {}, 0.5
@@ -506,12 +511,14 @@ class Font:
 
     def decode(self, b: bytes):
         """(text, advance, is the single byte 32) of each code."""
-        for i in range(0, len(b), self.step):
-            code = int.from_bytes(b[i : i + self.step], "big")
-            t = self.map.get(code) or self.names.get(code)
-            if not t:
-                t = "�" if self.wide else bytes([code]).decode(self.base, "replace")
-            yield t, self.widths.get(code, self.default), self.step == 1 and code == 32
+        known = self.known
+        for code in b if self.step == 1 else (int.from_bytes(b[i : i + 2], "big") for i in range(0, len(b), 2)):
+            if code not in known:
+                t = self.map.get(code) or self.names.get(code)
+                if not t:
+                    t = "�" if self.wide else bytes([code]).decode(self.base, "replace")
+                known[code] = t, self.widths.get(code, self.default), self.step == 1 and code == 32
+            yield known[code]
 
 
 # -- content ----------------------------------------------------------------------------------
@@ -534,14 +541,17 @@ def chars_of(f: File, resources: dict, content: bytes, ctm=ONE, depth: int = 0,
         nonlocal tm
         if s["font"] is None or not isinstance(b, bytes):
             return
+        # within a string only the origin moves, along the text's own axis
+        size, wide, whole = s["size"], s["tz"], mul(tm, s["ctm"])
+        first, moved = stext.placed("x", mul((size * wide, 0, 0, size, 0, s["rise"]), whole), 1.0), 0.0
         for t, w, is_space in s["font"].decode(b):
-            m = mul((s["size"] * s["tz"], 0, 0, s["size"], 0, s["rise"]), mul(tm, s["ctm"]))
-            for k, c in enumerate(t):
-                p = stext.placed(c, m, w / len(t))
-                if p is not None:
-                    p.x, p.y = p.x + p.dx * p.advance * k, p.y + p.dy * p.advance * k
-                    yield p
-            tm = mul((1, 0, 0, 1, (w * s["size"] + s["tc"] + s["tw"] * is_space) * s["tz"], 0), tm)
+            if first is not None:
+                step = (w / len(t) if w > 0 else 0.5) * first.advance
+                x, y = first.x + moved * whole[0], first.y + moved * whole[1]
+                for k, c in enumerate(t):
+                    yield stext.Char(" " if c.isspace() else c, x + first.dx * step * k, y + first.dy * step * k, first.dx, first.dy, first.size, step)
+            moved += (w * size + s["tc"] + s["tw"] * is_space) * wide
+        tm = mul((1, 0, 0, 1, moved, 0), tm)
 
     def line(x, y):
         nonlocal tm, tlm

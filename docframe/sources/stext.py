@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass, field
+from functools import cached_property
 
 #: How far characters may stray and still be of a line, or a word, or one stroke.
 LINE_GAP, WORD_GAP, SAME_WAY, STRUCK_TWICE, LINE_STEP = 0.8, 0.15, 0.999, 0.5, 1.6
 
 
-@dataclass
+@dataclass(slots=True)
 class Char:
     c: str
     x: float
@@ -33,15 +34,16 @@ class Char:
 class Line:
     chars: list[Char] = field(default_factory=list)
 
-    @property
+    @cached_property
     def text(self) -> str:
-        return "".join(c.c for c in self.chars)
+        return "".join([c.c for c in self.chars])
 
-    @property
+    @cached_property
     def size(self) -> float:
         return max(c.size for c in self.chars)
 
-    def box(self):
+    @cached_property
+    def box(self) -> tuple[float, float, float, float]:
         xs, ys = [], []
         for c in self.chars:
             for x, y in ((c.x, c.y), c.end()):
@@ -51,32 +53,33 @@ class Line:
 
 
 def lines(chars) -> list[Line]:
-    out, now = [], Line()
+    out, now, real = [], [], None  # real: the last character that was drawn, not the space put in for a gap
 
     def flush():
         nonlocal now
-        if now.text.strip():
-            out.append(now)
-        now = Line()
+        line = Line(now)
+        if line.text.strip():
+            out.append(line)
+        now = []
 
     for c in chars:
-        last = now.chars[-1] if now.chars else None
-        if last is not None:
-            if c.dx * last.dx + c.dy * last.dy < SAME_WAY:
+        if now:
+            dx, dy, size = c.dx, c.dy, c.size
+            if dx * real.dx + dy * real.dy < SAME_WAY:
                 flush()
             else:
-                near = STRUCK_TWICE * min(c.advance, last.advance)
-                real = next((p for p in reversed(now.chars) if not (p.c == " " and p.advance == 0)), last)
-                if c.c == real.c and abs(c.x - real.x) <= near and abs(c.y - real.y) <= near:
-                    continue
-                ex, ey = real.end()
-                along = (c.x - ex) * c.dx + (c.y - ey) * c.dy
-                across = (c.x - ex) * -c.dy + (c.y - ey) * c.dx
-                if abs(across) > LINE_GAP * c.size or abs(along) > LINE_GAP * c.size:
+                if c.c == real.c:
+                    near = STRUCK_TWICE * min(c.advance, now[-1].advance)
+                    if abs(c.x - real.x) <= near and abs(c.y - real.y) <= near:
+                        continue
+                ex, ey = c.x - real.x - real.dx * real.advance, c.y - real.y - real.dy * real.advance
+                along, across = ex * dx + ey * dy, ey * dx - ex * dy
+                if abs(across) > LINE_GAP * size or abs(along) > LINE_GAP * size:
                     flush()
-                elif along > WORD_GAP * c.size and c.c != " " and last.c != " ":
-                    now.chars.append(Char(" ", ex, ey, c.dx, c.dy, c.size, 0.0))
-        now.chars.append(c)
+                elif along > WORD_GAP * size and c.c != " " and now[-1].c != " ":
+                    now.append(Char(" ", *real.end(), dx, dy, size, 0.0))
+        now.append(c)
+        real = c
     flush()
     return out
 
@@ -98,7 +101,7 @@ def _follows(a: Line, b: Line) -> bool:
     step = (q.x - p.x) * p.dy - (q.y - p.y) * p.dx  # down the page
     if not 0 < step <= LINE_STEP * max(a.size, b.size):
         return False
-    s, t = a.box(), b.box()
+    s, t = a.box, b.box
     k = 0 if abs(p.dx) >= abs(p.dy) else 1
     return s[k] < t[k + 2] and t[k] < s[k + 2]
 
