@@ -56,6 +56,15 @@ def node_text(html: Column) -> Column:
     return chain(html, node_text_steps())
 
 
+#: What the native chain does not read as the kernel does: kept white space, wide characters, entities beyond its own, ruby, unusual white space.
+KERNEL_ONLY = r"(?i)<(?:pre|textarea|listing|xmp|plaintext|rp|rt|svg|math|template|noscript|iframe|!\[CDATA)\b|[\u2e80-\ud7ff\uf900-\ufaff\ufe30-\ufe4f\uff00-\uffef\x{20000}-\x{3ffff}\u0085\u00a0\u2028\u2029\x00-\x08]|&(?!(?:lt|gt|nbsp|copy|middot|quot|amp);|amp?\b|am\b|[^a-z#]|$)|&nbsp;"
+
+
+def needs_kernel(html: Column) -> Column:
+    """Whether markup holds what node_text would read in another way than dom.node_text."""
+    return F.coalesce(html.rlike(KERNEL_ONLY), F.lit(False))
+
+
 def chain_sql(expr: str, steps: list[tuple[str, str]]) -> str:
     q = lambda s: s.replace("'", "''")
     for pattern, to in steps:
@@ -109,3 +118,31 @@ def script_of(code_point: Column) -> Column:
 def script_sql(code: str) -> str:
     when = " ".join(f"WHEN {' OR '.join(f'{code} BETWEEN {a} AND {b}' for a, b in ranges)} THEN '{name}'" for name, ranges in SCRIPTS)
     return f"CASE {when} ELSE 'other' END"
+
+
+def script_edges():
+    """Sorted code points at which the writing system changes, and its name from there on."""
+    edges = sorted({0, *(x for _, ranges in SCRIPTS for a, b in ranges for x in (a, b + 1))})
+    name = lambda c: next((n for n, ranges in SCRIPTS if any(a <= c <= b for a, b in ranges)), "other")
+    return edges, [name(c) for c in edges]
+
+
+def script_counts(df, id_col: str, text_col: str):
+    """(id, script, n): the characters of each writing system that a row has, counted in the row."""
+    edges, names = script_edges()
+    kinds = sorted(set(names))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        starts, kind = np.array(edges, np.uint32), np.array([kinds.index(n) for n in names])
+        for b in batches:
+            rows = []
+            for k, t in enumerate(b.column(1).to_pylist()):
+                n = np.bincount(kind[np.searchsorted(starts, np.frombuffer((t or "").encode("utf-32-le", "surrogatepass"), np.uint32), side="right") - 1], minlength=len(kinds))
+                rows += [(k, j, int(n[j])) for j in np.flatnonzero(n).tolist()]
+            at, of, n = zip(*rows, strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array([kinds[j] for j in of], pa.string()), pa.array(n, pa.int64())], names=[id_col, "script", "n"])
+
+    return df.select(id_col, text_col).mapInArrow(run, f"{id_col} {dict(df.dtypes)[id_col]}, script string, n bigint")

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.operators.dom import Node, _each, parse
+from docframe.operators.dom import Node, _each, node_text, parse
 
 UA, USER, AUTHOR = 0, 1, 2
 #: Rank of an origin, and of its important declarations. Fixed values.
@@ -438,3 +438,12 @@ def declared_of(df: DataFrame, id_col: str = "page_id", html_col: str = "html")
 def winners(found: DataFrame, keys: list[str]) -> DataFrame:
     """The heaviest declaration of each element and property: rank, then specificity, then order; later wins."""
     return found.groupBy(*keys, "property").agg(F.max_by("value", F.struct("rank", "spec", "ord")).alias("value"))
+
+
+def selected_of(df: DataFrame, selector: str, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, ord, tag, attrs, text) of the elements that a selector picks, matched within the document: nothing is shuffled."""
+
+    def rows(markup: str):
+        return [(k, n.tag, {a: v or "" for a, v in n.attrs.items()}, " ".join(node_text(n).split())) for k, n in enumerate(select(parse(markup), selector))]
+
+    return _each(df, id_col, html_col, "ord int, tag string, attrs map<string,string>, text string", rows)

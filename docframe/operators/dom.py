@@ -306,6 +306,15 @@ def text_of(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> D
     return _each(df, id_col, html_col, "text string", lambda m: [(node_text(parse(m)),)])
 
 
+def text_by_either(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """The same as text_of, by native expressions for the rows whose markup these read alike."""
+    from docframe.functions import text
+
+    html = F.col(html_col)
+    plain = df.where(~text.needs_kernel(html)).select(id_col, text.node_text(html).alias("text"))
+    return plain.union(text_of(df.where(text.needs_kernel(html)), id_col, html_col))
+
+
 def headings_of(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     return _each(df, id_col, html_col, "ord int, level int, title string, fragment string", lambda m: [(i, *h) for i, h in enumerate(headings(parse(m)))])
 

@@ -49,7 +49,8 @@ _TEXT = text.chain_sql("html", text.node_text_steps())
 
 @query(f"SELECT page_id, {_TEXT} AS text FROM pages")
 def page_text(spark, sf_dir):
-    return read(spark, sf_dir, "pages", "page_id", "html").select("page_id", text.node_text(F.col("html")).alias("text"))
+    """Native expressions, and the kernel for pages that need it."""
+    return dom.text_by_either(read(spark, sf_dir, "pages", "page_id", "html"))
 
 
 @query(f"SELECT page_id, {_TEXT} AS text FROM pages")
@@ -106,10 +107,9 @@ def md_lead(spark, sf_dir):
         SELECT doc_id, {text.script_sql('unicode(c)')} AS script FROM (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents)) GROUP BY script"""
 )
 def script_of(spark, sf_dir):
-    """Characters by writing system. Counted by distinct character within a document first."""
-    chars = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "")).alias("c"))
-    per = chars.where("c <> ''").groupBy("doc_id", "c").agg(F.count("*").alias("n"))
-    return per.select("doc_id", "n", text.script_of(F.ascii("c")).alias("script")).groupBy("script").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"))
+    """Characters by writing system, counted within a document first."""
+    per = text.script_counts(read(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+    return per.groupBy("script").agg(F.sum("n").alias("n"), F.count_distinct("doc_id").alias("docs"))
 
 
 # -- links --------------------------------------------------------------------------------------
@@ -249,7 +249,15 @@ def dom_nodes(spark, sf_dir):
     f"""SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)<nav\\b.*?</nav>', 0), '<a href="([^"]+)"', 1)) AS href FROM pages)"""
 )
 def select_nav_links(spark, sf_dir):
-    """nav a[href], by interval join over the nodes."""
+    """nav a[href], matched in the kernel of a document."""
+    return css.selected_of(read(spark, sf_dir, "pages"), "nav a[href]").select("page_id", F.col("attrs")["href"].alias("href"))
+
+
+@query(
+    f"""SELECT page_id, href FROM (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)<nav\\b.*?</nav>', 0), '<a href="([^"]+)"', 1)) AS href FROM pages)"""
+)
+def nav_links_joined(spark, sf_dir):
+    """The same by an interval join over the nodes, as any relation of nodes allows."""
     chosen = dom.select(_nodes(spark, sf_dir), "page_id", (" ", "tag = 'nav'"), (" ", "tag = 'a' AND attrs['href'] <> ''"))
     return chosen.select("page_id", F.col("attrs")["href"].alias("href"))
 
@@ -488,8 +496,22 @@ def document_text(spark, sf_dir):
 )
 def paginate(spark, sf_dir):
     """Lines of a document on pages of 1152 px: 18 px a row of 80 characters."""
-    lines = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    return relations.paginate(lines.select("doc_id", "line", (18.0 + 18.0 * F.floor(F.length("t") / 80)).alias("h")), "doc_id", "line", "h", 1152.0)
+    heights = F.transform(F.split("text", "\n"), lambda t: 18.0 + 18.0 * F.floor(F.length(t) / 80))
+    return relations.paginate_rows(read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", heights.alias("hs")), "doc_id", "hs", 1152.0)
+
+
+@query(
+    """WITH RECURSIVE l AS (SELECT l_orderkey AS doc_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS line, l_quantity AS h FROM lineitem),
+       r AS (SELECT doc_id, line, h, 0 AS page, h AS used FROM l WHERE line = 0
+             UNION ALL SELECT l.doc_id, l.line, l.h, CASE WHEN used > 0 AND used + l.h > 90 THEN page + 1 ELSE page END, CASE WHEN used > 0 AND used + l.h > 90 THEN l.h ELSE used + l.h END
+             FROM r JOIN l ON l.doc_id = r.doc_id AND l.line = r.line + 1)
+       SELECT doc_id, line, h::DOUBLE AS h, page::INT AS page FROM r"""
+)
+def paginate_relation(spark, sf_dir):
+    """Spans that are rows of their own: an order's lines, as high as their quantity, on pages of 90."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    lines = read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), (F.row_number().over(w) - 1).alias("line"), F.col("l_quantity").alias("h"))
+    return relations.paginate(lines, "doc_id", "line", "h", 90.0)
 
 
 # -- boxes --------------------------------------------------------------------------------------

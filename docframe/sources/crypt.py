@@ -1,10 +1,12 @@
-"""The standard security of PDF files: passwords to keys, RC4 and AES in plain Python."""
+"""The standard security of PDF files: passwords to keys, RC4, and AES (decryption over all blocks at once)."""
 
 from __future__ import annotations
 
 import hashlib
 import struct
 
+import numpy as np
+
 #: What passwords are padded with. Fixed values.
 PADDING = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 
@@ -71,56 +73,71 @@ def _schedule(key: bytes) -> list[list[int]]:
     return [sum(words[i : i + 4], []) for i in range(0, len(words), 4)]
 
 
-def _decrypt_block(block, keys) -> list[int]:
-    m9, m11, m13, m14 = (_MUL[k] for k in (9, 11, 13, 14))
-    s = [a ^ b for a, b in zip(block, keys[-1], strict=True)]
+_BACK_AT, _MUL_AT = np.array(_BACK, np.uint8), {m: np.array(v, np.uint8) for m, v in _MUL.items()}
+#: Where each byte of a state goes when its rows are turned back.
+_TURNED = np.array([(i - 4 * (i % 4)) % 16 for i in range(16)])
+
+
+def _decrypt_blocks(blocks: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """All blocks (rows of 16 bytes) at once."""
+    s = blocks ^ keys[-1]
     for r in range(len(keys) - 2, -1, -1):
-        s = [_BACK[s[(i - 4 * (i % 4)) % 16]] for i in range(16)]
-        s = [a ^ b for a, b in zip(s, keys[r], strict=True)]
+        s = _BACK_AT[s[:, _TURNED]] ^ keys[r]
         if r:
-            out = []
-            for c in range(0, 16, 4):
-                a, b, d, e = s[c : c + 4]
-                out += [m14[a] ^ m11[b] ^ m13[d] ^ m9[e], m9[a] ^ m14[b] ^ m11[d] ^ m13[e], m13[a] ^ m9[b] ^ m14[d] ^ m11[e], m11[a] ^ m13[b] ^ m9[d] ^ m14[e]]
-            s = out
+            columns = s.reshape(-1, 4, 4)
+            m = {k: _MUL_AT[k][columns] for k in (9, 11, 13, 14)}
+            s = np.stack([m[14][..., i] ^ m[11][..., (i + 1) % 4] ^ m[13][..., (i + 2) % 4] ^ m[9][..., (i + 3) % 4] for i in range(4)], axis=2).reshape(-1, 16)
     return s
 
 
-def _encrypt_block(block, keys) -> list[int]:
-    m2, m3 = _MUL[2], _MUL[3]
-    s = [a ^ b for a, b in zip(block, keys[0], strict=True)]
-    for r in range(1, len(keys)):
-        s = [_BOX[s[(i + 4 * (i % 4)) % 16]] for i in range(16)]
-        if r < len(keys) - 1:
-            out = []
-            for c in range(0, 16, 4):
-                a, b, d, e = s[c : c + 4]
-                out += [m2[a] ^ m3[b] ^ d ^ e, a ^ m2[b] ^ m3[d] ^ e, a ^ b ^ m2[d] ^ m3[e], m3[a] ^ b ^ d ^ m2[e]]
-            s = out
-        s = [a ^ b for a, b in zip(s, keys[r], strict=True)]
-    return s
+#: A round's substitution and column mixing of one byte, as a word, by its row.
+_ROUND = [[int.from_bytes(bytes(x[-k:] + x[:-k] if k else x), "big") for x in ([_MUL[2][v], v, v, _MUL[3][v]] for v in _BOX)] for k in range(4)]
+
+
+def _encrypt_words(s: list[int], words: list[list[int]]) -> list[int]:
+    """One block of four words."""
+    t0, t1, t2, t3 = _ROUND
+    a, b, c, d = (x ^ k for x, k in zip(s, words[0], strict=True))
+    for k in words[1:-1]:
+        a, b, c, d = (
+            t0[a >> 24] ^ t1[b >> 16 & 255] ^ t2[c >> 8 & 255] ^ t3[d & 255] ^ k[0], t0[b >> 24] ^ t1[c >> 16 & 255] ^ t2[d >> 8 & 255] ^ t3[a & 255] ^ k[1],
+            t0[c >> 24] ^ t1[d >> 16 & 255] ^ t2[a >> 8 & 255] ^ t3[b & 255] ^ k[2], t0[d >> 24] ^ t1[a >> 16 & 255] ^ t2[b >> 8 & 255] ^ t3[c & 255] ^ k[3],
+        )
+    box, k = _BOX, words[-1]
+    last = lambda w, x, y, z, key: (box[w >> 24] << 24 | box[x >> 16 & 255] << 16 | box[y >> 8 & 255] << 8 | box[z & 255]) ^ key
+    return [last(a, b, c, d, k[0]), last(b, c, d, a, k[1]), last(c, d, a, b, k[2]), last(d, a, b, c, k[3])]
+
+
+def _encrypt_block(block, keys) -> bytes:
+    return struct.pack(">4L", *_encrypt_words(struct.unpack(">4L", bytes(block)), [list(struct.unpack(">4L", bytes(k))) for k in keys]))
 
 
 def aes_cbc(key: bytes, data: bytes, iv: bytes | None = None, unpad: bool = True) -> bytes:
     """Decrypts; without iv the first block is it. Padding that is none is left."""
     iv, data = (data[:16], data[16:]) if iv is None else (iv, data)
-    keys, out, last = _schedule(key), bytearray(), iv
-    for i in range(0, len(data) - 15, 16):
-        block = data[i : i + 16]
-        out += bytes(a ^ b for a, b in zip(_decrypt_block(block, keys), last, strict=True))
-        last = block
-    if unpad and out and 1 <= out[-1] <= 16:
-        del out[-out[-1] :]
-    return bytes(out)
+    n = len(data) // 16
+    if not n or len(iv) < 16:
+        return b""
+    keys, out = np.array(_schedule(key), np.uint8), []
+    blocks = np.frombuffer(data[: 16 * n], np.uint8).reshape(-1, 16)
+    last = np.frombuffer(iv, np.uint8).reshape(1, 16)
+    for i in range(0, n, 1 << 15):
+        part = blocks[i : i + (1 << 15)]
+        out.append((_decrypt_blocks(part, keys) ^ np.concatenate([last, part[:-1]])).tobytes())
+        last = part[-1:]
+    plain = b"".join(out)
+    return plain[: -plain[-1]] if unpad and 1 <= plain[-1] <= 16 else plain
 
 
 def aes_cbc_encrypt(key: bytes, data: bytes, iv: bytes) -> bytes:
-    """Encrypts whole blocks."""
-    keys, out, last = _schedule(key), bytearray(), iv
-    for i in range(0, len(data), 16):
-        last = bytes(_encrypt_block([a ^ b for a, b in zip(data[i : i + 16], last, strict=True)], keys))
+    """Encrypts whole blocks; each needs the one before."""
+    words, out = [list(struct.unpack(">4L", bytes(k))) for k in _schedule(key)], []
+    last = struct.unpack(">4L", iv)
+    plain = struct.unpack(f">{len(data) // 4}L", data)
+    for i in range(0, len(plain), 4):
+        last = _encrypt_words([plain[i] ^ last[0], plain[i + 1] ^ last[1], plain[i + 2] ^ last[2], plain[i + 3] ^ last[3]], words)
         out += last
-    return bytes(out)
+    return struct.pack(f">{len(out)}L", *out)
 
 
 def hash_r6(password: bytes, salt: bytes, user: bytes = b"") -> bytes:

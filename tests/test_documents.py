@@ -300,3 +300,43 @@ def test_streams_equal_batches(spark, tmp_path):
     q = ingest.sessions(stream, "ts", ["user_id"], "1 hour", "1 day").writeStream.format("memory").queryName("runs").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(map(tuple, spark.table("runs").collect())) == sorted(map(tuple, ingest.sessions(spark.read.parquet(str(tmp_path / "ev")), "ts", ["user_id"], "1 hour").collect()))
+
+
+def test_rows_that_native_expressions_misread_go_to_the_kernel(spark):
+    cases = ["<p>a<p>b &amp; c", "<pre>a\n  b</pre>c", "漢 字 a", "<p>caf&eacute; x", "<p>&#65;", "<ruby>漢<rp>(</rp><rt>k</rt></ruby>", "<p>x&nbsp;y", "plain <b>text", ""]
+    df = spark.createDataFrame(list(enumerate(cases)), "page_id long, html string")
+    got = {r.page_id: r.text for r in dom.text_by_either(df).collect()}
+    assert got == {i: dom.node_text(dom.parse(c)) for i, c in enumerate(cases)}
+
+
+def test_masked_fonts_are_unmasked():
+    font, key = bytes(range(256)) * 8, hashlib.sha1(b"urn:1").digest()
+    masked = bytes(c ^ key[i % 20] if i < 1040 else c for i, c in enumerate(font))
+    members = {i.filename: zipfile.ZipFile(io.BytesIO(EPUB)).read(i) for i in zipfile.ZipFile(io.BytesIO(EPUB)).infolist()}
+    members["EPUB/package.opf"] = members["EPUB/package.opf"].replace(b"<item id=\"gone\"", b'<item id="f" href="f%20x.otf" media-type="font/otf"/><item id="gone"')
+    members["EPUB/f x.otf"] = masked
+    members["META-INF/encryption.xml"] = b'<encryption><EncryptedData><EncryptionMethod Algorithm="http://www.idpf.org/2008/embedding"/><CipherData><CipherReference URI="EPUB/f%20x.otf"/></CipherData></EncryptedData></encryption>'
+    book = containers.open_book(zipped(members))
+    assert next(p.data for p in book.parts if p.item_id == "f") == font
+    assert containers.mask_key("http://ns.adobe.com/pdf/enc#RC", "x urn:uuid:00112233-4455-6677-8899-aabbccddeeff") == bytes.fromhex("00112233445566778899aabbccddeeff")
+
+
+def test_layers_annotations_and_boxes():
+    from docframe.sources import pdf_pages
+
+    stream = "<< /Length 0 >>\nstream\n\nendstream"
+    file = build_pdf([
+        "<< /Type /Catalog /Pages 2 0 R /OCProperties << /OCGs [4 0 R 5 0 R] /D << /BaseState /OFF /ON [4 0 R] /AS [<< /Event /Print /OCGs [5 0 R] /Category [/Print] >>] >> >> >>",
+        "<< /Type /Pages /Kids [3 0 R] >>",
+        "<< /Type /Page /Rotate -90 /UserUnit 2 /MediaBox [100 200 0 0] /Annots [<< /Subtype /Widget /Rect [0 0 9 9] /AP << /N 6 0 R >> >> << /Subtype /Link >> << /Subtype /Text /F 2 /Rect [0 0 9 9] /AP << /N 6 0 R >> >> << /Subtype /Stamp /Rect [0 0 9 9] /OC 5 0 R /AP << /N << /On 6 0 R /Off 6 0 R >> >> /AS /On >>] >>",
+        "<< /Type /OCG /Name (One) >>", "<< /Type /OCG /Name (Two) /Usage << /Print << /PrintState /ON >> >> >>", stream, "<< /Type /OCMD /OCGs [4 0 R 5 0 R] /P /AllOn >>",
+    ])
+    f = pdf.File(file)
+    page = f.pages()[0]
+    assert pdf_pages.Layers(f).rows() == [(0, "One", True), (1, "Two", False)] and pdf_pages.Layers(f, "print").rows()[1][2]
+    assert pdf_pages.Layers(f).switch({"One": False, "Two": True}).rows() == [(0, "One", False), (1, "Two", True)]
+    assert not pdf_pages.Layers(f).shows(pdf.Ref(7)) and pdf_pages.Layers(f, "print").shows(pdf.Ref(7)) and pdf_pages.Layers(f).shows(None)
+    assert [(kind, drawn) for _, kind, _, drawn in pdf_pages.annotations(f, page, pdf_pages.Layers(f))] == [("Text", False), ("Stamp", False), ("Widget", True)]
+    (_, _, media, seen, turned, unit, m), = pdf_pages.pages(f)
+    assert (media, seen, turned, unit) == ([0, 0, 100, 200], [0, 0, 100, 200], 270, 2.0) and m == [0, -2, -2, 0, 400, 200]
+    assert pdf_pages.fitted((0, 0, 10, 20), (1, 0, 0, 1, 5, 5), (100, 100, 120, 140)) == (2, 0, 0, 2, 90, 90)
