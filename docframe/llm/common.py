@@ -52,6 +52,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/docframe-{uuid.uuid4().hex}"
 
 
+#: Tables that materialize wrote, in order.
+_written: list[str] = []
+
+
+def drop_written(spark: SparkSession, but_last: int = 0) -> None:
+    """Deletes the tables that materialize wrote, but for the last ones; no DataFrame that reads them may be used any more."""
+    keep = _written[len(_written) - but_last :] if but_last else []
+    jvm = spark.sparkContext._jvm
+    for p in _written[: len(_written) - len(keep)]:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _written[:] = keep
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back.
 
@@ -62,6 +76,7 @@ def materialize(df: DataFrame) -> DataFrame:
     small_batches(spark)
     path = shared_dir(spark)
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from docframe.llm import decontaminate, token_counts, vptree
+from docframe.llm import common, decontaminate, token_counts, vptree
 from docframe.llm import queries as llm
 from tests.oracle import SF, compare
 
@@ -334,6 +334,37 @@ def test_pipeline_stages_on_planted_documents(spark, tmp_path):
     assert {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).select("doc_id").collect()} == seen[4]
 
 
+def test_stages_with_clashing_columns_repeated_rows_and_empty_tables(spark, tmp_path):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    names = ["_lang", "_score", "spans", "base", "kept", "node", "shingle", "_row", "_c0", "_k0", "id", "text_", "u", "v"]
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, words, "en", "a"), (1, words, "en", "a"), (1, words[::-1], "en", None), (2, None, None, "b"), (3, "", "de", "b"), (4, "token = abcdef0123456789", "en", "c"), (None, words + " more", "en", "c"), (5, bench.first().text, "es", "d")]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names)
+    docs = spark.createDataFrame([(*r, *names) for r in rows], schema)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.dtypes == docs.dtypes, name
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        docs = common.materialize(out)
+        assert all(r[n] == n for r in docs.collect() for n in names), name
+    got = sorted((r.doc_id, r.text) for r in docs.collect())
+    assert got == sorted([(1, words), (1, words[::-1]), (4, "[SECRET]")])
+    packed = corpus_pipeline.STAGES[4][1](spark, docs, str(tmp_path))
+    assert packed.count() == 3 and corpus_pipeline.STAGES[4][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_written_tables_can_be_dropped(spark):
+    import os
+
+    first, last = common.materialize(spark.range(3)), common.materialize(spark.range(4))
+    paths = common._written[-2:]
+    common.drop_written(spark, but_last=1)
+    assert not os.path.exists(paths[0]) and last.count() == 4 and common._written == paths[1:] and first is not None
+    common.drop_written(spark)
+    assert not os.path.exists(paths[1])
+
+
 def test_every_operator_is_registered():
     import __spark_entry__ as entry
 
