@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import decontaminate, language_id, packing, secret_scan, simhash
-from docframe.llm.common import materialize, table
+from docframe.llm.common import drop_written, materialize, table
 
 
 def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -72,4 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         docs = stage(spark, docs, sf_dir)
         if n < len(STAGES):
             docs = materialize(docs)
+            drop_written(spark, but_last=1)  # what the stage and the one before wrote has been read
     return docs
