@@ -169,13 +169,14 @@ def slots(combinations: list[tuple[dict[int, int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def pack(pieces: DataFrame, length_col: str = "length", seq_len: int = SEQ_LEN, bucket_rows: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, length_col: str = "length", seq_len: int = SEQ_LEN, bucket_rows: int = 1_000) -> DataFrame:
     """The pieces with sequence_id and offset; lengths are 1 to seq_len."""
     held = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
     histogram = {r[0]: r[1] for r in held.groupBy(length_col).agg(F.count("*")).collect()}  # at most seq_len rows
     where = slots(plan(histogram, seq_len))
-    buckets = -(-max(histogram.values(), default=1) // bucket_rows)
-    dealt = held.withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.lit(buckets)))
+    # a length that many pieces have is spread over as many buckets as it needs
+    per_length = held.sparkSession.createDataFrame([(n, -(-c // bucket_rows)) for n, c in histogram.items()], f"{length_col} {dict(held.dtypes)[length_col]}, _buckets bigint")
+    dealt = held.join(F.broadcast(per_length), length_col).withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets")))
     by = [length_col, "_bucket"]
     from pyspark.sql import Window as W
 
