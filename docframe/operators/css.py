@@ -447,3 +447,151 @@ def selected_of(df: DataFrame, selector: str, id_col: str = "page_id", html_col:
         return [(k, n.tag, {a: v or "" for a, v in n.attrs.items()}, " ".join(node_text(n).split())) for k, n in enumerate(select(parse(markup), selector))]
 
     return _each(df, id_col, html_col, "ord int, tag string, attrs map<string,string>, text string", rows)
+
+
+# -- computed styles --------------------------------------------------------------------------
+
+#: What a page looks like without any sheet of its own: the defaults that HTML suggests. Fixed values.
+DEFAULTS = """
+html, address, article, aside, blockquote, body, center, dd, details, dialog, dir, div, dl, dt, fieldset, figcaption, figure, footer, form, h1, h2, h3, h4, h5, h6, header, hgroup, hr, main, menu, nav, ol, p, pre, section, summary, ul { display: block }
+head, script, style, title, template, link, meta, base, rp { display: none }
+li { display: list-item } table { display: table } tr { display: table-row } td, th { display: table-cell } thead { display: table-header-group } tbody { display: table-row-group } caption { display: table-caption }
+body { margin: 8px } p, blockquote, figure, dl, ul, ol, menu, pre { margin-top: 1em; margin-bottom: 1em } blockquote, figure { margin-left: 40px; margin-right: 40px } dd { margin-left: 40px } ul, ol, menu { padding-left: 40px }
+h1 { font-size: 2em; margin-top: .67em; margin-bottom: .67em } h2 { font-size: 1.5em; margin-top: .83em; margin-bottom: .83em } h3 { font-size: 1.17em; margin-top: 1em; margin-bottom: 1em }
+h4 { margin-top: 1.33em; margin-bottom: 1.33em } h5 { font-size: .83em; margin-top: 1.67em; margin-bottom: 1.67em } h6 { font-size: .67em; margin-top: 2.33em; margin-bottom: 2.33em }
+h1, h2, h3, h4, h5, h6, b, strong, th { font-weight: bold } i, em, cite, var, dfn, address { font-style: italic } code, kbd, samp, tt, pre { font-family: monospace } pre { white-space: pre }
+small { font-size: smaller } big { font-size: larger } sub { vertical-align: sub; font-size: smaller } sup { vertical-align: super; font-size: smaller } u, ins { text-decoration: underline } s, strike, del { text-decoration: line-through }
+ul { list-style-type: disc } ol { list-style-type: decimal } ul ul, ol ul { list-style-type: circle } th, center, caption { text-align: center } a[href] { color: #0000ee; text-decoration: underline }
+"""
+#: Sizes of font keywords in pixels, medium at 16. Fixed values.
+FONT_SIZES = {"xx-small": 9.6, "x-small": 12.0, "small": 128 / 9, "medium": 16.0, "large": 19.2, "x-large": 24.0, "xx-large": 32.0, "xxx-large": 48.0}
+_IMPORT = re.compile(r"""@import\s+(?:url\(\s*)?["']?([^"')\s;]+)["']?\s*\)?\s*([^;{]*);""", re.I)
+
+
+def _number(n: float) -> str:
+    return f"{round(n, 4):g}px"
+
+
+def _font_size(value: str, parent: float) -> float:
+    v = value.strip().lower()
+    if v in FONT_SIZES:
+        return FONT_SIZES[v]
+    if v in ("smaller", "larger"):
+        return parent / 1.2 if v == "smaller" else parent * 1.2
+    if m := re.fullmatch(r"([+-]?[\d.]+)%", v):
+        return max(0.0, float(m[1]) * parent / 100)
+    px = to_px(v, parent)
+    return parent if px is None else max(0.0, px)
+
+
+def _font_weight(value: str, parent: int) -> int:
+    v = value.strip().lower()
+    if v == "bolder":
+        return 400 if parent < 400 else 700 if parent < 600 else 900
+    if v == "lighter":
+        return 700 if parent > 700 else 400 if parent > 500 else 100
+    n = {"normal": 400, "bold": 700}.get(v, int(v) if v.isdigit() else 0)
+    return n if 1 <= n <= 1000 else parent
+
+
+def _color(value: str, current: str) -> str:
+    """rgb() of a hexadecimal or named colour; anything else as it stands."""
+    from docframe.functions.cssvalues import COLORS
+
+    v = value.strip().lower()
+    if v == "currentcolor":
+        return current
+    words = COLORS.split()
+    digits = dict(zip(words[::2], words[1::2], strict=True)).get(v) or (v[1:] if re.fullmatch("#([0-9a-f]{3}|[0-9a-f]{6})", v) else "")
+    digits = "".join(c * 2 for c in digits) if len(digits) == 3 else digits
+    return f"rgb({int(digits[:2], 16)}, {int(digits[2:4], 16)}, {int(digits[4:], 16)})" if digits else v
+
+
+def computed(root: Node, sheets: list[tuple[int, str]], width: float = 800, height: float = 1200):
+    """(pre, tag, property, value) of every element: the winning declarations with lengths in pixels, and what it inherits."""
+    best: dict[int, dict[str, tuple]] = {}
+    for pre, name, value, *weight in declared(root, [(UA, DEFAULTS), *sheets], width, height):
+        mine = best.setdefault(pre, {})
+        if name not in mine or mine[name][0] <= weight:
+            mine[name] = weight, value
+    number = {id(x): k for k, x in enumerate(root.walk())}
+    start = {"font-size": 16.0, "font-weight": 400, "color": "rgb(0, 0, 0)"}
+    stack = [(root, start)]
+    while stack:
+        x, above = stack.pop()
+        style = above
+        if not x.tag.startswith("#"):
+            own = {}
+            for k, (_, v) in best.get(number[id(x)], {}).items():
+                word = v.strip().lower()
+                if word == "inherit" or (word == "unset" and k in INHERITED):
+                    if k in above:
+                        own[k] = above[k]
+                elif word not in ("initial", "unset"):
+                    own[k] = v
+                elif k in start:
+                    own[k] = start[k]
+            style = {k: v for k, v in above.items() if k in INHERITED} | own
+            em = style["font-size"] = _font_size(own["font-size"], above["font-size"]) if isinstance(own.get("font-size"), str) else style["font-size"]
+            if isinstance(own.get("font-weight"), str):
+                style["font-weight"] = _font_weight(own["font-weight"], above["font-weight"])
+            if isinstance(own.get("color"), str):
+                style["color"] = _color(own["color"], above["color"])
+            for k, v in own.items():
+                if k in ("font-size", "font-weight", "color") or not isinstance(v, str):
+                    continue
+                px = to_px(v, em) if k != "line-height" else None
+                style[k] = _number(px) if px is not None else _color(v, style["color"]) if k.endswith("color") else v
+            for k, v in style.items():
+                yield number[id(x)], x.tag, k, _number(v) if k == "font-size" else str(v)
+        stack.extend((c, style) for c in reversed(x.children))
+
+
+def sheets_of(root: Node, load=lambda href, base: None, width: float = 800, height: float = 1200) -> list[tuple[int, str]]:
+    """The author's sheets in document order: style elements, linked sheets, and what these import. load(href, from) gives a sheet's text."""
+    out: list[tuple[int, str]] = []
+
+    def add(text: str, base, depth: int, seen: frozenset):
+        rest = _COMMENT.sub("", text)
+        while m := _IMPORT.match(rest.lstrip()):
+            rest = rest.lstrip()[m.end() :]
+            key = (base, m[1])
+            if depth < 16 and key not in seen and media_matches(m[2].strip(), width, height):
+                found = load(m[1], base)
+                if found is not None:
+                    add(found[0], found[1], depth + 1, seen | {key})
+        out.append((AUTHOR, rest))
+
+    for x in root.walk():
+        if not media_matches(x.attrs.get("media") or "", width, height):
+            continue
+        if x.tag == "style":
+            add("".join(c.text for c in x.children), None, 0, frozenset())
+        elif x.tag == "link" and "stylesheet" in (x.attrs.get("rel") or "").lower().split() and "alternate" not in (x.attrs.get("rel") or "").lower().split() and x.attrs.get("href"):
+            found = load(x.attrs["href"], None)
+            if found is not None:
+                add(found[0], found[1], 0, frozenset())
+    return out
+
+
+#: Properties that computed styles have a use for.
+KNOWN = INHERITED | frozenset(
+    "display position float clear width height min-width max-width min-height max-height top right bottom left overflow vertical-align text-decoration background-color list-style-image page-break-before page-break-after border-collapse border-spacing table-layout".split()
+) | {f"{p}-{s}" for p in ("margin", "padding") for s in _SIDES} | {f"border-{s}-{k}" for s in _SIDES for k in ("width", "style", "color")}
+
+
+def coverage(css: str) -> tuple[int, int]:
+    """Declarations of a sheet with a known property, and the others."""
+    names = [k for r in parse_sheet(css) for name, value, _ in r.declarations for k, _ in longhands(name, value)[:1]]
+    known = sum(n in KNOWN for n in names)
+    return known, len(names) - known
+
+
+def computed_of(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+    """(id, pre, tag, property, value): computed styles of every element of a document."""
+
+    def rows(m):
+        root = parse(m)
+        return list(computed(root, sheets_of(root)))
+
+    return _each(df, id_col, html_col, "pre int, tag string, property string, value string", rows)

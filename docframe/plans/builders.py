@@ -44,7 +44,8 @@ def halves(lines: list[str]) -> tuple[list[str], list[str]]:
 
 def epub(key: int, text: str, lang: str, source: str) -> bytes:
     """Two chapters under the second of two folders, a third part that is not in the spine, the contents as nav or NCX."""
-    body = lambda part: "<html><body>" + "".join(f"<p>{esc(x)}</p>" for x in part) + "</body></html>"
+    head = '<head><link rel="stylesheet" href="css/main.css"/></head>'
+    body = lambda part: f"<html>{head}<body>" + "".join(f"<p>{esc(x)}</p>" for x in part) + "</body></html>"
     first, second = halves(lines_of(text))
     toc = {"OPS/nav.xhtml": '<html><body><nav epub:type="toc"><ol><li><a href="c%20one.xhtml#top">Part 1</a><ol><li><a href="c2.xhtml">Part 2</a></li></ol></li></ol></nav></body></html>'}
     item = '<item id="toc" href="nav.xhtml" media-type="application/xhtml+xml" properties="nav"/>'
@@ -54,10 +55,11 @@ def epub(key: int, text: str, lang: str, source: str) -> bytes:
     package = f"""<package xmlns="http://www.idpf.org/2007/opf" xmlns:dc="{_DC}" unique-identifier="uid"><metadata><dc:title>Document {key}</dc:title><dc:creator>{esc(source)}</dc:creator>
       <dc:creator>Second Author</dc:creator><dc:identifier>other</dc:identifier><dc:identifier id="uid">urn:doc:{key}</dc:identifier><dc:language>{esc(lang)}</dc:language></metadata>
       <manifest>{item}<item id="two" href="c2.xhtml" media-type="application/xhtml+xml"/><item id="one" href="c%20one.xhtml" media-type="application/xhtml+xml"/>
-      <item id="aside" href="aside.xhtml" media-type="application/xhtml+xml"/></manifest><spine{' toc="toc"' if key % 2 else ""}><itemref idref="one"/><itemref idref="two"/></spine></package>"""
+      <item id="aside" href="aside.xhtml" media-type="application/xhtml+xml"/><item id="main" href="css/main.css" media-type="text/css"/><item id="base" href="css/base.css" media-type="text/css"/></manifest><spine{' toc="toc"' if key % 2 else ""}><itemref idref="one"/><itemref idref="two"/></spine></package>"""
     return archive({
         "mimetype": "application/epub+zip", "META-INF/container.xml": '<container><rootfiles><rootfile full-path="OPS/package.opf"/></rootfiles></container>',
-        "OPS/package.opf": package, "OPS/c one.xhtml": body(first), "OPS/c2.xhtml": body(second), "OPS/aside.xhtml": body(["aside"]), **toc,
+        "OPS/package.opf": package, "OPS/c one.xhtml": body(first), "OPS/c2.xhtml": body(second), "OPS/aside.xhtml": body(["aside"]), "OPS/css/main.css": '@import "base.css"; @import url(print.css) print; body { font-size: 20px } p { text-indent: 2em }',
+        "OPS/css/base.css": f"p {{ color: #{key * 7919 % 16777216:06x}; text-indent: 9px; margin: 0 }}", **toc,
     })
 
 

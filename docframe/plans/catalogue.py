@@ -612,6 +612,21 @@ def computed_styles(spark, sf_dir):
     return won.groupBy("page_id", "property", "value").agg(F.count("*").alias("elements"))
 
 
+_PAGE_STYLES = """(VALUES ('p', 'display', 'block'), ('p', 'margin-top', '0px'), ('p', 'margin-left', '0px'), ('h1', 'display', 'block'), ('h1', 'font-size', '32px'), ('h1', 'font-weight', '700'), ('h1', 'margin-top', '21.44px'),
+    ('ul', 'display', 'block'), ('ul', 'padding-left', '40px'), ('ul', 'margin-top', '16px'), ('ul', 'list-style-type', 'disc'), ('li', 'display', 'list-item'), ('li', 'list-style-type', 'disc'), ('a', 'color', 'rgb(0, 0, 238)'), ('a', 'text-decoration', 'underline'),
+    ('nav', 'display', 'block'), ('article', 'display', 'block'), ('footer', 'display', 'block'), ('title', 'display', 'none')) AS t(tag, property, value)"""
+
+
+@query(f"SELECT tag, property, value, count(*) AS elements FROM {_TAGS} JOIN {_PAGE_STYLES} USING (tag) GROUP BY ALL")
+def page_styles(spark, sf_dir):
+    """Computed styles by tag: defaults, the page's own sheet, what is inherited, lengths in pixels."""
+    found = css.computed_of(read(spark, sf_dir, "pages"))
+    asked = {"p": ("display", "margin-top", "margin-left"), "h1": ("display", "font-size", "font-weight", "margin-top"), "ul": ("display", "padding-left", "margin-top", "list-style-type"), "li": ("display", "list-style-type"), "a": ("color", "text-decoration")}
+    asked |= {t: ("display",) for t in ("nav", "article", "footer", "title")}
+    wanted = F.concat_ws(" ", "tag", "property").isin(*(f"{t} {k}" for t, ks in asked.items() for k in ks))
+    return found.where(wanted).groupBy("tag", "property", "value").agg(F.count("*").alias("elements"))
+
+
 @query("SELECT doc_id, (i - 1)::INT AS line, 0 AS start, length(ls[i])::INT AS \"end\", 0 AS level FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS t(i) WHERE ls[i] <> ''")
 def bidi_levels(spark, sf_dir):
     """Runs of one bidirectional level; this corpus goes left to right throughout."""

@@ -52,10 +52,22 @@ def epub_outline(spark, sf_dir):
 )
 def epub_parts(spark, sf_dir):
     """The manifest without the contents, and the places in the reading order."""
-    found = documents.parts(made(spark, sf_dir, builders.epub), "doc_id").where("item_id <> 'toc'")
+    found = documents.parts(made(spark, sf_dir, builders.epub), "doc_id").where("item_id IN ('one', 'two', 'aside')")
     return found.select("doc_id", "item_id", "part", "media_type", "spine", F.col("spine").isNotNull().alias("chapter"))
 
 
+@query(
+    f"""SELECT doc_id, part, property, value, n FROM (SELECT doc_id, len({_FIRST}) AS a, len({_SECOND}) AS b, printf('%06x', doc_id * 7919 % 16777216) AS h FROM documents), LATERAL (
+          SELECT unnest(['OPS/c one.xhtml', 'OPS/c2.xhtml']) AS part, unnest([a, b]) AS n), LATERAL (
+          SELECT unnest(['color', 'display', 'font-size', 'font-weight', 'margin-top', 'text-indent']) AS property,
+                 unnest(['rgb(' || ('0x' || substr(h, 1, 2))::INT || ', ' || ('0x' || substr(h, 3, 2))::INT || ', ' || ('0x' || substr(h, 5, 2))::INT || ')', 'block', '20px', '400', '0px', '40px']) AS value) WHERE n > 0"""
+)
+def epub_styles(spark, sf_dir):
+    """Computed styles of the paragraphs of a book, from a linked sheet, one that it imports, and what is inherited."""
+    found = documents.styles(made(spark, sf_dir, builders.epub), "doc_id").where("tag = 'p' AND property IN ('color', 'display', 'font-size', 'font-weight', 'margin-top', 'text-indent')")
+    return found.groupBy("doc_id", "part", "property", "value").agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, 'docx' AS container, 'Document ' || doc_id AS title, source AS author FROM documents")
 def docx_metadata(spark, sf_dir):
     return documents.metadata(made(spark, sf_dir, builders.docx), "doc_id").select("doc_id", "container", "title", "author")

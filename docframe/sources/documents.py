@@ -205,3 +205,26 @@ def annotations(df: DataFrame, key: str = "path", content: str = "content", even
         return [(n, *a) for n, p in enumerate(found) for a in pdf_pages.annotations(f, p, pdf_pages.Layers(f, event), event)]
 
     return _explode(df, key, content, "page int, ord int, subtype string, rect array<double>, drawn boolean", rows)
+
+
+def styles(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
+    """Computed styles of the parts of a book, with the sheets that they link and that these import."""
+
+    def rows(data):
+        from docframe.operators import css, dom
+        from docframe.sources.containers import as_markup, decode, rel
+
+        book = _book(data)
+        found = {p.path: p for p in book.parts}
+        out = []
+        for part in book.spine():
+            root = dom.parse(as_markup(part))
+
+            def load(href, base, at=part.path):
+                path = rel(base or at, href)
+                return (decode(found[path].data), path) if path in found else None
+
+            out += [(part.path, *r) for r in css.computed(root, css.sheets_of(root, load))]
+        return out
+
+    return _explode(df, key, content, "part string, pre int, tag string, property string, value string", rows)

@@ -48,3 +48,22 @@ def test_cascade():
 @pytest.mark.parametrize(("s", "px"), [("12pt", 16.0), ("1in", 96.0), ("2em", 32.0), ("0", 0.0), ("5", None), ("1ex", 8.0), ("x", None)])
 def test_lengths(s, px):
     assert css.to_px(s) == px
+
+
+def test_computed_styles():
+    sheet = "body { font-size: 20px; color: teal } p { margin: 1em 10%; color: inherit } p.x { font-size: 50%; text-indent: 2em } b { font-weight: bolder; color: #abc } div { border: 1px solid currentcolor; color: initial }"
+    root = parse("<body><p class=x>a<b>b</b></p><div style='padding: 1pc'><h2>c</h2></div></body>")
+    got = {}
+    for _, tag, name, value in css.computed(root, [(css.AUTHOR, sheet)]):
+        got.setdefault(tag, {})[name] = value
+    assert got["p"]["font-size"] == "10px" and got["p"]["margin-top"] == "10px" and got["p"]["margin-left"] == "10%" and got["p"]["color"] == "rgb(0, 128, 128)" and got["p"]["text-indent"] == "20px"
+    assert got["b"]["font-weight"] == "700" and got["b"]["font-size"] == "10px" and got["b"]["color"] == "rgb(170, 187, 204)" and got["b"]["text-indent"] == "20px" and "margin-top" not in got["b"]
+    assert got["div"]["border-top-color"] == "rgb(0, 0, 0)" and got["div"]["padding-left"] == "16px" and got["h2"]["font-size"] == "30px" and got["h2"]["margin-top"] == "24.9px"
+
+
+def test_sheets_and_coverage():
+    texts = {"a.css": ("@import 'b.css'; p { color: red }", "a.css"), "b.css": ("@import 'a.css'; @import 'c.css' print; p { color: blue }", "b.css")}
+    root = parse("<link rel=stylesheet href=a.css><link rel='alternate stylesheet' href=b.css><style media=print>x{}</style><style>q { color: green }</style>")
+    found = [t.strip() for _, t in css.sheets_of(root, lambda href, base: texts.get(href))]
+    assert found == ["p { color: red }", "p { color: blue }", "p { color: red }", "q { color: green }"]
+    assert css.coverage("p { margin: 0; foo: bar; color: red }") == (2, 1)
