@@ -246,11 +246,11 @@ def line_breaks(text: str) -> list[tuple[int, bool]]:
     for i, c in enumerate(text):
         now = _line_class(c)
         if last is None:
-            last = "AL" if now == "CM" else now
+            last, space = "AL" if now == "CM" else now, now == "SP"
             continue
         if last in ("BK", "LF") or last == "CR" and now != "LF":
             out.append((i, True))
-            last, space = now, False
+            last, space = now, now == "SP"
             continue
         if now in ("BK", "CR", "LF", "SP", "ZW") or last == "CR":
             space = space or now == "SP"
@@ -293,3 +293,8 @@ def levels_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 def breaks_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, offset, must) of every place where a line may end."""
     return _each(df, id_col, text_col, "offset int, must boolean", line_breaks)
+
+
+def visual_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, line, text): each line's characters in the order of display."""
+    return _each(df, id_col, text_col, "line int, text string", lambda t: [(k, visual(line)) for k, line in enumerate(t.split("\n"))])

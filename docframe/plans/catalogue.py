@@ -640,4 +640,44 @@ def line_breaks(spark, sf_dir):
     return found.where("must").groupBy("doc_id").agg(F.count("*").alias("lines"))
 
 
+_HEBREW = "שלום"
+_MIXED = f"""(SELECT doc_id, (i - 1)::INT AS line, ls[i] AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(generate_series(1, len(ls))) AS t(i) WHERE regexp_matches(ls[i], '[A-Za-z]'))"""
+
+
+def _mixed(spark, sf_dir):
+    """Lines with a letter, and a word from right to left at their end."""
+    lines = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = lines.where(F.col("t").rlike("[A-Za-z]"))
+    return lines.select(F.struct("doc_id", "line").alias("id"), F.concat("t", F.lit(f" {_HEBREW}")).alias("text"))
+
+
+@query(f"SELECT doc_id, line, unnest([0, length(t) + 1])::INT AS start, unnest([length(t) + 1, length(t) + 5])::INT AS \"end\", unnest([0, 1])::INT AS level FROM {_MIXED}")
+def bidi_runs(spark, sf_dir):
+    """Runs of one level in lines that end in a word from right to left."""
+    found = bidi.levels_of(_mixed(spark, sf_dir).select(F.to_json("id").alias("doc_id"), "text"))
+    key = F.from_json("doc_id", "doc_id bigint, line int")
+    return found.select(key["doc_id"].alias("doc_id"), key["line"].alias("line"), "start", "end", "level")
+
+
+@query(f"SELECT doc_id, line, t || ' {_HEBREW[::-1]}' AS text FROM {_MIXED}")
+def visual_order(spark, sf_dir):
+    found = bidi.visual_of(_mixed(spark, sf_dir).select(F.to_json("id").alias("doc_id"), "text"))
+    key = F.from_json("doc_id", "doc_id bigint, line int")
+    return found.select(key["doc_id"].alias("doc_id"), key["line"].alias("line"), "text")
+
+
+@query("SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), ' [A-Za-z]')) AS places FROM documents WHERE regexp_matches(regexp_replace(text, '[^A-Za-z \n]', '', 'g'), ' [A-Za-z]')")
+def break_opportunities(spark, sf_dir):
+    """Places where a line of words may end: after each run of spaces."""
+    words = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.regexp_replace("text", "[^A-Za-z \n]", "").alias("text"))
+    return bidi.breaks_of(words).where("NOT must").groupBy("doc_id").agg(F.count("*").alias("places"))
+
+
+@query(f"SELECT tag, count(*) AS n, count(DISTINCT page_id) AS pages FROM {_TAGS} WHERE tag IN ('title', 'script', 'nav', 'ul', 'li', 'a', 'div', 'article', 'h1', 'p', 'footer') GROUP BY tag")
+def dom_elements(spark, sf_dir):
+    """Elements of the parsed trees by tag."""
+    found = _nodes(spark, sf_dir).where("type = 'element' AND tag IN ('title', 'script', 'nav', 'ul', 'li', 'a', 'div', 'article', 'h1', 'p', 'footer')")
+    return found.groupBy("tag").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
+
+
 from docframe.plans import formats, values  # noqa: E402, F401 - they add their queries
