@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docframe.functions import colour, cssvalues, dates, geometry, strings
+from docframe.operators import tables
 from docframe.plans import builders
 from docframe.plans.formats import _LINES, made
 from docframe.plans.registry import query, read
@@ -465,3 +466,22 @@ def pdf_layers(spark, sf_dir):
     files = made(spark, sf_dir, builders.pdf)
     off = documents.layers(files, "doc_id", switch={"Shown": False}).select("doc_id", "ord", F.col("shown").alias("switched"))
     return documents.layers(files, "doc_id").join(off, ["doc_id", "ord"])
+
+
+# -- tables -------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT order_key, row, col, rows, cols, text FROM (
+         SELECT o AS order_key, r AS row, 0 AS col, n AS rows, 1 AS cols, 'order ' || o AS text FROM l WHERE r = 0
+         UNION ALL SELECT o, r, 1, 1, 1 + l_linenumber % 3, l_returnflag FROM l
+         UNION ALL SELECT o, r, 2 + l_linenumber % 3, 1, 1, l_linestatus FROM l)""".replace("SELECT order_key", "WITH l AS (SELECT l_orderkey AS o, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1)::INT AS r, count(*) OVER (PARTITION BY l_orderkey)::INT AS n, * FROM lineitem) SELECT order_key", 1)
+)
+def table_grid(spark, sf_dir):
+    """A table an order, its first cell beside all rows: where the cells come to stand."""
+    row = F.concat(F.lit('<td colspan="'), (1 + col("l_linenumber") % 3).cast("string"), F.lit('">'), col("l_returnflag"), F.lit("</td><td>"), col("l_linestatus"), F.lit("</td></tr>"))
+    lines = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))).alias("rows"))
+    first = F.concat(F.lit('<td rowspan="'), F.size("rows").cast("string"), F.lit('">order '), col("l_orderkey").cast("string"), F.lit("</td>"))
+    markup = F.concat(F.lit("<table><tr>"), first, F.array_join(F.transform("rows", lambda r: r["row"]), "<tr>"), F.lit("</table>"))
+    found = tables.cells_of(lines.select("l_orderkey", markup.alias("html")), "l_orderkey")
+    return found.select(col("l_orderkey").alias("order_key"), "row", "col", "rows", "cols", "text")
