@@ -260,7 +260,7 @@ def sketched(df: DataFrame, text_col: str, words: int) -> DataFrame:
 
 
 def shared_shingles(texts: DataFrame, words: int, bucket_entries: int = 1_000_000) -> DataFrame:
-    """Rows (node, cell, df) of texts(node, text, n): each shingle that more than one text holds, by 32 bits of its hash and a bucket.
+    """Rows (node, cell) of texts(node, text, n): each shingle that more than one text holds, as a number of how many hold it (127 at most), a bucket and 32 bits of its hash.
 
     Most shingles stand in one text only and never leave their bucket. A bucket
     is a range of the hash; what goes to it from a batch is one row of packed
@@ -303,12 +303,11 @@ def shared_shingles(texts: DataFrame, words: int, bucket_entries: int = 1_000_00
             first = np.flatnonzero(np.diff(key.astype(np.int64), prepend=-1))
             df = np.diff(np.append(first, len(key)))
             of = np.repeat(df, df)
-            keep = of > 1
-            for i in range(0, int(keep.sum()), 1 << 18):
-                part = slice(i, i + (1 << 18))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(node[keep][part]), pa.array((bucket << 32 | key[keep][part].astype(np.int64))), pa.array(of[keep][part].astype(np.int64))], names=["node", "cell", "df"]
-                )
+            keep = np.flatnonzero(of > 1)
+            for i in range(0, len(keep), 1 << 18):
+                part = keep[i : i + (1 << 18)]
+                cell = np.minimum(of[part], 127) << 56 | bucket << 32 | key[part].astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(node[part]), pa.array(cell)], names=["node", "cell"])
 
         now, held = None, []
         for b in batches:
@@ -325,7 +324,7 @@ def shared_shingles(texts: DataFrame, words: int, bucket_entries: int = 1_000_00
             yield from emit(int(now), held)
 
     packed = texts.select("node", "text").mapInArrow(lambda b: released(pack(b)), "bucket bigint, keys binary, of binary, nodes binary").repartition("bucket").sortWithinPartitions("bucket")
-    return packed.mapInArrow(lambda b: released(unpack(b)), "node bigint, cell bigint, df bigint")
+    return packed.mapInArrow(lambda b: released(unpack(b)), "node bigint, cell bigint")
 
 
 def prefix_cells(texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -337,39 +336,61 @@ def prefix_cells(texts: DataFrame, words: int, similarity: float) -> DataFrame:
     other has, come first; a text with enough of them has nothing to be compared
     by, and passages that many texts hold come last.
     """
-    found = shared_shingles(texts, words).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "cell"))).alias("shared")).join(texts.select("node", "n"), "node")
+    found = shared_shingles(texts, words).groupBy("node").agg(F.array_sort(F.collect_list("cell")).alias("shared")).join(texts.select("node", "n"), "node")
     own = F.greatest(F.col("n") - F.size("shared"), F.lit(0))
     left = F.least(F.col("n") - F.ceil(similarity * F.col("n") - 1e-9) + 1 - own, F.size("shared").cast("bigint"))
     prefix = F.slice("shared", F.lit(1), F.greatest(left, F.lit(0)).cast("int"))
     cells = found.select("node", "n", own.alias("own"), F.posexplode(prefix).alias("k", "s"))
-    return materialize(cells.select(F.col("s.cell").alias("shingle"), "n", (F.col("own") + F.col("k")).alias("at"), "node"))
+    return materialize(cells.select(F.col("s").alias("shingle"), "n", (F.col("own") + F.col("k")).alias("at"), "node"))
 
 
-def pairs_of_cells(similarity: float, neighbours: bool):
-    """mapInArrow function: rows (shingle, block, n, at, node, root) sorted in that order to pairs (u, v) of different roots.
+def pairs_of_cells(similarity: float, forest: bool):
+    """mapInArrow function: rows (shingle, block, n, at, node, root, bits) sorted by these to pairs (u, v) of different roots.
 
     A pair of that similarity passes in the cell of the first shingle that both
-    hold. neighbours: only rows next to each other are paired.
+    hold: by the sizes, by the places, and by the parities, which differ in no
+    more places than the sets do. forest: of each cell only pairs that connect
+    what may be alike, so the output is linear in the rows.
     """
 
     def run(batches):
         import pyarrow as pa
 
         def emit(x):
-            key, n, at, node, root = x["key"], x["n"], x["at"], x["node"], x["root"]
+            key, n, at, node, root, bits = (x[c] for c in ("key", "n", "at", "node", "root", "bits"))
+            tree = np.arange(len(n))
             i, d, ready, size = np.arange(len(n) - 1), 1, [], 0
             while len(i):
                 # sizes rise within a cell, so who is too small for the next is too small for all that follow
                 i = i[(key[i] == key[i + d]).all(axis=1) & (n[i] >= similarity * n[i + d] - 1e-9)]
-                rest = np.minimum(n[i] - at[i], n[i + d] - at[i + d])
-                a = i[(rest >= least_overlap(similarity, n[i] + n[i + d])) & (root[i] != root[i + d])]
+                both = n[i] + n[i + d]
+                least = least_overlap(similarity, both)
+                ok = (np.minimum(n[i] - at[i], n[i + d] - at[i + d]) >= least) & (root[i] != root[i + d])
+                if forest:
+                    ok &= tree[i] != tree[i + d]
+                a = i[ok]
+                a = a[np.bitwise_count(bits[a] ^ bits[a + d]).sum(axis=1, dtype=np.int64) <= (both - 2 * least)[ok]]
+                if forest and len(a):
+                    kept = []
+                    for p in a.tolist():
+                        u, v = p, p + d
+                        while tree[u] != u:
+                            u = tree[u]
+                        while tree[v] != v:
+                            v = tree[v]
+                        if u != v:
+                            tree[max(u, v)] = min(u, v)
+                            kept.append(p)
+                    while (tree[tree] != tree).any():
+                        tree = tree[tree]
+                    a = np.array(kept, np.int64)
                 ready.append(np.stack([np.minimum(node[a], node[a + d]), np.maximum(node[a], node[a + d])], axis=1))
                 size += len(a)
                 if size > 1 << 17:
                     yield np.unique(np.concatenate(ready), axis=0)
                     ready, size = [], 0
                 d += 1
-                i = i[i + d < len(n)] if not neighbours else i[:0]
+                i = i[i + d < len(n)]
             if size:
                 yield np.unique(np.concatenate(ready), axis=0)
 
@@ -379,6 +400,7 @@ def pairs_of_cells(similarity: float, neighbours: bool):
                 continue
             new = {c: b.column(c).to_numpy() for c in ("n", "at", "node", "root")}
             new["key"] = np.stack([b.column("shingle").to_numpy(), b.column("block").to_numpy()], axis=1)
+            new["bits"] = np.frombuffer(b"".join(b.column("bits").to_pylist()), np.uint64).reshape(b.num_rows, -1)
             held = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
             open_ = int(np.flatnonzero((held["key"] == held["key"][-1]).all(axis=1))[0])
             for p in emit({c: x[:open_] for c, x in held.items()}) if open_ else ():
@@ -390,17 +412,30 @@ def pairs_of_cells(similarity: float, neighbours: bool):
     return run
 
 
-def candidates(cells: DataFrame, similarity: float, neighbours: bool, cell_rows: int) -> DataFrame:
-    """Distinct pairs (u, v) of different roots of cells(shingle, n, at, node, root) that may have that similarity.
+def short_parities(texts: DataFrame) -> DataFrame:
+    """(node, bits) of texts(node, bits): parities for 512 slots."""
 
-    Cells of more than cell_rows are cut into blocks, whose neighbours are paired
-    in each block, and whose pairs are taken block by block.
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            bits = [folded(np.frombuffer(x, np.uint8).reshape(1, -1), 64).tobytes() for x in b.column("bits").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(bits, pa.binary())], names=["node", "bits"])
+
+    return texts.select("node", "bits").mapInArrow(run, "node bigint, bits binary")
+
+
+def candidates(cells: DataFrame, parities_of: DataFrame, similarity: float, forest: bool, cell_rows: int) -> DataFrame:
+    """Distinct pairs (u, v) of different roots of cells(shingle, n, at, node, root) that may have that similarity; forest: enough to connect them.
+
+    Cells of more than cell_rows are cut into blocks; a forest is one of each
+    block, pairs are taken block by block.
     """
     counted = cells.groupBy("shingle").agg(F.count("*").alias("rows"), F.min("root").alias("least"), F.max("root").alias("greatest"))
-    if not neighbours:
+    if not forest:
         # a cell of one root has nothing to pair, however large it is
-        cells = cells.join(counted.where("least <> greatest").select("shingle"), "shingle", "left_semi")
         counted = counted.where("least <> greatest")
+        cells = cells.join(counted.select("shingle"), "shingle", "left_semi")
     hot = materialize(counted.where(F.col("rows") > cell_rows).select("shingle", F.ceil(F.col("rows") / cell_rows).cast("int").alias("blocks")))
     zero = F.lit(0).cast("bigint")
     if hot.isEmpty():
@@ -408,11 +443,9 @@ def candidates(cells: DataFrame, similarity: float, neighbours: bool, cell_rows:
     else:
         own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (F.least(own, j).cast("bigint") * F.col("blocks") + F.greatest(own, j)))
-        dealt = cells.join(hot, "shingle", "left").select(
-            *cells.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(F.array(own.cast("bigint")) if neighbours else pair)).alias("block")
-        )
-    dealt = dealt.repartition("shingle", "block").sortWithinPartitions("shingle", "block", "n", "at", "node")
-    return materialize(dealt.mapInArrow(pairs_of_cells(similarity, neighbours), "u bigint, v bigint").distinct())
+        dealt = cells.join(hot, "shingle", "left").select(*cells.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(zero)).otherwise(F.array(own.cast("bigint")) if forest else pair)).alias("block"))
+    dealt = dealt.join(parities_of, "node").repartition("shingle", "block").sortWithinPartitions("shingle", "block", "n", "node")
+    return materialize(dealt.mapInArrow(lambda b: released(pairs_of_cells(similarity, forest)(b)), "u bigint, v bigint").distinct())
 
 
 def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -474,9 +507,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     range join; what a fingerprint of 64 bits cannot tell comes from prefixes:
     classes that share a shingle of their prefixes, the rarest shingles of each,
     meet in its cell. Every
-    candidate is verified on the sets. A first pass pairs only neighbours in the
-    cells, so that the second, which pairs all, need not look inside the groups
-    of many copies that the first has joined. Rows are told apart by a number of
+    candidate is verified on the sets. A first pass takes from a cell only as many
+    pairs as connect it, so that the second, which takes all, need not look
+    inside the groups of many copies that the first has joined. Rows are told apart by a number of
     their own, so repeated ids are no matter.
 
     Texts are not shuffled as long as the rows asked for, or dropped, are few
@@ -490,11 +523,12 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = of_class.select(F.col("_row").alias("node"), F.col(text).alias("text"), F.col("_n").alias("n"), F.col("_bits").alias("bits"))
     cells = prefix_cells(texts, words, similarity)
     prints = near_links(of_class.select(F.col("_fp").alias("fp"), F.col("_row").alias("node")), distance, cell_rows)
-    asked = prints.union(candidates(cells.withColumn("root", F.col("node")), similarity, True, cell_rows)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    short = materialize(short_parities(texts))
+    asked = prints.union(candidates(cells.withColumn("root", F.col("node")), short, similarity, True, cell_rows)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     links = verified(materialize(asked.distinct()), texts, words, similarity)
     roots = materialize(components(links))
     rooted = cells.join(roots, "node", "left").select(*cells.columns, F.coalesce("root", "node").alias("root"))
-    links = links.union(verified(candidates(rooted, similarity, False, cell_rows), texts, words, similarity))
+    links = links.union(verified(candidates(rooted, short, similarity, False, cell_rows), texts, words, similarity))
     roots = components(links).withColumnRenamed("node", "_node")
     rooted = classes.join(roots, F.col("node") == F.col("_node"), "left").select(*keys, F.coalesce("root", "node").alias("root"))
     key = f"_k{docs.columns.index(id_col)}"
