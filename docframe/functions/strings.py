@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import sys
 import unicodedata
 
@@ -15,11 +16,13 @@ def _chars():
     return (chr(n) for n in range(0x80, 0x1E944) if unicodedata.category(chr(n))[0] == "L")
 
 
+@functools.cache
 def _wide_uppers() -> str:
     """Characters whose upper-case form is several characters; as single ones they stay as they are."""
     return "".join(c for c in _chars() if len(c.upper()) > 1)
 
 
+@functools.cache
 def _least_of_orbits() -> tuple[str, str]:
     """Characters and the least character that case folding takes for the same, where it is another one."""
     least: dict[str, str] = {}
@@ -143,9 +146,22 @@ def mirror(s: Column) -> Column:
     return F.translate(s, MIRRORED, "".join(b + a for a, b in zip(MIRRORED[::2], MIRRORED[1::2], strict=True)))
 
 
+@functools.cache
+def _not_left_to_right() -> str:
+    """A class of the characters that make a text bidirectional, by their property."""
+    kinds, found = {"R", "AL", "AN", "RLE", "RLO", "RLI", "LRE", "LRO", "LRI", "FSI", "PDF", "PDI"}, []
+    for n in range(0x590, 0x1F000):
+        if unicodedata.bidirectional(chr(n)) in kinds:
+            if found and found[-1][1] == n - 1:
+                found[-1][1] = n
+            else:
+                found.append([n, n])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in found) + "]"
+
+
 def needs_bidi(s: Column) -> Column:
     """Whether a text has characters that do not run from left to right."""
-    return s.rlike("[֐־׀׃׆׈-׿؀-؅؈؋؍؛-ي٠-٩٫-ٯٱ-ە۝ۥۦۮۯۺ-ܐܒ-ܯݍ-ޥޱ-ߪߴߵߺ-ࠕࠚࠤࠨ࠰-ࡘ࡞-ࣉ‏‪-‮⁦-⁩יִײַ-ﬨשׁ-ﴽﵐ-﷏ﷰ-﷼ﹰ-﻾]")
+    return s.rlike(_not_left_to_right())
 
 
 #: Ranges of characters that a font has to lay out itself. Fixed values.
