@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, table, text_chunks
+from .common import materialize, released, table, text_chunks
 from .word_bpe import WordBpe
 
 SEQ_LEN, END = 4096, 1
@@ -112,9 +112,10 @@ def pieces_of(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 out = [b.column(0).take(pa.array(of, pa.int64())), pa.array(cols[:, 0].astype(np.int32)), *(pa.array(cols[:, i]) for i in (1, 2, 3))]
                 names = ["id", "piece", "start", "length", "crc"]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(parts, pa.binary())] * with_ids, names=names + ["ids"] * with_ids)
+        coder.memo.clear()  # the worker lives on, and may serve others
 
     kind = dict(df.dtypes)[id_col]
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, piece int, start bigint, length bigint, crc bigint" + ", ids binary" * with_ids)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lambda b: released(run(b)), f"id {kind}, piece int, start bigint, length bigint, crc bigint" + ", ids binary" * with_ids)
 
 
 def fullest(room: int, counts: dict[int, int]) -> dict[int, int]:
