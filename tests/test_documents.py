@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 
 from docframe.functions import numbers, sniff, text, urls
 from docframe.operators import dom, markdown
+from docframe.plans import catalogue
 from docframe.sources import containers, crypt, documents, huff, pdf, spreadsheet, stext, svg
 from docframe.streaming import ingest
 
+from tests.oracle import compare
+
 
 def archive(**members):
     b = io.BytesIO()
@@ -309,6 +312,25 @@ def test_rows_that_native_expressions_misread_go_to_the_kernel(spark):
     assert got == {i: dom.node_text(dom.parse(c)) for i, c in enumerate(cases)}
 
 
+def test_references_without_a_semicolon_count_as_asked_for(spark):
+    page = "<html><head><title>a&amp</title></head><body><h1>b &amp &quot</h1><p>c &copy 1 &copy; &quot; &unknown; &#65 &#65; &ampx"
+    assert dom.node_text(dom.parse(page)) == 'b & "\nc © 1 © " &unknown; A A &x'
+    assert dom.node_text(dom.parse(page, ("amp",))) == 'b & &quot\nc &copy 1 © " &unknown; &#65 A &x'
+    rows = spark.createDataFrame([(1, page.encode())], "k long, content binary")
+    assert documents.metadata(rows, "k").first().title == "a&" and documents.metadata(rows, "k", unended=()).first().title == "a&amp"
+    assert documents.outline(rows, "k", unended=("amp",)).first().title == "b & &quot"
+    assert documents.text(rows, "k").first().text == dom.node_text(dom.parse(page)) and documents.text(rows, "k", unended=("amp",)).first().text == dom.node_text(dom.parse(page, ("amp",)))
+    html = spark.createDataFrame([(1, page)], "k long, html string")
+    assert dom.text_by_either(html, "k", unended=("amp",)).first().text == dom.text_of(html, "k", unended=("amp",)).first().text == dom.node_text(dom.parse(page, ("amp",)))
+
+
+@pytest.mark.parametrize("name", ["page_text", "page_text_kernel", "content_text", "content_outline", "content_metadata"])
+def test_cut_references_are_read_as_the_sql_reads_them(spark, tmp_path, name):
+    pages = ["<html><head><title>x&amp</title></head><body><h1>a &quot</h1><p>b &amp", "<html><head><title>y</title></head><body><h1>a &copy</h1><p>b &quot; &am"]
+    spark.createDataFrame(list(enumerate(pages)), "page_id long, html string").withColumn("url", F.lit("http://a/")).write.parquet(str(tmp_path / "pages.parquet"))
+    compare(spark, lambda s, _: catalogue.QUERIES[name](s, str(tmp_path)), catalogue.ORACLE_SQL[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'"))
+
+
 def test_masked_fonts_are_unmasked():
     font, key = bytes(range(256)) * 8, hashlib.sha1(b"urn:1").digest()
     masked = bytes(c ^ key[i % 20] if i < 1040 else c for i, c in enumerate(font))
