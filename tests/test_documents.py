@@ -331,6 +331,12 @@ def test_cut_references_are_read_as_the_sql_reads_them(spark, tmp_path, name):
     compare(spark, lambda s, _: catalogue.QUERIES[name](s, str(tmp_path)), catalogue.ORACLE_SQL[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'"))
 
 
+def test_a_title_far_into_a_page_is_found(spark):
+    page = " " * 3000 + "<!DOCTYPE html><html><head><script>" + "x" * 70000 + "</script><title>Far</title></head><body>a"
+    book = containers.open_book(page.encode())
+    assert (book.kind, book.metadata["title"]) == ("html", "Far")
+
+
 def test_masked_fonts_are_unmasked():
     font, key = bytes(range(256)) * 8, hashlib.sha1(b"urn:1").digest()
     masked = bytes(c ^ key[i % 20] if i < 1040 else c for i, c in enumerate(font))
