@@ -331,6 +331,13 @@ def test_cut_references_are_read_as_the_sql_reads_them(spark, tmp_path, name):
     compare(spark, lambda s, _: catalogue.QUERIES[name](s, str(tmp_path)), catalogue.ORACLE_SQL[name].replace("FROM pages", f"FROM '{tmp_path}/pages.parquet/*.parquet'"))
 
 
+@pytest.mark.parametrize("name", ["epub_text", "pptx_text", "docx_text", "fb2_text", "mobi_text", "svg_text", "script_of", "pdf_text", "pdf_lines", "pdf_blocks"])
+def test_empty_texts_are_read_as_the_sql_reads_them(spark, tmp_path, name):
+    rows = [(0, ""), (1, None), (2, " \n \n"), (3, "one"), (4, "a b\n\nc\nd"), (5, "\n")]
+    spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s")}).write.parquet(str(tmp_path / "documents.parquet"))
+    compare(spark, lambda s, _: catalogue.QUERIES[name](s, str(tmp_path)), catalogue.ORACLE_SQL[name].replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+
+
 def test_a_title_far_into_a_page_is_found(spark):
     page = " " * 3000 + "<!DOCTYPE html><html><head><script>" + "x" * 70000 + "</script><title>Far</title></head><body>a"
     book = containers.open_book(page.encode())
