@@ -8,7 +8,7 @@ from docframe.functions import colour, cssvalues, dates, geometry, strings
 from docframe.operators import tables
 from docframe.plans import builders
 from docframe.plans.formats import _LINES, made
-from docframe.plans.registry import query, read
+from docframe.plans.registry import dealt, query, read
 from docframe.sources import documents, vector
 
 col = F.col
@@ -480,7 +480,7 @@ def pdf_layers(spark, sf_dir):
 def table_grid(spark, sf_dir):
     """A table an order, its first cell beside all rows: where the cells come to stand."""
     row = F.concat(F.lit('<td colspan="'), (1 + col("l_linenumber") % 3).cast("string"), F.lit('">'), col("l_returnflag"), F.lit("</td><td>"), col("l_linestatus"), F.lit("</td></tr>"))
-    lines = _lines(spark, sf_dir).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))).alias("rows"))
+    lines = dealt(_lines(spark, sf_dir), "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", row.alias("row")))).alias("rows"))
     first = F.concat(F.lit('<td rowspan="'), F.size("rows").cast("string"), F.lit('">order '), col("l_orderkey").cast("string"), F.lit("</td>"))
     markup = F.concat(F.lit("<table><tr>"), first, F.array_join(F.transform("rows", lambda r: r["row"]), "<tr>"), F.lit("</table>"))
     found = tables.cells_of(lines.select("l_orderkey", markup.alias("html")), "l_orderkey")
