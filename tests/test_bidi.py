@@ -1,6 +1,12 @@
+import random
+import unicodedata
+
 import pytest
 
 from docframe.operators import bidi
+from docframe.plans import catalogue
+
+from tests.oracle import SF
 
 
 @pytest.mark.parametrize(
@@ -25,3 +31,21 @@ def test_visual_order():
 )
 def test_breaks(text, want):
     assert [i for i, _ in bidi.line_breaks(text)] == want
+
+
+def test_patterns_give_the_levels_of_the_rules():
+    rng = random.Random(7)
+    for _ in range(3000):
+        t = "".join(rng.choice("aZ אבلم٣12 ,.+-$%:/\t\nǹ!(") for _ in range(rng.randint(0, 12)))
+        base = rng.choice((None, 0, 1))
+        assert bidi.levels(t, base) == bidi._general(t, base)
+
+
+def test_a_class_is_asked_for_once_a_character(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(bidi, "unicodedata", type("U", (), {"bidirectional": staticmethod(lambda c: asked.append(c) or unicodedata.bidirectional(c))}))
+    bidi._CLASSES.clear()
+    assert bidi.visual("car " * 500 + "שלום") == "car " * 500 + "םולש"
+    assert len(asked) == len(set(asked))
+    for name in ("visual_order", "bidi_runs"):
+        assert "to_json" not in catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().toString()
