@@ -6,6 +6,8 @@ would keep state, so Spark plans and distributes them.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +78,49 @@ def islands(df: DataFrame, part: list[str], order: list[str], breaks: Column, na
     return df.withColumn("_b", F.coalesce(breaks, F.lit(True)).cast("int")).withColumn(name, F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
 
 
+def merged_intervals(df: DataFrame, part: str, low: str, high: str) -> DataFrame:
+    """(part, island, start, stop, n): the closed intervals [low, high] of a part, joined where they meet, numbered in order.
+
+    Of intervals that begin together the order makes no difference, so no row
+    carries more than its two ends. Rows are dealt as in paginate and sorted;
+    one pass holds the island it is in and nothing else. A missing low end stands first, a missing high end adds nothing.
+    """
+    rows = df.select(part, F.col(low).cast("bigint").alias("start"), F.col(high).cast("bigint").alias("stop"))
+    kind = dict(df.dtypes)[part]
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, out = None, []  # part, island, start, stop, n
+
+        def emit(most):
+            cols = zip(*out[:most], strict=True)
+            b = pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, arrow, strict=True)], names=[part, "island", "start", "stop", "n"])
+            del out[:most]
+            return b
+
+        for b in batches:
+            arrow = [b.schema.types[0], *[pa.int64()] * 4]
+            for key, s, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now is None or key != now[0]:
+                    now = [key, 1, s, e, 1]
+                    out.append(now)
+                elif s is not None and now[3] is not None and s <= now[3]:
+                    now[4] += 1
+                    now[2] = s if now[2] is None else now[2]
+                    now[3] = now[3] if e is None or e < now[3] else e
+                else:
+                    now = [key, now[1] + 1, s, e, 1]
+                    out.append(now)
+            if len(out) > 1:  # the last may go on in the next batch
+                yield emit(len(out) - 1)
+        if out:
+            yield emit(1)
+
+    dealt = rows.repartition(_enough(df), part).sortWithinPartitions(part, "start", "stop")
+    return dealt.mapInArrow(run, f"{part} {kind}, island bigint, start bigint, stop bigint, n bigint")
+
+
 def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     one = df.groupBy(*keys).agg(F.min_by(F.struct(*(c for c in df.columns if c not in keys)), F.struct(*order)).alias("_r"))
@@ -83,23 +128,56 @@ def first_wins(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def paginate(df: DataFrame, part: str, order: str, height: str, page_height: float) -> DataFrame:
-    """Adds ``page``: spans in order fill pages greedily; a span is never cut and a page never empty."""
-    fields = f"{order} bigint, {height} double"
+    """Adds ``page``: spans in order fill pages greedily; a span is never cut and a page never empty.
 
-    def fold(key, table):
-        import pyarrow as pa
+    Rows are dealt by part over partitions that adaptive execution keeps and
+    sorted; one pass over a partition carries the page from batch to batch, so
+    a part of any length needs no memory, and a short one no call of its own.
+    """
+    return _paged(_spans(df, part, order, height), part, order, height, page_height)
 
-        table = table.sort_by(order)
-        page, used, pages = 0, 0.0, []
-        for h in table.column(height).to_pylist():
-            if used > 0 and used + h > page_height:
-                page, used = page + 1, 0.0
-            used += h
-            pages.append(page)
-        return pa.table({part: table.column(part), order: table.column(order), height: table.column(height), "page": pa.array(pages, pa.int32())})
 
-    kind = dict(df.dtypes)[part]
-    return df.select(part, F.col(order).cast("bigint").alias(order), F.col(height).cast("double").alias(height)).groupBy(part).applyInArrow(fold, f"{part} {kind}, {fields}, page int")
+def paginate_numbered(df: DataFrame, part: str, by: list[str], height: str, page_height: float, line: str = "line") -> DataFrame:
+    """(part, line, height, page): the same where spans are not numbered yet but ordered by columns; numbers begin at 0."""
+    dealt = df.select(part, *by, F.col(height).cast("double").alias(height)).repartition(_enough(df), part).sortWithinPartitions(part, *by)
+    return _paged(dealt.select(part, F.lit(None).cast("bigint").alias(line), height), part, line, height, page_height, number=True)
+
+
+def _spans(df: DataFrame, part: str, order: str, height: str) -> DataFrame:
+    rows = df.select(part, F.col(order).cast("bigint").alias(order), F.col(height).cast("double").alias(height))
+    return rows.repartition(_enough(df), part).sortWithinPartitions(part, order)
+
+
+def _enough(df: DataFrame, most: int = 8 << 20) -> int:
+    """Partitions to deal over: those of the session, and more where the plan's size asks for it."""
+    planned = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(planned, min(size // most, 4096)) if size < 1 << 50 else planned  # beyond that it is not known
+
+
+def _paged(rows: DataFrame, part: str, order: str, height: str, page_height: float, number: bool = False) -> DataFrame:
+    """number: the order's numbers are made here."""
+    kind = dict(rows.dtypes)[part]
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, line, page, used, begun = None, 0, 0, 0.0, False
+        for b in batches:
+            pages, lines = [], []
+            for key, h in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                h = math.nan if h is None else h  # as a sum with null: no page ends after it
+                if not begun or key != now:
+                    now, line, page, used, begun = key, 0, 0, 0.0, True
+                elif used > 0 and used + h > page_height:
+                    page, used = page + 1, 0.0
+                used += h
+                pages.append(page)
+                lines.append(line)
+                line += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lines, pa.int64()) if number else b.column(1), b.column(2), pa.array(pages, pa.int32())], names=[part, order, height, "page"])
+
+    return rows.mapInArrow(run, f"{part} {kind}, {order} bigint, {height} double, page int")
 
 
 def paginate_rows(df: DataFrame, part: str, heights: str, page_height: float) -> DataFrame:
