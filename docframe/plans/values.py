@@ -463,9 +463,7 @@ def pdf_pages(spark, sf_dir):
 @query("SELECT doc_id, unnest([0, 1]) AS ord, unnest(['Shown', 'Hidden']) AS name, unnest([true, false]) AS shown, unnest([false, false]) AS switched FROM documents")
 def pdf_layers(spark, sf_dir):
     """Layers as the file has them, and after one is switched off."""
-    files = made(spark, sf_dir, builders.pdf)
-    off = documents.layers(files, "doc_id", switch={"Shown": False}).select("doc_id", "ord", F.col("shown").alias("switched"))
-    return documents.layers(files, "doc_id").join(off, ["doc_id", "ord"])
+    return documents.layers(made(spark, sf_dir, builders.pdf), "doc_id", after={"switched": {"Shown": False}})
 
 
 # -- tables -------------------------------------------------------------------------------------

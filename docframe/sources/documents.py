@@ -8,11 +8,13 @@ fail a task.
 
 from __future__ import annotations
 
-from collections.abc import Collection
+from collections.abc import Callable, Collection
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docframe import batches
 from docframe.functions.sniff import container_kind, kind_of
 
 MOST_BYTES = 1 << 30
@@ -27,37 +29,49 @@ def files(spark: SparkSession, path: str, pattern: str = "*", most_bytes: int =
     return read.union(left)
 
 
-#: Rows that a kernel holds back for a record batch.
-_ROWS = 4096
+@dataclass(frozen=True)
+class Made:
+    """Files that a function makes of the columns of a row, in the kernel that reads them: they are never a column, so one is held at a time."""
 
+    rows: DataFrame
+    columns: tuple[str, ...]
+    of: Callable[..., bytes]
 
-def _explode(df: DataFrame, key: str, content: str, schema: str, rows_of) -> DataFrame:
-    kind = dict(df.dtypes)[key]
-    full = f"{key} {kind}, {schema}"
-    from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], full).schema)
+#: Rows, and bytes read, at which a kernel hands on a record batch.
+_ROWS, _BYTES = 4096, 4 << 20
 
-    def run(batches):
-        import pyarrow as pa
 
-        held: list[tuple] = []
+def _explode(df: DataFrame | Made, key: str, content: str, schema: str, rows_of) -> DataFrame:
+    rows, columns, of = (df.rows, df.columns, df.of) if isinstance(df, Made) else (df, (content,), lambda data: data or b"")
+    full = f"{key} {dict(rows.dtypes)[key]}, {schema}"
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    spark = rows.sparkSession
+    batches.small(spark)
+    arrow = to_arrow_schema(spark.createDataFrame([], full).schema)
 
-        def emit():
-            cols = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(cols, arrow, strict=True)], schema=arrow)
+    def run(given):
+        import pyarrow as pa
 
-        for b in batches:
-            for k, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                held += [(k, *r) for r in rows_of(data.as_py() or b"")]
-                if len(held) >= _ROWS:
-                    yield emit()
-                    held = []
+        def emit(keys, at, held):
+            return pa.RecordBatch.from_arrays([keys.take(pa.array(at, pa.int64())), *(pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), list(arrow)[1:], strict=True))], schema=arrow)
+
+        for b in given:
+            at, held, size = [], [], 0
+            for k, row in enumerate(zip(*b.columns[1:], strict=True)):
+                data = of(*(x.as_py() for x in row))
+                size += len(data)
+                found = rows_of(data)
+                held += found
+                at += [k] * (len(held) - len(at))
+                if len(held) >= _ROWS or held and size >= _BYTES:
+                    yield emit(b.column(0), at, held)
+                    at, held, size = [], [], 0
             if held:
-                yield emit()
-                held = []
+                yield emit(b.column(0), at, held)
 
-    return df.select(key, content).mapInArrow(run, full)
+    return rows.select(key, *columns).mapInArrow(run, full)
 
 
 def _book(data: bytes, unended: Collection[str] | None = None, texts: bool = True):
@@ -123,13 +137,16 @@ def cells(df: DataFrame, key: str = "path", content: str = "content") -> DataFra
     return _explode(df, key, content, schema, lambda d: [(c.sheet, c.row, c.col, c.type, c.raw, c.format, c.text, c.colspan, c.rowspan) for c in _book(d).cells])
 
 
-def _pdf(data: bytes):
+def _file(data: bytes):
     from docframe.sources import pdf
 
-    if not pdf.is_pdf(data):
-        return None, []
-    f = pdf.File(data)
-    return (None, []) if "Encrypt" in f.trailer and f.security is None else (f, f.pages())
+    f = pdf.File(data) if pdf.is_pdf(data) else None
+    return None if f is None or "Encrypt" in f.trailer and f.security is None else f
+
+
+def _pdf(data: bytes):
+    f = _file(data)
+    return (None, []) if f is None else (f, f.pages())
 
 
 def chars(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
@@ -210,22 +227,29 @@ def pages(df: DataFrame, key: str = "path", content: str = "content", dpi: float
     def rows(data):
         from docframe.sources import pdf_pages
 
-        f, _ = _pdf(data)
+        f = _file(data)
         return pdf_pages.pages(f, dpi) if f is not None else []
 
     return _explode(df, key, content, schema, rows)
 
 
-def layers(df: DataFrame, key: str = "path", content: str = "content", event: str = "view", switch: dict[str, bool] | None = None) -> DataFrame:
-    """Optional content groups of PDF files and whether they are on, for an event and after switching some by name."""
+def layers(df: DataFrame, key: str = "path", content: str = "content", event: str = "view", switch: dict[str, bool] | None = None, after: dict[str, dict[str, bool]] | None = None) -> DataFrame:
+    """Optional content groups of PDF files and whether they are on, for an event and after switching some by name.
+
+    after: columns of their own, which say the same after further switches, from one reading of the file.
+    """
+    after = after or {}
 
     def rows(data):
         from docframe.sources import pdf_pages
 
-        f, _ = _pdf(data)
-        return pdf_pages.Layers(f, event).switch(switch or {}).rows() if f is not None else []
+        f = _file(data)
+        if f is None:
+            return []
+        found = [pdf_pages.Layers(f, event).switch(switch or {}).switch(more).rows() for more in ({}, *after.values())]
+        return [(*first, *(shown for *_, shown in others)) for first, *others in zip(*found, strict=True)]
 
-    return _explode(df, key, content, "ord int, name string, shown boolean", rows)
+    return _explode(df, key, content, ", ".join(("ord int, name string, shown boolean", *(f"{c} boolean" for c in after))), rows)
 
 
 def annotations(df: DataFrame, key: str = "path", content: str = "content", event: str = "view") -> DataFrame:

@@ -1,5 +1,6 @@
 from docframe.operators import relations
-from docframe.plans import catalogue
+from docframe.plans import builders, catalogue
+from docframe.sources import pdf
 
 from tests.oracle import SF
 
@@ -29,3 +30,22 @@ def test_islands_go_on_from_batch_to_batch(spark):
     rows = [(1, 2 * k, 2 * k + 2) for k in range(25_000)] + [(2, 9, 11), (2, 1, 4), (2, 5, 6), (2, 4, 5), (2, None, 8)]
     got = sorted(map(tuple, relations.merged_intervals(spark.createDataFrame(rows, "p long, a long, b long"), "p", "a", "b").collect()))
     assert got == [(1, 1, 0, 50_000, 25_000), (2, 1, 1, 8, 4), (2, 2, 9, 11, 1)]
+
+
+def test_files_are_made_where_they_are_read(spark):
+    for name in ("pdf_layers", "pdf_pages", "pdf_links", "svg_metadata", "fb2_metadata", "epub_metadata"):
+        plan = _plan(spark, name)
+        assert plan.count("MapInArrow") == 1 and "Join" not in plan and "Exchange" not in plan
+
+
+def test_batches_to_kernels_are_bounded(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    catalogue.QUERIES["page_markdown"](spark, SF)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m"
+
+
+def test_objects_of_a_file_without_object_streams_wait_until_asked_for():
+    data = builders.pdf(1, "a line\n" * 100, "en", "s")
+    f = pdf.File(data)
+    assert not f.cache and len(f.pages()) == 3
+    assert pdf.File(data.replace(b"/Type /OCG", b"/Type /Obj#53tm", 1)).cache
