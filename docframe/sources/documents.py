@@ -264,8 +264,10 @@ def annotations(df: DataFrame, key: str = "path", content: str = "content", even
     return _explode(df, key, content, "page int, ord int, subtype string, rect array<double>, drawn boolean", rows)
 
 
-def styles(df: DataFrame, key: str = "path", content: str = "content") -> DataFrame:
-    """Computed styles of the parts of a book, with the sheets that they link and that these import."""
+def styles(df: DataFrame, key: str = "path", content: str = "content", tags: Collection[str] | None = None, properties: Collection[str] | None = None) -> DataFrame:
+    """Computed styles of the parts of a book, with the sheets that they link and that these import; all, or those of some tags and properties."""
+    asked = None if properties is None else frozenset(properties)
+    of = None if tags is None else frozenset(tags)
 
     def rows(data):
         from docframe.operators import css, dom
@@ -281,7 +283,7 @@ def styles(df: DataFrame, key: str = "path", content: str = "content") -> DataFr
                 path = rel(base or at, href)
                 return (decode(found[path].data), path) if path in found else None
 
-            out += [(part.path, *r) for r in css.computed(root, css.sheets_of(root, load))]
+            out += [(part.path, *r) for r in css.computed(root, css.sheets_of(root, load)) if (of is None or r[1] in of) and (asked is None or r[2] in asked)]
         return out
 
     return _explode(df, key, content, "part string, pre int, tag string, property string, value string", rows)
