@@ -34,7 +34,11 @@ from .word_bpe import WordBpe
 SEQ_LEN, END = 4096, 1
 #: Words kept in a worker's memo of encodings before it starts anew.
 MEMO_WORDS = 300_000
-_ENDS_IN_PUNCTUATION = re.compile(rb"(.*[a-z0-9])([!-&(-/:-@\[-`{-~]+)", re.S)
+#: ASCII punctuation but for the apostrophe.
+_PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+#: One such character between a letter or digit and white space.
+_LAST_OF_WORD = re.compile(rb"([!-&(-/:-@\[-`{-~])(?<=[a-z0-9].)(?=[ \n])")
+_LETTERS_DIGITS = frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 class WordEncoder:
@@ -54,14 +58,22 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        memo, fast = self.memo, self.words
-        split = {w: m.groups() for w in words if not 97 <= w[-1] <= 122 and (m := _ENDS_IN_PUNCTUATION.fullmatch(w))}
-        new = {w for w in (words - split.keys()) | {p for pair in split.values() for p in pair} if w not in memo}
-        plain = [w for w in new if fast.takes(w)] if fast.fits else []
+        memo, fast, split = self.memo, self.words, []
+        new = set(filter(bytes.isalpha, words))
+        for w in words - new:
+            stem = w.rstrip(_PUNCTUATION)
+            if stem != w and stem and stem[-1] in _LETTERS_DIGITS:
+                split.append((w, stem, w[len(stem) :]))
+            else:
+                new.add(w)
+        for _, *parts in split:
+            new.update(parts)
+        new.difference_update(memo)
+        plain = sorted(filter(fast.takes, new), key=len) if fast.fits else []
         memo.update(zip(plain, fast.encode(plain), strict=True))
         rest = list(new.difference(plain))
         memo.update(zip(rest, self.ids([w.decode() for w in rest]), strict=True))
-        for w, (stem, end) in split.items():
+        for w, stem, end in split:
             memo[w] = memo[stem] + memo[end]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -69,17 +81,12 @@ class WordEncoder:
         for i in range(0, len(texts), 512):
             part = texts[i : i + 512]
             # special tokens are matched in the text as it stands, before case is folded
-            split = [None if b"<|" in t else t.lower().split() for t in part]
+            split = [None if b"<|" in t else _LAST_OF_WORD.sub(rb" \1", t.lower()).split() for t in part]
             if len(self.memo) > MEMO_WORDS:
                 self.memo.clear()
-            get = self.memo.get
-            found = [None if ws is None else list(map(get, ws)) for ws in split]
-            self.learn({w for ws, ids in zip(split, found, strict=True) if ids is not None and None in ids for w, x in zip(ws, ids, strict=True) if x is None})
-            for t, ws, ids in zip(part, split, found, strict=True):
-                if ids is None:
-                    out.append(self.ids([t.decode()])[0])
-                else:
-                    out.append(b"".join(ids if None not in ids else [x if x is not None else get(w) for w, x in zip(ws, ids, strict=True)]))
+            self.learn(set().union(*filter(None, split)).difference(self.memo))
+            get = self.memo.__getitem__
+            out += [self.ids([t.decode()])[0] if ws is None else b"".join(map(get, ws)) for t, ws in zip(part, split, strict=True)]
         return out
 
 

@@ -86,17 +86,13 @@ class WordBpe:
         return out.reshape(a.shape)
 
     def takes(self, word: bytes) -> bool:
-        return len(word) <= LONGEST and LETTERS.fullmatch(word) is not None
+        return len(word) <= LONGEST and (word.islower() and word.isalpha() or LETTERS.fullmatch(word) is not None)
 
     def encode(self, words: list[bytes]) -> list[bytes]:
-        """Ids as packed little-endian 32-bit words, of words that takes() accepts."""
-        folded = [_CAPITALS.sub(lambda m: bytes([m[0][0], m[0][1] + 32]), w) if b"\xc3" in w else w for w in words]
-        order = sorted(range(len(words)), key=lambda i: len(folded[i]))
-        out: list[bytes] = [b""] * len(words)
-        for i in range(0, len(order), 8192):
-            part = order[i : i + 8192]
-            for k, ids in zip(part, self._batch([folded[k] for k in part]), strict=True):
-                out[k] = ids
+        """Ids as packed little-endian 32-bit words, of words that takes() accepts; words of like length together are faster."""
+        out: list[bytes] = []
+        for i in range(0, len(words), 8192):
+            out += self._batch([_CAPITALS.sub(lambda m: bytes([m[0][0], m[0][1] + 32]), w) if b"\xc3" in w else w for w in words[i : i + 8192]])
         return out
 
     def _batch(self, words: list[bytes]):
@@ -120,10 +116,10 @@ class WordBpe:
                     break
             here = np.arange(len(rows))
             w[here, pos] = self.made[best]
-            cols = np.arange(w.shape[1] - 1)
-            w = np.take_along_axis(w, cols + (cols > pos[:, None]), axis=1)
-            cols = cols[:-1]
-            rank = np.take_along_axis(rank, cols + (cols > pos[:, None]), axis=1) if len(cols) else np.full((len(rows), 1), _NONE, np.int32)
+            # the right half of the pair goes, and a rank with it: that of the pair, as those beside it are found anew
+            stay = np.arange(rank.shape[1]) != pos[:, None]
+            w = np.concatenate([w[:, :1], w[:, 1:][stay].reshape(len(rows), -1)], axis=1)
+            rank = rank[stay].reshape(len(rows), -1) if rank.shape[1] > 1 else np.full((len(rows), 1), _NONE, np.int32)
             if w.shape[1] == 1:
                 w = np.concatenate([w, np.full((len(rows), 1), -1, np.int32)], axis=1)
             for p, ok in ((pos, pos < rank.shape[1]), (pos - 1, pos > 0)):

@@ -32,6 +32,20 @@ def test_encoder_equals_the_tokenizer(reference):
         assert np.frombuffer(ids, "<u4").tolist() == reference(t), t
 
 
+def test_words_are_learned_without_their_punctuation(reference):
+    coder = P.WordEncoder(P.vocabulary())
+    text = "alpha, beta. alpha. 'tis, it's; \u00e9, x1)\nbeta!\ty?! e\u0301, (z) a<b> c=\u0338 d| |e ok\u00e9. end."
+    assert np.frombuffer(coder.encode([text.encode()])[0], "<u4").tolist() == reference(text)
+    assert {b"alpha", b"beta", b","} <= coder.memo.keys() and not {b"alpha,", b"alpha.", b"beta."} & coder.memo.keys()
+
+
+def test_words_of_all_lengths_are_encoded_together(reference):
+    rng = random.Random(6)
+    coder = P.WordEncoder(P.vocabulary())
+    words = sorted({"".join(rng.choice("etaoinsrhlé") for _ in range(rng.randrange(1, 24))) for _ in range(3000)} | set("aeé"), key=lambda w: len(w.encode()))
+    assert [np.frombuffer(x, "<u4").tolist() for x in coder.words.encode([w.encode() for w in words])] == [reference(w) for w in words]
+
+
 def test_fullest_is_the_fullest():
     rng = random.Random(4)
     for _ in range(100):
