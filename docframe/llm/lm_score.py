@@ -34,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks_for, fold, materialize, table, utf8
+from .common import blocks_for, fold, give_back, materialize, released, table, utf8
 
 #: Symbols: 256 bytes and the boundary.
 EDGE, SYMBOLS, ORDER = 256, 257, 5
@@ -42,8 +42,11 @@ EDGE, SYMBOLS, ORDER = 256, 257, 5
 SHARED = 2
 #: Kinds of lists.
 WORDS, STRINGS, SHORT = 0, 1, 2
-_SLICE = 4 << 20
+#: Bytes of text that are worked on at once: each takes some 60 more meanwhile.
+_SLICE = 1 << 20
 _LIST = 250_000
+#: Keys that wait for a merge.
+_WAITING = 1_000_000
 
 
 def symbols(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,28 +92,25 @@ class Index:
     """Places of integer keys, by hash tables: what collides in one goes to the next."""
 
     def __init__(self, keys: np.ndarray):
-        self.tables, place = [], np.arange(len(keys), dtype=np.int32)
-        while len(keys):
-            bits = max(4, int(2 * len(keys)).bit_length())
+        self.keys, self.tables, place = keys, [], np.arange(len(keys), dtype=np.int32)
+        while len(place):
+            bits = max(4, int(2 * len(place)).bit_length())
             mix = np.uint64((0x9E3779B97F4A7C15 + 0xD1342543DE82EF94 * len(self.tables)) & 0xFFFFFFFFFFFFFFFF | 1)
-            slot = ((keys.astype(np.uint64) * mix) >> np.uint64(64 - bits)).astype(np.int64)
-            _, keep = np.unique(slot, return_index=True)
-            table, places = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
-            table[slot[keep]], places[slot[keep]] = keys[keep], place[keep]
-            self.tables.append((mix, np.uint64(64 - bits), table, places))
-            left = np.ones(len(keys), bool)
-            left[keep] = False
-            keys, place = keys[left], place[left]
+            slot = ((keys[place].astype(np.uint64) * mix) >> np.uint64(64 - bits)).astype(np.int64)
+            places = np.full(1 << bits, -1, np.int32)
+            places[slot] = place  # one of those that meet stays
+            self.tables.append((mix, np.uint64(64 - bits), places))
+            place = place[places[slot] != place]
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Places, -1 for keys that are none."""
         out, todo = np.full(len(keys), -1, np.int32), None
-        for mix, shift, table, places in self.tables:
+        for mix, shift, places in self.tables:
             k = keys if todo is None else keys[todo]
-            slot = ((k.astype(np.uint64) * mix) >> shift).astype(np.int64)
-            there = table[slot]
-            hit, clash = np.flatnonzero(there == k), np.flatnonzero((there != k) & (there >= 0))
-            out[hit if todo is None else todo[hit]] = places[slot[hit]]
+            at = places[((k.astype(np.uint64) * mix) >> shift).astype(np.int64)]
+            there, same = at >= 0, self.keys[at] == k
+            hit, clash = np.flatnonzero(there & same), np.flatnonzero(there & ~same)
+            out[hit if todo is None else todo[hit]] = at[hit]
             todo = clash if todo is None else todo[clash]
             if not len(todo):
                 break
@@ -199,10 +199,13 @@ def text_scores(data: np.ndarray, at: np.ndarray, log_p) -> np.ndarray:
 
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys, sorted, and the sums of their counts."""
-    if not parts:
+    if not sum(len(c) for c, _ in parts):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    key, at = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
-    return key, np.bincount(at, weights=np.concatenate([n for _, n in parts]), minlength=len(key)).astype(np.int64)
+    key, n = np.concatenate([c for c, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64)
+    order = np.argsort(key, kind="stable")  # the parts are sorted
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
 
 
 def _row(kind: int, bucket: int, block: int, keys, values: np.ndarray, counts: np.ndarray | None = None):
@@ -257,7 +260,7 @@ def _count(buckets: int):
         yield _row(SHORT, -1, block, code[:0], n[:0], np.array([ends]))
 
     def run(batches):
-        now, state = None, None
+        now, state, waiting = None, None, 0
         for b in batches:
             data, at = utf8(b.column("text"))
             block, learn = b.column("block").to_numpy(), b.column("learn").to_numpy(zero_copy_only=False).astype(bool)
@@ -268,7 +271,7 @@ def _count(buckets: int):
                 if block[first] != now:
                     if state is not None:
                         yield from lists(now, *state)
-                    now, state = int(block[first]), [Counter(), [], [], 0]
+                    now, state, waiting = int(block[first]), [Counter(), [], [], 0], 0
                 words, strings, short, _ = state
                 for i, j in _slices(at[first : last + 1]):
                     rows = np.arange(first + i, first + j)
@@ -284,12 +287,14 @@ def _count(buckets: int):
                         part = data[at[rows[0]] : at[rows[-1] + 1]] if len(mine) == len(rows) else np.concatenate([data[:0], *(data[at[k] : at[k + 1]] for k in mine)])
                         code, n = grams(part, np.concatenate([[0], np.cumsum(size)]))
                         strings.append((code, n * weight))
+                        waiting += len(code)
                         if weight:
                             short.append(merged([(code % SYMBOLS ** (SHARED + 1), n)]))
                     state[3] += int(np.count_nonzero(learn[rows]))
-                    if len(strings) > 8:
+                    if waiting > _WAITING:
                         state[1] = strings = [merged(strings)]
                         state[2] = short = [merged(short)]
+                        waiting = 0
         if state is not None:
             yield from lists(now, *state)
 
@@ -326,7 +331,7 @@ def _sum(batches):
             else:
                 held.append((keys, n))
                 waiting += len(keys)
-                if waiting > 4_000_000 and len(held) > 1:
+                if waiting > _WAITING and len(held) > 1:
                     held = [merged(held)]
                     waiting = 0
     if now is not None:
@@ -364,6 +369,47 @@ def _serve(shared):
     return run
 
 
+def _score(ends: int):
+    """Function of a block's texts and answered lists: the columns of each text."""
+    of_end = float(np.log10(ends + 0.5))
+
+    def run(texts, lists):
+        import pyarrow as pa
+
+        count, codes, logs = {}, [np.zeros(0, np.int64)], [np.zeros(0)]
+        for b in lists.to_batches():
+            for k, keys, values in zip(b.column("kind").to_pylist(), b.column("keys"), b.column("values"), strict=True):
+                if k == WORDS:
+                    count.update(zip(_keys(k, keys.as_py()), np.frombuffer(values.as_py(), np.int64).tolist(), strict=True))
+                else:
+                    codes.append(_keys(k, keys.as_py()))
+                    logs.append(np.frombuffer(values.as_py(), np.float64))
+        codes, logs = np.concatenate(codes), np.concatenate(logs)
+        place, get, found = Index(codes), count.__getitem__, [np.zeros((4, 0))]
+        for b in texts.to_batches():
+            data, at = utf8(b.column("text"))
+            rows = len(at) - 1
+            tokens, known, log = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
+            for k in range(rows):
+                w = data[at[k] : at[k + 1]].tobytes().lower().split()
+                c = np.fromiter(map(get, w), np.float64, len(w))
+                tokens[k], known[k] = len(w) + 1, np.count_nonzero(c) + (ends > 0)
+                log[k] = np.log10(c + 0.5).sum() + of_end
+            found.append(np.array([tokens, known, log, text_scores(data, at, lambda code: logs[place.find(code)]) if rows else np.zeros(0)]))
+        tokens, known, log, score = np.concatenate(found, axis=1)
+        columns = [texts.column("id"), texts.column("learn"), *map(pa.array, (tokens.astype(np.int64), known.astype(np.int64), log, score))]
+        del count, get, codes, logs, place
+        give_back()
+        return pa.table(columns, names=["id", "learn", "n_tokens", "n_known", "word_log", "score"])
+
+    return run
+
+
+def _freed(kernel):
+    """The mapInArrow function, which gives memory back when it ends."""
+    return lambda batches: released(kernel(batches))
+
+
 def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = 32 << 20, most_buckets: int = 4096) -> tuple[DataFrame, int, int]:
     """(id, learn, n_tokens, n_known, word_log, score) of every row, N and V.
 
@@ -377,42 +423,17 @@ def lm_scores(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col:
     dealt = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(learn, F.lit(False)).alias("learn"), F.pmod(F.xxhash64(id_col, text_col), F.lit(blocks)).cast("bigint").alias("block")
     )
-    counted = materialize(dealt.select("block", "learn", "text").repartition("block").sortWithinPartitions("block").mapInArrow(_count(buckets), _LISTS))
+    counted = materialize(dealt.select("block", "learn", "text").repartition("block").sortWithinPartitions("block").mapInArrow(_freed(_count(buckets)), _LISTS))
     lists = counted.where("bucket >= 0")
-    sums = materialize(lists.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_sum, _LISTS))
+    sums = materialize(lists.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_freed(_sum), _LISTS))
     ends = counted.where("bucket < 0").agg(F.sum("total")).first()[0] or 0
     n, v = sums.where(F.col("kind") == WORDS).agg(F.sum("total"), F.sum("size")).first()
     n, v = (n or 0) + ends, (v or 0) + (ends > 0)
     low = sums.where(F.col("kind") == SHORT).select("keys", "values").collect()  # the alphabet bounds it
     shared = spark.sparkContext.broadcast(merged([(_keys(SHORT, bytes(r[0])), np.frombuffer(bytes(r[1]), np.int64)) for r in low]))
     asked = lists.where(F.col("kind") < SHORT).withColumn("values", F.lit(None).cast("binary")).union(sums.where(F.col("kind") < SHORT))
-    served = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_serve(shared), _LISTS).select("block", "kind", "keys", "values")
-    of_end = float(np.log10(ends + 0.5))
-
-    def run(texts, lists):
-        import pyarrow as pa
-
-        count, codes, logs = {}, [np.zeros(0, np.int64)], [np.zeros(0)]
-        for k, keys, values in zip(lists.column("kind").to_pylist(), lists.column("keys"), lists.column("values"), strict=True):
-            if k == WORDS:
-                count.update(zip(_keys(k, keys.as_py()), np.frombuffer(values.as_py(), np.int64).tolist(), strict=True))
-            else:
-                codes.append(_keys(k, keys.as_py()))
-                logs.append(np.frombuffer(values.as_py(), np.float64))
-        place, logs = Index(np.concatenate(codes)), np.concatenate(logs)
-        data, at = utf8(texts.column("text"))
-        rows = len(at) - 1
-        tokens, known, log = np.zeros(rows, np.int64), np.zeros(rows, np.int64), np.zeros(rows)
-        get = count.__getitem__
-        for k in range(rows):
-            w = data[at[k] : at[k + 1]].tobytes().lower().split()
-            c = np.fromiter(map(get, w), np.float64, len(w))
-            tokens[k], known[k] = len(w) + 1, np.count_nonzero(c) + (ends > 0)
-            log[k] = np.log10(c + 0.5).sum() + of_end
-        score = text_scores(data, at, lambda code: logs[place.find(code)]) if rows else np.zeros(0)
-        return pa.table([texts.column("id"), texts.column("learn"), *map(pa.array, (tokens, known, log, score))], names=["id", "learn", "n_tokens", "n_known", "word_log", "score"])
-
-    scored = dealt.groupBy("block").cogroup(served.groupBy("block")).applyInArrow(run, f"id {kind}, learn boolean, n_tokens bigint, n_known bigint, word_log double, score double")
+    served = asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "block").mapInArrow(_freed(_serve(shared)), _LISTS).select("block", "kind", "keys", "values")
+    scored = dealt.groupBy("block").cogroup(served.groupBy("block")).applyInArrow(_score(ends), f"id {kind}, learn boolean, n_tokens bigint, n_known bigint, word_log double, score double")
     return scored, n, v
 
 

@@ -175,6 +175,40 @@ def test_trie_equals_brute_force_and_sums_to_one():
     assert np.allclose(lm_score.text_scores(*as_arrow([b"ab"]), nothing.log_p), -3 * math.log10(257))
 
 
+def test_index_finds_every_key_and_no_other():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 53, 20_000))
+    index, asked = lm_score.Index(keys), np.concatenate([keys[::-1], keys + 1, [0]])
+    want = np.searchsorted(keys, asked).clip(max=len(keys) - 1)
+    assert np.array_equal(index.find(asked), np.where(keys[want] == asked, want, -1))
+    assert lm_score.Index(keys[:0]).find(asked[:3]).tolist() == [-1, -1, -1]
+    assert lm_score.merged([(keys[:0], keys[:0])])[0].tolist() == [] and lm_score.merged([(keys[:3], keys[:3]), (keys[1:3], keys[:2])])[1].tolist() == [keys[0], keys[1] + keys[0], keys[2] + keys[1]]
+
+
+def test_memory_of_a_block_is_bounded():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.choice(np.frombuffer(b"abcdefgh ", np.uint8), 4_000)) for _ in range(2_000)]  # 8 MB
+    batch = pa.RecordBatch.from_pydict({"block": pa.array([0] * 2_000, pa.int64()), "learn": [True] * 2_000, "text": [t.decode() for t in texts]})
+    tracemalloc.start()
+    try:
+        lists = pa.Table.from_batches([r for r in lm_score._count(1)(iter([batch])) if r.column("bucket")[0].as_py() >= 0 and r.column("kind")[0].as_py() < lm_score.SHORT])
+        counting = tracemalloc.get_traced_memory()[1]
+        values = [np.frombuffer(v.as_py(), np.int64) for v in lists.column("values")]
+        answers = [(v if k == lm_score.WORDS else np.log10(0.5 / v)).tobytes() for k, v in zip(lists.column("kind").to_pylist(), values, strict=True)]
+        lists = lists.set_column(lists.schema.get_field_index("values"), "values", pa.array(answers, pa.binary()))
+        tracemalloc.reset_peak()
+        got = lm_score._score(1)(pa.table({"id": range(2_000), "learn": batch.column("learn"), "text": batch.column("text")}), lists)
+        scoring = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert got.num_rows == 2_000 and got.column("n_tokens").to_pylist() == [len(t.split()) + 1 for t in texts]
+    assert max(counting, scoring) < 260e6, (counting, scoring)
+
+
 def test_scores_equal_brute_force(spark):
     schema = "doc_id long, text string, block string, learn string, total int"
     rows = [(i, t.decode("latin1"), "b", "l", 0) for i, t in enumerate(TRAIN + TEXTS)] + [(None, None, "", "", 0), (3, "A b\x0bA", "", "", 0), (3, "A b\x0bA", "", "", 0)]
