@@ -80,7 +80,7 @@ def fingerprints(df: DataFrame, keep: list[str], text_col: str = "text", words:
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fps.view(np.int64))], names=[*b.schema.names[1:], "_fp"])
 
     fields = [T.StructField(f"_k{i}", df.schema[c].dataType) for i, c in enumerate(keep)]
-    found = df.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(run, T.StructType([*fields, T.StructField("_fp", T.LongType())]))
+    found = df.select(F.col(text_col).alias("_text"), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(keep))).mapInArrow(lambda b: released(run(b)), T.StructType([*fields, T.StructField("_fp", T.LongType())]))
     return found.select(*(F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)), "_fp")
 
 
@@ -177,7 +177,7 @@ def near_links(fps: DataFrame, distance: int = 3, cell_rows: int = 20_000) -> Da
         dealt = gridded.withColumn("cell", cell).join(hot, ["mask", "cell"], "left").select(*gridded.columns, F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("bigint"))).otherwise(pair)).alias("block"))
     # the cell is worked out where it is needed and not carried along
     dealt = dealt.select("mask", "block", "fp", "node").repartition("mask", cell, "block").sortWithinPartitions("mask", cell, "block")
-    return dealt.mapInArrow(forest_of_cells(distance), "u bigint, v bigint")
+    return dealt.mapInArrow(lambda b: released(forest_of_cells(distance)(b)), "u bigint, v bigint")
 
 
 def near_components(prints: DataFrame, distance: int = 3, cell_rows: int = 20_000) -> DataFrame:
@@ -422,7 +422,7 @@ def short_parities(texts: DataFrame) -> DataFrame:
             bits = [folded(np.frombuffer(x, np.uint8).reshape(1, -1), 64).tobytes() for x in b.column("bits").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(bits, pa.binary())], names=["node", "bits"])
 
-    return texts.select("node", "bits").mapInArrow(run, "node bigint, bits binary")
+    return texts.select("node", "bits").mapInArrow(lambda b: released(run(b)), "node bigint, bits binary")
 
 
 def candidates(cells: DataFrame, parities_of: DataFrame, similarity: float, forest: bool, cell_rows: int) -> DataFrame:
@@ -491,11 +491,11 @@ def verified(pairs: DataFrame, texts: DataFrame, words: int, similarity: float)
 
     side = lambda k, c: texts.select(F.col("node").alias(k), F.col("n").alias(f"{c}n"), F.col("bits").alias(f"{c}b"))
     sized = pairs.join(side("u", "x"), "u").join(side("v", "y"), "v").select("u", "v", (F.col("xn") + F.col("yn")).alias("n"), "xb", "yb")
-    pairs = materialize(sized.mapInArrow(possible, "u bigint, v bigint"))
+    pairs = materialize(sized.mapInArrow(lambda b: released(possible(b)), "u bigint, v bigint"))
     asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
     held = materialize(matching(texts.select("node", "text"), asked, "node", "left_semi").mapInArrow(lambda b: released(sets(b)), "node bigint, held binary"))
     with_u = pairs.join(held.select(F.col("node").alias("u"), F.col("held").alias("x")), "u")
-    return materialize(with_u.join(held.select(F.col("node").alias("v"), F.col("held").alias("y")), "v").mapInArrow(hold, "u bigint, v bigint"))
+    return materialize(with_u.join(held.select(F.col("node").alias("v"), F.col("held").alias("y")), "v").mapInArrow(lambda b: released(hold(b)), "u bigint, v bigint"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, distance: int = 3, cell_rows: int = 20_000) -> DataFrame:
