@@ -155,3 +155,23 @@ def test_stage_links_exactly_the_pairs_of_four_fifths(spark):
     for cell_rows in (20_000, 25):
         kept = {r.doc_id for r in simhash.deduplicate(docs, cell_rows=cell_rows).collect()}
         assert kept == {find(i) for i in range(len(texts))}
+
+
+def test_every_kernel_gives_memory_back(spark, monkeypatch):
+    calls, frame = [], type(spark.range(0))
+    real = frame.mapInArrow
+
+    def spy(self, f, *more):
+        before = len(calls)
+        list(f(iter([])))
+        assert len(calls) > before, f
+        return real(self, f, *more)
+
+    with monkeypatch.context() as m:
+        m.setattr(simhash, "released", lambda batches: calls.append(1) or batches)
+        m.setattr(frame, "mapInArrow", spy)
+        text = " ".join(f"word{i}" for i in range(60))
+        rows = [(i, text + f" end{i % 3}") for i in range(6)] + [(9, "another text")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        assert simhash.deduplicate(docs).count() == 2
+    assert len(calls) > 5
