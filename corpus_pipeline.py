@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import decontaminate, language_id, packing, secret_scan, simhash
-from docframe.llm.common import drop_written, materialize, table
+from docframe.llm.common import drop_written, lean_batches, materialize, table
 
 
 def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
@@ -27,6 +27,7 @@ def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     own, at = plain(docs)
     net = language_id.fit(own.select(F.col(at["doc_id"]).alias("id"), F.col(at["text"]).alias("text"), F.col(at["lang"]).alias("lang")), F.lit(True))
     found = language_id.predict(own, net, own.columns, at["text"]).where("_lang <> 'und'")
@@ -34,14 +35,18 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return simhash.deduplicate(docs)
 
 
 def clean_of_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+    benchmark = table(spark, sf_dir, "benchmark")
+    lean_batches(spark)
+    return decontaminate.drop_leaks(docs, benchmark)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     own, at = plain(docs)
     found = secret_scan.scan_secrets(own, at["text"], at["source"], at["doc_id"], keep=tuple(own.columns)).withColumn("_clean", secret_scan.redact(F.col(at["text"]), F.col("kept")))
     new = {"text": F.col("_clean")}
@@ -51,6 +56,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    lean_batches(spark)
     return packing.pack_documents(docs, packing.vocabulary())
 
 

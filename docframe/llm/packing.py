@@ -179,11 +179,15 @@ def slots(combinations: list[tuple[dict[int, int], int]]) -> np.ndarray:
 
 def pack(pieces: DataFrame, length_col: str = "length", seq_len: int = SEQ_LEN, bucket_rows: int = 1_000) -> DataFrame:
     """The pieces with sequence_id and offset; lengths are 1 to seq_len."""
+    import pyarrow as pa
+
     held = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()))
     histogram = {r[0]: r[1] for r in held.groupBy(length_col).agg(F.count("*")).collect()}  # at most seq_len rows
     where = slots(plan(histogram, seq_len))
     # a length that many pieces have is spread over as many buckets as it needs
-    per_length = held.sparkSession.createDataFrame([(n, -(-c // bucket_rows)) for n, c in histogram.items()], f"{length_col} {dict(held.dtypes)[length_col]}, _buckets bigint")
+    # from Arrow: rows of Python objects would start a daemon and workers of their own on the executors
+    buckets = pa.table({length_col: pa.array(list(histogram), pa.int64()), "_buckets": pa.array([-(-c // bucket_rows) for c in histogram.values()], pa.int64())})
+    per_length = held.sparkSession.createDataFrame(buckets).withColumn(length_col, F.col(length_col).cast(held.schema[length_col].dataType))
     dealt = held.join(F.broadcast(per_length), length_col).withColumn("_bucket", F.pmod(F.xxhash64("_row"), F.col("_buckets")))
     by = [length_col, "_bucket"]
     from pyspark.sql import Window as W

@@ -85,6 +85,13 @@ def test_packing_is_gapless_whole_and_tight(spark):
     assert -(-sum(n for (n,) in lengths) // 64) <= check(rows, 64) <= len(free)
 
 
+def test_packing_ships_no_rows_of_python_objects(spark):
+    # these would start a second daemon of Python, and workers that do nothing else
+    packed = P.pack(spark.range(100).selectExpr("cast(id % 7 + 1 as int) as length"), seq_len=16, bucket_rows=5)
+    assert "ExistingRDD" not in packed._jdf.queryExecution().toString() and packed.schema["length"].dataType.typeName() == "integer"
+    assert sum(r.length for r in packed.collect()) == sum(i % 7 + 1 for i in range(100))
+
+
 def test_documents(spark, reference):
     schema = "doc_id long, text string, piece string, length int, offset int"
     texts = TEXTS + [None, "long words here " * 3000]

@@ -354,6 +354,29 @@ def test_stages_with_clashing_columns_repeated_rows_and_empty_tables(spark, tmp_
     assert packed.count() == 3 and corpus_pipeline.STAGES[4][1](spark, docs.limit(0), str(tmp_path)).count() == 0
 
 
+def test_stages_hand_small_batches_to_their_kernels_and_other_queries_get_theirs_back(spark, tmp_path):
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(i, f"text {i} " + "some words of it " * 6000, "en", "src") for i in range(40)] + [(40, "one long word " * 200_000, "en", "src")]
+    docs = common.materialize(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1))
+    want = sorted(len(r[1]) for r in rows)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            n = [len(t) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.list_(pa.int32()))], names=["n"])
+
+    for name, stage in corpus_pipeline.STAGES:
+        common.table(spark, SF, "documents")
+        assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "8m" and spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "4096"
+        stage(spark, docs.limit(0), str(tmp_path))
+        seen = [r.n for r in docs.select("text").mapInArrow(sizes, "n array<int>").collect()]
+        assert sorted(n for x in seen for n in x) == want, name
+        assert all(sum(x[:-1]) < 1 << 20 for x in seen), name  # the row that fills a batch is its last
+    common.table(spark, SF, "documents")
+
+
 def test_written_tables_can_be_dropped(spark):
     import os
 
